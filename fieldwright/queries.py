@@ -1,0 +1,6 @@
+"""The registered queries of the metadata operators, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
