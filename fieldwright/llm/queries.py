@@ -4,23 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontam
 from .common import table
+from .decontam import contamination
 from .embeddings import embedding_components
+from .quality import quality_scores
 from .shards import sharded_documents
 from .simhash import simhash_components
+from .sstable import encoded_documents
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op3_sstable_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op6_simhash_near_dedup, op9_hypergeometric_shards)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
+ORACLE_SQL: dict[str, str] = {"op7_benchmark_decontamination": decontam.ORACLE}
