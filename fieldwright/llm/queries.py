@@ -8,6 +8,8 @@ from . import decontam
 from .common import table
 from .decontam import contamination
 from .embeddings import embedding_components
+from .language import language_predictions
+from .pieces import encoded_and_decoded
 from .quality import quality_scores
 from .shards import sharded_documents
 from .simhash import simhash_components
@@ -18,6 +20,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op2_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
 def op3_sstable_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_documents(table(spark, sf_dir, "documents"))
 
@@ -38,5 +44,9 @@ def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_and_decoded(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 ORACLE_SQL: dict[str, str] = {"op7_benchmark_decontamination": decontam.ORACLE}
