@@ -9,6 +9,7 @@ from .common import table
 from .decontam import contamination
 from .embeddings import embedding_components
 from .language import language_predictions
+from .pii import personal_data
 from .pieces import encoded_and_decoded
 from .quality import quality_scores
 from .shards import sharded_documents
@@ -29,6 +30,10 @@ def op3_sstable_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
