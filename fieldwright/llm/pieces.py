@@ -11,10 +11,11 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import map_texts
 
@@ -189,9 +190,7 @@ def decode_ids(encoded: DataFrame, model: str | None = None, id_cols: tuple[str,
     path, held = model or default_model(), []
     kinds = dict(encoded.dtypes)
 
-    def run(batches):
-        import pandas as pd
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not held:
             held.append(PieceModel(path))
         for pdf in batches:
@@ -200,10 +199,10 @@ def decode_ids(encoded: DataFrame, model: str | None = None, id_cols: tuple[str,
     return encoded.select(*id_cols, ids_col).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", text string")
 
 
-def encoded_and_decoded(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, n_pieces, ids_crc32 (unsigned, of the ids as little-endian 32-bit numbers), n_chars of the
-    decoded text, decoded_crc32 (of its UTF-8) and round_trip: whether decoding gives the text again (U+2581 counts as a space,
-    as in the library). A null text counts as empty."""
+def encoded_and_decoded(docs: DataFrame, model: str | None = None, with_ids: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_pieces, ids_crc32 (unsigned, of the ids as little-endian 32-bit numbers), decoded_chars
+    and decoded_crc32 (of its UTF-8) of the decoded text, and round_trip: whether decoding gives the text again (U+2581 counts
+    as a space, as in the library); with_ids, also the ids. A null text counts as empty. Other columns are not used."""
     path, held = model or default_model(), []
 
     def run(texts: list[str]) -> dict:
@@ -215,7 +214,7 @@ def encoded_and_decoded(docs: DataFrame, model: str | None = None) -> DataFrame:
             "n_pieces": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids], "decoded_chars": [len(b) for b in back],
             "decoded_crc32": [zlib.crc32(b.encode("utf-8", "surrogatepass")) for b in back],
             "round_trip": [b == t.replace(SPACE, " ") for b, t in zip(back, texts, strict=True)],
-        }
+        } | ({"ids": [x.astype(np.int32) for x in ids]} if with_ids else {})
 
     schema = "doc_id " + dict(docs.dtypes)["doc_id"] + ", n_pieces bigint, ids_crc32 bigint, decoded_chars bigint, decoded_crc32 bigint, round_trip boolean"
-    return map_texts(docs, ["doc_id"], run, schema).select("doc_id", "n_pieces", "ids_crc32", "decoded_chars", "decoded_crc32", F.col("round_trip"))
+    return map_texts(docs, ["doc_id"], run, schema + (", ids array<int>" if with_ids else ""))
