@@ -50,14 +50,10 @@ def bucket_of(id_col: str, modulus: int) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, target: str, modulus: int, max_docs: int) -> list:
     """At most max_docs (text, y) rows to learn from: those of the lowest hash of the id, so the draw is the same
     on every run. Learns from rows with a text and a 0/1 label whose crc32(id as text) mod modulus is not 0."""
-    known = labels.where(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).alias("__y"))
-    rows = docs.where(F.col("text").isNotNull() & (bucket_of("doc_id", modulus) != 0)).select("doc_id", "text")
-    return (
-        rows.join(known, "doc_id")
-        .withColumn("__h", F.xxhash64("doc_id", F.lit(7)))
-        .orderBy("__h", "doc_id").limit(max_docs)
-        .select("text", F.col("__y").cast("int").alias("y"))
-    )
+    known = labels.where(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
+    ids = docs.where(bucket_of("doc_id", modulus) != 0).select("doc_id").distinct()  # drawn without the texts
+    drawn = ids.join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_docs)
+    return docs.join(F.broadcast(drawn), "doc_id").where(F.col("text").isNotNull()).select("text", "y")  # max_docs rows
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 20_000) -> Iterator[pd.DataFrame]:
