@@ -15,11 +15,14 @@ single byte 0 and sorts first. A lookup reads footer, Bloom filter and index, bi
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +38,7 @@ from .common import cut, new_dir
 MARK = b"FWSST001"
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 SEPARATORS, NOT_SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"(?:\S|[\x1c-\x1f])+")
 _FOOTER = struct.Struct("<QQIQIQQ8x8s")
 
@@ -168,27 +171,87 @@ class TableReader:
 
 
 class WordEncoder:
-    """The tokenizer's ids of whole texts, word by word: this tokenizer's pre-tokens never hold white space, so
-    a text's ids are those of its words in turn, and each word is encoded once as long as it is remembered."""
+    """The tokenizer's ids of whole texts. Three exact shortcuts, each used only if samples show that the tokenizer allows it:
+
+    - white space parts its pre-tokens and is dropped, so a text's ids are those of its words, each encoded once while remembered;
+    - a word of Latin letters with marks after it is two pre-tokens;
+    - the letters are one pre-token that only is lower-cased and spelt in bytes, so the model can be asked without the
+      normaliser and the pre-tokenizer's patterns, which take most of the time.
+    """
+
+    LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#$%&|]*)")
+    SAMPLES = ("the", "Thstinn", "\u00c9l\u00e8ve", "gr\u00fc\u00dfe", "\u00ff\u00f1o", "a", "WORLD")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.bytewise = {c: "".join(_BYTE_SIGNS[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        full = self.full
+        self.by_word = all(full(f"{x}{gap}{y}") == full(x) + full(y) for x in self.SAMPLES for y in self.SAMPLES for gap in (" ", "\n", " \t"))
+        self.simple = self.by_word and all(self.letters(w) == full(w) and full(w + ".,") == full(w) + full(".,") for w in self.SAMPLES)
+
+    def full(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, word: str) -> bytes:
+        low = word.lower()
+        return array("I", [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.bytewise))]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if not self.simple:
+            return self.full(word)
+        if word.isascii() and word.isalpha():
+            return self.part(word.lower(), self.letters)
+        found = self.LETTERS.fullmatch(word)
+        if not found:
+            return self.full(word)
+        head = self.part(found[1].lower(), self.letters)
+        return head + self.part(found[2], self.full) if found[2] else head
+
+    def part(self, part: str, encode: Callable[[str], bytes]) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= CACHED_WORDS:
+                self.parts.clear()
+            ids = self.parts[part] = encode(part)
+        return ids
 
     def __call__(self, text: str) -> np.ndarray:
+        if not self.by_word:
+            return np.frombuffer(self.full(text), "<u4")
         # Python's split() also cuts at U+001C to U+001F, which the tokenizer keeps
         words = text.split() if not SEPARATORS.search(text) else NOT_SPACE.findall(text)
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = list(set(words))
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
         known = self.known
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        out = list(map(known.get, words))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    w = words[i]
+                    out[i] = known.get(w) or known.setdefault(w, self.word(w))
+        return np.frombuffer(b"".join(out), "<u4")
+
+
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One a worker process, kept over its tasks."""
+    return WordEncoder(path)
+
+
+def _byte_signs() -> dict[int, str]:
+    """Byte-level spelling: printable bytes stand for themselves, the others for U+0100 and on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -213,7 +276,7 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
         context = TaskContext.get()
         shard = context.partitionId()
         own = f"{root}/.{shard}-{context.taskAttemptId()}"
-        encode, end, table, first, last = WordEncoder(tokenizer), np.array([end_id], "<u4"), None, None, None
+        encode, end, table, first, last = encoder(tokenizer), np.array([end_id], "<u4"), None, None, None
         with fs.open_output_stream(own) as out:
             table = TableWriter(out, 2 if max(encode.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else 4)
             for pdf in batches:
