@@ -267,8 +267,11 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 110, batc
                 _step(net, [windows[i] for i in o], t[o], weight[o], moments, rate)
     scorer = Scorer(net.p, 1.0, 0.0)
     rest = [i for i in range(len(y)) if not learn[i] and len(split[i])]
+    if min((y[rest] == 0).sum(), (y[rest] == 1).sum()) < 8:  # too few left out to tell
+        rest = [i for i in range(len(y)) if len(split[i])]
     m = np.concatenate([scorer.logits([texts[i] for i in rest[j:j + 500]]) for j in range(0, len(rest), 500)] or [np.zeros(0)])
-    t, slope, offset = y[rest].astype(float), 1.0, 0.0
+    n1, n0 = int((y[rest] == 1).sum()), int((y[rest] == 0).sum())
+    t, slope, offset = np.where(y[rest] == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), 0.5, 0.0
     for _ in range(300):
         p = _sigmoid(slope * m + offset)
         r = p * (1 - p)
