@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,10 +192,12 @@ def texts_in_chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, i
 def map_texts(docs: DataFrame, id_cols: list[str], f: Callable[[list[str]], dict], schema: str, text_col: str = "text") -> DataFrame:
     """id_cols and what f returns for each text. f: list of texts (null: empty) -> columns by name. Texts are whole;
     a call gets about two million characters, or one longer text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf[text_col]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
             for i, j in texts_in_chunks(texts):
-                yield pd.DataFrame({**{c: pdf[c].to_numpy()[i:j] for c in id_cols}, **f(texts[i:j])})
+                made = {k: pa.array(v) for k, v in f(texts[i:j]).items()}
+                ids = {c: batch.column(c).slice(i, j - i) for c in id_cols}  # as they are: null ids stay null
+                yield pa.RecordBatch.from_pydict({**ids, **made})
 
-    return docs.select(*id_cols, text_col).mapInPandas(run, schema)
+    return docs.select(*id_cols, text_col).mapInArrow(run, schema)
