@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_texts
@@ -190,13 +190,14 @@ def decode_ids(encoded: DataFrame, model: str | None = None, id_cols: tuple[str,
     path, held = model or default_model(), []
     kinds = dict(encoded.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
             held.append(PieceModel(path))
-        for pdf in batches:
-            yield pd.DataFrame({**{c: pdf[c] for c in id_cols}, "text": [held[0].decode(np.asarray(x)) if x is not None else "" for x in pdf[ids_col]]})
+        for batch in batches:
+            texts = [held[0].decode(np.asarray(x)) if x is not None else "" for x in batch.column(ids_col).to_pylist()]
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in id_cols}, "text": pa.array(texts, pa.string())})
 
-    return encoded.select(*id_cols, ids_col).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", text string")
+    return encoded.select(*id_cols, ids_col).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", text string")
 
 
 def encoded_and_decoded(docs: DataFrame, model: str | None = None, with_ids: bool = False) -> DataFrame:

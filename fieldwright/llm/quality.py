@@ -110,9 +110,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 20, cost: float = 1
 
     # the score's slope and offset: logistic regression on the margins of rows left out
     everyone = np.arange(len(y))
-    partial = train(everyone[fold != 0])
-    m = np.array([margin(partial, rows[i]) for i in everyone[fold == 0]])
-    t = y[fold == 0].astype(float)
+    left = everyone[fold == 0]
+    if len(set(y[left])) < 2 or len(set(y[fold != 0])) < 2:  # too few rows to leave any out
+        left, partial = everyone, train(everyone)
+    else:
+        partial = train(everyone[fold != 0])
+    m = np.array([margin(partial, rows[i]) for i in left])
+    t = y[left].astype(float)
     slope, offset = 1.0, 0.0
     for _ in range(500):
         p = 1 / (1 + np.exp(-np.clip(slope * m + offset, -30, 30)))
