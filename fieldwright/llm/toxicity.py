@@ -260,7 +260,7 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 110, batc
                     target.append(0)
         t = np.array(target, np.float32)
         weight = np.where(t == 1, 0.5 / max(t.mean(), 1e-3), 0.5 / max(1 - t.mean(), 1e-3)).astype(np.float32)
-        for _ in range(max(1, round(steps * batch / len(t)))):
+        for _ in range(max(1, round(steps / -(-len(t) // batch)))):
             order = rng.permutation(len(t))
             for j in range(0, len(order), batch):
                 o = order[j:j + batch]
