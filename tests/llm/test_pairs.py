@@ -141,7 +141,7 @@ def test_simhash_matches_brute_force(spark, parts):
     assert len(links) > 10
 
 
-@pytest.mark.parametrize(("radius", "parts"), [(4, 1), (4, 2), (5, 2), (3, 2)])
+@pytest.mark.parametrize(("radius", "parts"), [(4, 1), (4, 2), (5, 2), (3, 2), (8, 3)])
 def test_every_pair_within_the_radius_meets(radius, parts):
     rng = np.random.default_rng(radius)
     flips = simhash._variants(radius, parts)
