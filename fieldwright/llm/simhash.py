@@ -42,6 +42,13 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.array([digest(line[a:b], 42) for a, b in zip(first, (ends[words - 1:] - 1).tolist(), strict=True)], np.uint64)
 
 
+def content_hashes(text: str, least: int = 5) -> np.ndarray:
+    """XXH64 of the lower-cased words of at least so many bytes, repeats included; of all words if none is so long. Short words
+    are mostly function words, which unrelated texts share."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.array([xxhash.xxh64_intdigest(p, 42) for p in [p for p in parts if len(p) >= least] or parts], np.uint64)
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit k is 1 if set in more than half of the hashes; 0 for none. As a signed 64-bit integer."""
     if not len(hashes):
@@ -61,19 +68,25 @@ def sketch(hashes: np.ndarray) -> bytes:
     return (low >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_cols: list[str], text_col: str = "text", words: int = 4, verify_words: int | None = None) -> DataFrame:
-    """id_cols, fp (signed long) and, with verify_words, sketch and words_hash of the shingles of that many words."""
+def fingerprints(docs: DataFrame, id_cols: list[str], text_col: str = "text", words: int = 4) -> DataFrame:
+    """id_cols and fp (signed long) over the shingles of so many words."""
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", fp bigint"
+    return map_texts(docs, id_cols, lambda texts: {"fp": [fingerprint(shingle_hashes(t, words)) for t in texts]}, schema, text_col)
+
+
+def profiles(docs: DataFrame, id_cols: list[str], text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """id_cols, fp over content words, sketch of the shingles and words_hash, equal for texts of the same words."""
     kinds = dict(docs.dtypes)
 
     def run(texts: list[str]) -> dict:
-        out: dict = {"fp": [fingerprint(shingle_hashes(t, words)) for t in texts]}
-        if verify_words:
-            out["sketch"] = [sketch(shingle_hashes(t, verify_words)) for t in texts]
-            out["words_hash"] = [xxhash.xxh3_128_hexdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts]
-        return out
+        return {
+            "fp": [fingerprint(content_hashes(t)) for t in texts],
+            "sketch": [sketch(shingle_hashes(t, shingle)) for t in texts],
+            "words_hash": [xxhash.xxh3_128_hexdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts],
+        }
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", fp bigint" + (", sketch binary, words_hash string" if verify_words else "")
-    return map_texts(docs, id_cols, run, schema, text_col)
+    return map_texts(docs, id_cols, run, ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", fp bigint, sketch binary, words_hash string", text_col)
 
 
 def _variants(radius: int, parts: int) -> list[tuple[int, int, int]]:
@@ -89,27 +102,14 @@ def _variants(radius: int, parts: int) -> list[tuple[int, int, int]]:
     return [(p, signed(m), signed(f)) for p, m, f in out]
 
 
-def _near(fp: np.ndarray, sk: np.ndarray | None, i, j, radius: int, least: float) -> np.ndarray:
-    ok = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-    if sk is None or not ok.any():
-        return ok
-    at = np.flatnonzero(ok)
-    i, j = np.broadcast_arrays(i, j)
-    for k in range(0, len(at), 100_000):
-        part = at[k:k + 100_000]
-        same = (sk[i[part]] == sk[j[part]]).mean(1)
-        ok[part] = (same - 1 / 256) / (255 / 256) >= least
-    return ok
-
-
-def _grow(fp: np.ndarray, sk: np.ndarray | None, radius: int, least: float) -> tuple[list, list]:
+def _grow(fp: np.ndarray, radius: int) -> tuple[list, list]:
     """Links that connect one large group: each row reached asks only for rows not reached yet."""
     left, a, b = np.arange(len(fp)), [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            ok = _near(fp, sk, np.full(len(left), at), left, radius, least)
+            ok = np.bitwise_count(fp[left] ^ fp[at]) <= radius
             found, left = left[ok], left[~ok]
             queue.extend(found)
             a.extend([at] * len(found))
@@ -117,37 +117,40 @@ def _grow(fp: np.ndarray, sk: np.ndarray | None, radius: int, least: float) -> t
     return a, b
 
 
-def linked(classes: DataFrame, radius: int, parts: int, least: float | None = None) -> DataFrame:
-    """Links (a, b) between ids of classes (id, fp[, sketch]) that connect all whose fingerprints differ in at most
-    radius bits (and, with least, whose sketches show that similarity). No group's pairs are all emitted: each task
-    returns a spanning forest of what it has compared."""
-    flips = _variants(radius, parts)
-    table = F.lit([list(x) for x in flips])
-    v = F.explode(table).alias("v")
-    cols = ["id", "fp", *(["sketch"] if least else [])]
-    keyed = classes.select(*cols, v).select(
-        *cols, F.col("v")[0].cast("int").alias("part"), F.col("fp").bitwiseAND(F.col("v")[1]).bitwiseXOR(F.col("v")[2]).alias("key")
+def linked(nodes: DataFrame, radius: int, parts: int, as_pairs: bool = False) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that connect all that differ in at most radius bits. No group's pairs
+    are all emitted: a task returns a spanning forest of what it has compared. With as_pairs every link stands for two
+    fingerprints within the radius: all pairs of a variant that at most 16 share, a spanning tree of larger ones."""
+    v = F.explode(F.lit([list(x) for x in _variants(radius, parts)])).alias("v")
+    keyed = nodes.select("fp", v).select(
+        "fp", F.col("v")[0].cast("int").alias("part"), F.col("fp").bitwiseAND(F.col("v")[1]).bitwiseXOR(F.col("v")[2]).alias("key")
     )
-    rows = shared_keys(keyed, ["part", "key"], "id")
+    rows = shared_keys(keyed, ["part", "key"], "fp")
+    small = 16 if as_pairs else 48
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = ["part", "key", "bi", "bj"]
         for pdf in whole_groups(batches, at):
-            starts = group_starts(pdf, at)
-            ids, fp = pdf["id"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
-            sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH) if least else None
-            i, j = pairs_of_groups(starts, 48)
-            ok = _near(fp, sk, i, j, radius, least or 0)
+            starts, ids = group_starts(pdf, at), pdf["fp"].to_numpy()
+            fp = ids.view(np.uint64)
+            i, j = pairs_of_groups(starts, small)
+            ok = np.bitwise_count(fp[i] ^ fp[j]) <= radius
             a, b = [i[ok]], [j[ok]]
             for s, e in zip(starts[:-1], starts[1:], strict=True):
-                if e - s > 48:
-                    x, y = _grow(fp[s:e], None if sk is None else sk[s:e], radius, least or 0)
+                if e - s > small:
+                    x, y = _grow(fp[s:e], radius)
                     a.append(np.array(x, np.int64) + s)
                     b.append(np.array(y, np.int64) + s)
-            x, y = forest(ids, np.concatenate(a), np.concatenate(b))
-            yield pd.DataFrame({"a": x, "b": y})
+            i, j = np.concatenate(a), np.concatenate(b)
+            if as_pairs:
+                pairs = np.unique(np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])], axis=1), axis=0)
+                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            else:
+                x, y = forest(ids, i, j)
+                yield pd.DataFrame({"a": x, "b": y})
 
-    return rows.mapInPandas(compare, "a bigint, b bigint")
+    out = rows.mapInPandas(compare, "a bigint, b bigint")
+    return out.distinct() if as_pairs else out
 
 
 def simhash_components(
@@ -162,7 +165,7 @@ def simhash_components(
     """
     fps = cut(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), ["__id"], "__text", words))
     nodes = cut(fps.groupBy("fp").agg(F.min("__id").alias("low")))
-    found = components(linked(nodes.select(F.col("fp").alias("id"), "fp"), radius, parts))
+    found = components(linked(nodes.select("fp"), radius, parts))
     named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = named.join(lowest, "root").select("fp", "component_id")
@@ -171,26 +174,38 @@ def simhash_components(
     )
 
 
+def _similar(a: str, b: str, least: float) -> F.Column:
+    """Whether two sketches show the similarity: equal bytes of 128, less what bytes agree by chance."""
+    byte = lambda c, i: F.substring(F.col(c), i, F.lit(1))
+    same = F.aggregate(F.sequence(F.lit(1), F.lit(SKETCH)), F.lit(0), lambda n, i: n + (byte(a, i) == byte(b, i)).cast("int"))
+    return (same / float(SKETCH) - 1 / 256) / (255 / 256) >= least
+
+
 def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 5, parts: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 8, parts: int = 3
 ) -> DataFrame:
     """The rows of docs less near copies: one stays of each group linked by similarity on five-word shingles.
 
-    Candidates are rows whose SimHash over single words differs in at most radius bits: a changed word moves one
-    feature there and five shingles, so that texts of similarity 0.8, about 10 bits apart on shingles, are 0 to 5 apart. A
-    candidate pair is linked if 128 minima of their five-word shingles show the similarity. Texts with the same words
-    are one class. The row with the smallest id of a group stays (of repeated ids, one row). Texts without a word
-    are left alone, as are rows without id: neither has anything to compare or to be named by.
+    Candidates are texts whose SimHash over single content words differs in at most radius bits: a changed word moves one feature
+    there and five shingles, so that texts of similarity 0.8, about 10 bits apart on shingles, are mostly within 8 here. A
+    candidate pair is linked if 128 minima of their five-word shingles show the similarity. Texts with the same words are one class; of
+    classes with one fingerprint, each is compared with the first. The row with the smallest id of a group stays (of repeated ids,
+    one row). Texts without a word are left alone, as are rows without id: neither has anything to compare or to be named by.
+    docs must give its rows in the same order when it is read twice, as a table does.
     """
     cols = docs.columns
     keep = docs.withColumn("__row", F.monotonically_increasing_id())
-    fps = cut(fingerprints(keep.select("__row", F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null"), ["__row", "__id"], "__text", 1, shingle))
-    fps = fps.where(F.col("words_hash") != xxhash.xxh3_128_hexdigest(b""))
-    classes = cut(fps.groupBy("words_hash").agg(
+    slim = keep.select("__row", F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null")
+    rows = cut(profiles(slim, ["__row", "__id"], "__text", shingle)).where(F.col("words_hash") != xxhash.xxh3_128_hexdigest(b""))
+    classes = cut(rows.groupBy("words_hash").agg(
         F.min(F.struct("__id", "__row")).alias("low"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")
     ).withColumn("id", F.xxhash64("words_hash", F.lit(3))))
-    found = components(linked(classes.select("id", "fp", "sketch"), radius, parts, similarity))
+    heads = cut(classes.groupBy("fp").agg(F.min(F.struct("id", "sketch")).alias("h")).select("fp", "h.id", "h.sketch"))
+    one, two = (heads.select(F.col("fp").alias(x), F.col("id").alias(f"i{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    near = linked(heads.select("fp"), radius, parts, as_pairs=True).join(one, "a").join(two, "b").where(_similar("sa", "sb", similarity))
+    same_fp = classes.select("fp", F.col("id").alias("ia"), F.col("sketch").alias("sa")).join(two.withColumnRenamed("b", "fp"), "fp").where("ia != ib").where(_similar("sa", "sb", similarity))
+    found = components(near.select(F.col("ia").alias("a"), F.col("ib").alias("b")).union(same_fp.select("ia", "ib")))
     groups = classes.join(found, classes.id == found.node, "left").select("low", F.coalesce("root", "id").alias("root"))
-    heads = groups.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.__row").alias("__row"))
-    gone = fps.select("__row").join(heads, "__row", "left_anti")
+    first = groups.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.__row").alias("__row"))
+    gone = rows.select("__row").join(first, "__row", "left_anti")
     return keep.join(gone, "__row", "left_anti").select(*cols)
