@@ -15,15 +15,13 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, group_starts, map_texts, pairs_of_groups, shared_keys, whole_groups
+from .common import components, cut, forest, group_starts, map_texts, new_dir, pairs_of_groups, shared_keys, whole_groups
 
-SKETCH = 128
-_RNG = np.random.default_rng(20)
-_MUL = _RNG.integers(1, 2**64, SKETCH, dtype=np.uint64) | np.uint64(1)
-_ADD = _RNG.integers(0, 2**64, SKETCH, dtype=np.uint64)
+#: Texts whose shingles are counted to tell common ones, how many common ones are told apart, rows that are broadcast at most.
+SAMPLE, COMMON, SENT = 4_000, 100_000, 500_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -42,13 +40,6 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.array([digest(line[a:b], 42) for a, b in zip(first, (ends[words - 1:] - 1).tolist(), strict=True)], np.uint64)
 
 
-def content_hashes(text: str, least: int = 5) -> np.ndarray:
-    """XXH64 of the lower-cased words of at least so many bytes, repeats included; of all words if none is so long. Short words
-    are mostly function words, which unrelated texts share."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.array([xxhash.xxh64_intdigest(p, 42) for p in [p for p in parts if len(p) >= least] or parts], np.uint64)
-
-
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit k is 1 if set in more than half of the hashes; 0 for none. As a signed 64-bit integer."""
     if not len(hashes):
@@ -60,14 +51,6 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """128 minima under fixed random maps, a byte each: the share of equal bytes estimates the Jaccard similarity."""
-    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        low = np.minimum(low, ((hashes[i:i + 4096, None] * _MUL + _ADD) >> np.uint64(8)).min(0))
-    return (low >> np.uint64(20)).astype(np.uint8).tobytes()
-
-
 def fingerprints(docs: DataFrame, id_cols: list[str], text_col: str = "text", words: int = 4) -> DataFrame:
     """id_cols and fp (signed long) over the shingles of so many words."""
     kinds = dict(docs.dtypes)
@@ -75,20 +58,6 @@ def fingerprints(docs: DataFrame, id_cols: list[str], text_col: str = "text", wo
     return map_texts(docs, id_cols, lambda texts: {"fp": [fingerprint(shingle_hashes(t, words)) for t in texts]}, schema, text_col)
 
 
-def profiles(docs: DataFrame, id_cols: list[str], text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """id_cols, fp over content words, sketch of the shingles and words_hash, equal for texts of the same words."""
-    kinds = dict(docs.dtypes)
-
-    def run(texts: list[str]) -> dict:
-        return {
-            "fp": [fingerprint(content_hashes(t)) for t in texts],
-            "sketch": [sketch(shingle_hashes(t, shingle)) for t in texts],
-            "words_hash": [xxhash.xxh3_128_hexdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts],
-        }
-
-    return map_texts(docs, id_cols, run, ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", fp bigint, sketch binary, words_hash string", text_col)
-
-
 def _variants(radius: int, parts: int) -> list[tuple[int, int, int]]:
     """(part, mask of the part, bits to flip): what each fingerprint emits."""
     width = 64 // parts
@@ -117,16 +86,15 @@ def _grow(fp: np.ndarray, radius: int) -> tuple[list, list]:
     return a, b
 
 
-def linked(nodes: DataFrame, radius: int, parts: int, as_pairs: bool = False) -> DataFrame:
+def linked(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all that differ in at most radius bits. No group's pairs
-    are all emitted: a task returns a spanning forest of what it has compared. With as_pairs every link stands for two
-    fingerprints within the radius: all pairs of a variant that at most 16 share, a spanning tree of larger ones."""
+    are all emitted: a task returns a spanning forest of what it has compared."""
     v = F.explode(F.lit([list(x) for x in _variants(radius, parts)])).alias("v")
     keyed = nodes.select("fp", v).select(
         "fp", F.col("v")[0].cast("int").alias("part"), F.col("fp").bitwiseAND(F.col("v")[1]).bitwiseXOR(F.col("v")[2]).alias("key")
     )
     rows = shared_keys(keyed, ["part", "key"], "fp")
-    small = 16 if as_pairs else 48
+    small = 48
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = ["part", "key", "bi", "bj"]
@@ -142,15 +110,10 @@ def linked(nodes: DataFrame, radius: int, parts: int, as_pairs: bool = False) ->
                     a.append(np.array(x, np.int64) + s)
                     b.append(np.array(y, np.int64) + s)
             i, j = np.concatenate(a), np.concatenate(b)
-            if as_pairs:
-                pairs = np.unique(np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])], axis=1), axis=0)
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-            else:
-                x, y = forest(ids, i, j)
-                yield pd.DataFrame({"a": x, "b": y})
+            x, y = forest(ids, i, j)
+            yield pd.DataFrame({"a": x, "b": y})
 
-    out = rows.mapInPandas(compare, "a bigint, b bigint")
-    return out.distinct() if as_pairs else out
+    return rows.mapInPandas(compare, "a bigint, b bigint")
 
 
 def simhash_components(
@@ -174,38 +137,139 @@ def simhash_components(
     )
 
 
-def _similar(a: str, b: str, least: float) -> F.Column:
-    """Whether two sketches show the similarity: equal bytes of 128, less what bytes agree by chance."""
-    byte = lambda c, i: F.substring(F.col(c), i, F.lit(1))
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(SKETCH)), F.lit(0), lambda n, i: n + (byte(a, i) == byte(b, i)).cast("int"))
-    return (same / float(SKETCH) - 1 / 256) / (255 / 256) >= least
+def shingle_set(text: str, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
 
 
-def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 8, parts: int = 3
-) -> DataFrame:
+def prefix(hashes: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of the distinct hashes in an order that all texts share: those not in common (sorted) by value, then common ones
+    by rank. Sets of similarity least have a hash of both prefixes in common, whatever the order."""
+    n = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
+    if not len(hashes) or not len(common):
+        return hashes[:n]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    known = common[at] == hashes
+    return np.concatenate([hashes[~known], hashes[known][np.argsort(rank[at[known]])]])[:n]
+
+
+def _common(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, sorted, and their ranks, rarest first. They only order the prefixes: which
+    texts are sampled changes the work, never the result."""
+    n = max(1, slim.count())
+    some = slim.where(F.pmod(F.xxhash64("__id", F.lit(13)), F.lit(n)) < SAMPLE)
+    found = map_texts(some, ["__row"], lambda texts: {"s": [shingle_set(t, shingle).view(np.int64) for t in texts]}, "__row bigint, s array<bigint>", "__text")
+    top = found.select(F.explode("s").alias("s")).groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).toPandas()
+    hashes = top["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], -order
+
+
+def profiles(slim: DataFrame, least: float, shingle: int) -> DataFrame:
+    """__row, __id, words_hash (equal for texts of the same words), number of distinct shingles and the prefix of these."""
+    sent = slim.sparkSession.sparkContext.broadcast(_common(slim, shingle))
+
+    def run(texts: list[str]) -> dict:
+        sets = [shingle_set(t, shingle) for t in texts]
+        return {
+            "words_hash": [xxhash.xxh3_128_hexdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts],
+            "size": [len(s) for s in sets],
+            "prefix": [prefix(s, least, *sent.value).view(np.int64) for s in sets],
+        }
+
+    return map_texts(slim, ["__row", "__id"], run, f"__row bigint, `__id` {dict(slim.dtypes)['__id']}, words_hash string, size bigint, prefix array<bigint>", "__text")
+
+
+def _possible(size: F.Column, rest: F.Column, other: F.Column, other_rest: F.Column, least: float) -> F.Column:
+    """Whether two texts of so many shingles, so many of them from a shared one on, can have the similarity if it is their first."""
+    return F.least(rest, other_rest) >= least / (1 + least) * (size + other) - 1e-6
+
+
+def _similar(pairs: DataFrame, named: DataFrame, slim: DataFrame, least: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets have the similarity, exactly. Texts travel, as they pack better than hashes."""
+    pairs = cut(pairs)
+    asked = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(named.select("id", F.col("low.__row").alias("__row")), "id"))
+    path = new_dir(pairs.sparkSession, "near-copies-texts")
+    slim.join(F.broadcast(asked) if asked.count() <= SENT else asked, "__row").select("id", "__text").write.parquet(path)
+    texts = pairs.sparkSession.read.parquet(path)
+    one, two = (texts.select(F.col("id").alias(x), F.col("__text").alias(f"t{x}")) for x in "ab")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = []
+            for x, y in zip(pdf["ta"], pdf["tb"], strict=True):
+                x, y = shingle_set(x, shingle), shingle_set(y, shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both / (len(x) + len(y) - both) >= least)
+            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+
+    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(compare, "a bigint, b bigint"))
+
+
+def _meeting(shared: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs (a, b) of different groups g that a key of both prefixes leaves possible: the first key that two texts
+    share bounds what they have in common by what follows it."""
+    rows = shared_keys(shared, ["key"], "id", 512)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = ["key", "bi", "bj"]
+        for pdf in whole_groups(batches, at):
+            starts = group_starts(pdf, at)
+            ids, g, size, rest = (pdf[c].to_numpy() for c in ("id", "g", "size", "rest"))
+
+            def possible(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+                ok = (g[i] != g[j]) & (np.minimum(rest[i], rest[j]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6)  # noqa: B023
+                x, y = ids[i[ok]], ids[j[ok]]  # noqa: B023
+                return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
+
+            yield possible(*pairs_of_groups(starts, 48))
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                if e - s > 48:
+                    for k in range(s, e, 256):
+                        i, j = np.meshgrid(np.arange(k, min(k + 256, e)), np.arange(k, e), indexing="ij")
+                        yield possible(i[i < j], j[i < j])
+
+    return rows.mapInPandas(compare, "a bigint, b bigint").distinct()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of docs less near copies: one stays of each group linked by similarity on five-word shingles.
 
-    Candidates are texts whose SimHash over single content words differs in at most radius bits: a changed word moves one feature
-    there and five shingles, so that texts of similarity 0.8, about 10 bits apart on shingles, are mostly within 8 here. A
-    candidate pair is linked if 128 minima of their five-word shingles show the similarity. Texts with the same words are one class; of
-    classes with one fingerprint, each is compared with the first. The row with the smallest id of a group stays (of repeated ids,
-    one row). Texts without a word are left alone, as are rows without id: neither has anything to compare or to be named by.
-    docs must give its rows in the same order when it is read twice, as a table does.
+    Two texts are linked if their sets of shingles (64-bit hashes) have the Jaccard similarity, found without loss: such texts share
+    a shingle of their prefixes (see prefix). Each text is compared with the lowest and the highest of those it shares most with;
+    then every other pair that shares one and is not yet in one group is, so that a large group takes no work by its square. Texts with
+    the same words are one class. The row with the smallest id of a group stays (of repeated ids, one row). Texts without a
+    word are left alone, as are rows without id: neither has anything to compare or to be named by. docs is written to the shared
+    folder with a row key once, and rows go by that key.
     """
-    cols = docs.columns
-    keep = docs.withColumn("__row", F.monotonically_increasing_id())
+    cols, spark = docs.columns, docs.sparkSession
+    path = new_dir(spark, "near-copies")
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    keep = spark.read.parquet(path)
     slim = keep.select("__row", F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null")
-    rows = cut(profiles(slim, ["__row", "__id"], "__text", shingle)).where(F.col("words_hash") != xxhash.xxh3_128_hexdigest(b""))
-    classes = cut(rows.groupBy("words_hash").agg(
-        F.min(F.struct("__id", "__row")).alias("low"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")
-    ).withColumn("id", F.xxhash64("words_hash", F.lit(3))))
-    heads = cut(classes.groupBy("fp").agg(F.min(F.struct("id", "sketch")).alias("h")).select("fp", "h.id", "h.sketch"))
-    one, two = (heads.select(F.col("fp").alias(x), F.col("id").alias(f"i{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    near = linked(heads.select("fp"), radius, parts, as_pairs=True).join(one, "a").join(two, "b").where(_similar("sa", "sb", similarity))
-    same_fp = classes.select("fp", F.col("id").alias("ia"), F.col("sketch").alias("sa")).join(two.withColumnRenamed("b", "fp"), "fp").where("ia != ib").where(_similar("sa", "sb", similarity))
-    found = components(near.select(F.col("ia").alias("a"), F.col("ib").alias("b")).union(same_fp.select("ia", "ib")))
-    groups = classes.join(found, classes.id == found.node, "left").select("low", F.coalesce("root", "id").alias("root"))
+    rows = cut(profiles(slim, similarity, shingle).where("size > 0"))
+    named = cut(rows.groupBy("words_hash").agg(F.min(F.struct("__id", "__row")).alias("low")).select(F.xxhash64("words_hash", F.lit(3)).alias("id"), "low"))
+    classes = rows.groupBy("words_hash").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    keyed = classes.select(F.xxhash64("words_hash", F.lit(3)).alias("id"), "size", F.posexplode("prefix").alias("pos", "key")).select("id", "size", (F.col("size") - F.col("pos")).alias("rest"), "key")
+    of_key, ends = Window.partitionBy("key"), F.struct("id", "size", "rest")
+    met = keyed.withColumns({"n": F.count(F.lit(1)).over(of_key), "lo": F.min(ends).over(of_key), "hi": F.max(ends).over(of_key)}).where("n > 1")
+    two_fit = _possible(F.col("lo.size"), F.col("lo.rest"), F.col("hi.size"), F.col("hi.rest"), similarity)
+    shared = cut(met.where((F.col("n") > 2) | two_fit).drop("n"))
+
+    heads = [
+        shared.where(f"id != {x}.id").where(_possible(F.col("size"), F.col("rest"), F.col(f"{x}.size"), F.col(f"{x}.rest"), similarity))
+        .groupBy("id", F.col(f"{x}.id").alias("h")).count().groupBy("id").agg(F.max(F.struct("count", "h")).alias("m"))
+        .select(F.greatest("id", "m.h").alias("a"), F.least("id", "m.h").alias("b"))
+        for x in ("lo", "hi")
+    ]
+    links = _similar(heads[0].union(heads[1]).distinct(), named, slim, similarity, shingle)
+    group = components(links)
+    placed = shared.join(group, shared.id == group.node, "left").select("key", "id", "size", "rest", F.coalesce("root", "id").alias("g"))
+    open_keys = placed.groupBy("key").agg(F.min("g").alias("first"), F.max("g").alias("last")).where("first != last").select("key")
+    left = _meeting(cut(placed.join(open_keys, "key")), similarity).join(links, ["a", "b"], "left_anti")
+    more = _similar(left, named, slim, similarity, shingle)
+
+    found = components(links.union(more))
+    groups = named.join(found, named.id == found.node, "left").select("low", F.coalesce("root", "id").alias("root"))
     first = groups.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.__row").alias("__row"))
     gone = rows.select("__row").join(first, "__row", "left_anti")
     return keep.join(gone, "__row", "left_anti").select(*cols)

@@ -185,6 +185,34 @@ def test_clean_texts_of_common_words_stay(spark):
     assert simhash.drop_near_copies(df).count() == 60
 
 
+def similarity_roots(texts):
+    """Brute force over five-word shingles: the smallest row of each group at 0.8 or more; None of texts without a word."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode("utf-8", "surrogatepass").lower().split()
+        sets.append({b" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return roots(range(len(texts)), links), sets
+
+
+def kept_of(spark, texts):
+    df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)], DOCS)
+    return {r.doc_id for r in simhash.drop_near_copies(df).collect()}
+
+
+def test_every_pair_of_a_large_group_counts(spark):
+    """The middle text is unlike the others, which are near copies of each other: more than 16 such groups share their words."""
+    rng = np.random.default_rng(21)
+    words = [f"word{x}" for x in range(60)]
+    texts = []
+    for _ in range(12):
+        lead = list(rng.permutation(words))
+        texts += [" ".join(lead), " ".join(rng.permutation(lead)), " ".join(lead[:-1] + ["other"])]
+    want, _ = similarity_roots(texts)
+    assert len(set(want.values())) == 24
+    assert kept_of(spark, texts) == set(want.values())
+
+
 # --- shared parts
 
 
