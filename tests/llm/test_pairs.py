@@ -213,6 +213,19 @@ def test_every_pair_of_a_large_group_counts(spark):
     assert kept_of(spark, texts) == set(want.values())
 
 
+def test_near_copies_of_one_bag_of_words(spark):
+    """B and C have A's words in another order and are near copies; D is like B alone. Only A's class has the smallest id."""
+    rng = np.random.default_rng(22)
+    texts = []
+    for g in range(8):
+        a = [f"item{g}x{x}" for x in range(80)]
+        b = list(rng.permutation(a))
+        c = b[:76] + b[76:][::-1]
+        texts += [" ".join(a), " ".join(b), " ".join(c), " ".join(b[:-1] + ["different"])]
+    want, _ = similarity_roots(texts)
+    assert kept_of(spark, texts) == set(want.values()) == {i for g in range(8) for i in (4 * g, 4 * g + 1)}
+
+
 # --- shared parts
 
 
