@@ -226,6 +226,37 @@ def test_near_copies_of_one_bag_of_words(spark):
     assert kept_of(spark, texts) == set(want.values()) == {i for g in range(8) for i in (4 * g, 4 * g + 1)}
 
 
+@pytest.mark.parametrize("n", [14, 20, 40, 80, 300])
+def test_near_copies_are_found_at_every_length(spark, n):
+    rng = np.random.default_rng(n)
+    texts = []
+    for _ in range(40):
+        w = [f"ab{x}" if x % 3 else f"longer{x}" for x in rng.integers(0, 4000, n)]
+        texts.append(" ".join(w))
+        for at in (0, n - 1, n // 2):
+            texts.append(" ".join(w[:at] + [f"replaced{at}"] + w[at + 1:]))
+    want, _ = similarity_roots(texts)
+    assert len(set(want.values())) < len(texts)
+    assert kept_of(spark, texts) == set(want.values())
+
+
+def test_common_passages_and_orders_lose_no_pair(spark, monkeypatch):
+    """Passages that many texts share, and any sample for the order, leave the result as it is."""
+    rng = np.random.default_rng(23)
+    lines = [" ".join(f"line{k}w{x}" for x in range(30)) for k in range(3)]
+    texts = []
+    for _ in range(90):
+        w = " ".join(f"w{x}" for x in rng.integers(0, 9000, rng.integers(5, 90)))
+        texts.append(f"{lines[rng.integers(3)]} {w}")
+        if rng.random() < 0.5:
+            texts.append(f"{texts[-1]} {' '.join(f'v{x}' for x in rng.integers(0, 9000, rng.integers(1, 25)))}")
+    want = set(similarity_roots(texts)[0].values())
+    assert kept_of(spark, texts) == want
+    monkeypatch.setattr(simhash, "SAMPLE", 5)
+    monkeypatch.setattr(simhash, "SENT", 0)
+    assert kept_of(spark, texts) == want
+
+
 # --- shared parts
 
 
