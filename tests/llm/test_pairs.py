@@ -240,6 +240,19 @@ def test_near_copies_are_found_at_every_length(spark, n):
     assert kept_of(spark, texts) == set(want.values())
 
 
+def test_the_bound_of_similarity_is_exact(spark):
+    """Pairs of 100 to 104 shingles with 0.74 to 0.86 of them in common, many at the very bound."""
+    texts = []
+    for g in range(40):
+        w = [f"g{g}w{x}" for x in range(104)]
+        n = 84 + g % 16
+        texts += [" ".join(w), " ".join(w[:n] + [f"g{g}z{x}" for x in range(n, 104 - g % 5)])]
+    want, sets = similarity_roots(texts)
+    share = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, len(texts), 2)]
+    assert min(share) < 0.77 and max(share) > 0.83 and 0 < len(set(want.values())) < len(texts)
+    assert kept_of(spark, texts) == set(want.values())
+
+
 def test_common_passages_and_orders_lose_no_pair(spark, monkeypatch):
     """Passages that many texts share, and any sample for the order, leave the result as it is."""
     rng = np.random.default_rng(23)
