@@ -1,5 +1,6 @@
 """Embedding and SimHash near-duplicates, sharding and decontamination against brute force."""
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -270,6 +271,19 @@ def test_common_passages_and_orders_lose_no_pair(spark, monkeypatch):
     assert kept_of(spark, texts) == want
 
 
+def test_rows_go_by_a_key_that_is_read_once(spark):
+    """A source that gives its rows in another order each time it is read, as after a lost executor."""
+    def reordered(batches):
+        for pdf in batches:
+            yield pdf.sample(frac=1, random_state=int.from_bytes(os.urandom(4), "little"))
+
+    texts = [" ".join(f"t{k // 2}w{x}" for x in range(30)) for k in range(40)]
+    df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)], DOCS)
+    shuffled = df.mapInPandas(reordered, df.schema)
+    for _ in range(3):
+        assert {r.doc_id for r in simhash.drop_near_copies(shuffled).collect()} == set(range(0, 40, 2))
+
+
 # --- shared parts
 
 
