@@ -22,13 +22,22 @@ CACHED_WORDS = 200_000
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
+def words_of(text: str) -> list[str]:
+    """The words between white space; one of more than 64 characters as pieces of 64 that start every 48, so that each character
+    is read and what is no longer than 16 is whole in one piece."""
+    words = text.split()
+    if max(map(len, words), default=0) <= 64:
+        return words
+    return [w[k:k + 64] for w in words for k in range(0, max(1, len(w) - 16), 48)]
+
+
 def word_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word, lower-cased and without marks at its ends: the row of its own embedding, and the rows of those of
     its character trigrams (edges count), with where each word's begin."""
     bare = [w.lower().strip(_EDGE) for w in words]
     own = np.array([xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in bare], np.int64) & ((1 << WORD_BITS) - 1)
-    u = np.frombuffer("".join([f"\x02{w[:64]}\x03" for w in bare]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([min(len(w), 64) + 2 for w in bare], np.int64)
+    u = np.frombuffer("".join([f"\x02{w}\x03" for w in bare]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in bare], np.int64)
     first = np.cumsum(sizes) - sizes
     u = np.concatenate([u, np.zeros(2, np.uint64)])
     h = (u[:-2] * np.uint64(0x9E3779B97F4A7C15) + u[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + u[2:] * np.uint64(0x165667B19E3779F9)) >> np.uint64(64 - CHAR_BITS)
@@ -194,7 +203,7 @@ class Scorer:
 
     def logits(self, texts: list[str], every: bool = False):
         """The largest logit of each text's windows (of none: -inf); with every, also all windows' by text."""
-        split = [t.split() for t in texts]
+        split = [words_of(t) for t in texts]
         rows = self._rows([w for s in split for w in s])
         begin = np.cumsum([0] + [len(s) for s in split])
         starts = [windows_of(len(s)) for s in split]
@@ -224,7 +233,7 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 110, batc
     if not len(y) or y.min() == y.max():
         share = (float(y.sum()) + 1) / (len(y) + 2)
         return net.p, 0.0, float(np.log(share / (1 - share)))
-    split = [t.split() for t in texts]
+    split = [words_of(t) for t in texts]
     learn = rng.random(len(y)) > 0.2
     # where to look first: words whose share of toxic texts is largest
     bare = [[w.lower().strip(_EDGE) for w in s] for s in split]

@@ -49,6 +49,17 @@ def test_toxicity_on_held_out_rows():
     assert ((s >= 0.5) == y[700:]).mean() >= 0.97
 
 
+def test_toxicity_reads_all_of_a_long_word():
+    inner = set(toxicity.word_ids(["idiot"])[1][1:-1].tolist())  # trigrams without the edges
+    for at in (0, 50, 60, 100, 333):
+        text = "x" * at + "idiot" + "y" * 200
+        assert inner <= set(toxicity.word_ids(toxicity.words_of(text))[1].tolist())
+    for n in (1, 64, 65, 112, 113, 160, 161, 1000):
+        w = "".join(chr(0x4E00 + k) for k in range(n))
+        pieces = toxicity.words_of(f"a {w} b")[1:-1]
+        assert max(map(len, pieces)) <= 64 and pieces[0] + "".join(p[16:] for p in pieces[1:]) == w
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(2)
     net = toxicity.Network(1)
