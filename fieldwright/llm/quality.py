@@ -45,6 +45,11 @@ def _kinds() -> np.ndarray:
 _KINDS: list[np.ndarray] = []
 
 
+def repeats(longest: int) -> list[int]:
+    """Lengths of runs that are told apart, up to the longest: 1 to 16, then powers of two without an end."""
+    return list(range(1, min(longest, 16) + 1)) + [1 << k for k in range(5, longest.bit_length())]
+
+
 def features(text: str) -> np.ndarray:
     """Sorted hashed n-gram indicators (each of 2^18 once) of the whole text."""
     if not _KINDS:
@@ -69,40 +74,54 @@ def features(text: str) -> np.ndarray:
     same = words[1:] == words[:-1]
     run = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
     longest = int((run[1::2] - run[::2]).max()) if len(run) else 0
-    for n in range(1, min(longest, 16) + 1):  # word n-grams of one word n + 1 times
+    for n in repeats(longest):  # word n-grams of one word n + 1 times
         on[(n * 7919 + 13) % (1 << BITS)] = True
     return np.flatnonzero(on).astype(np.int32)
 
 
+def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """Of each indicator: the logarithm of its smoothed share of the rows of class 1 over that of class 0."""
+    pos, neg = np.full(1 << BITS, smooth), np.full(1 << BITS, smooth)
+    for x, label in zip(rows, y, strict=True):
+        (pos if label else neg)[x] += 1
+    return np.log((pos / ((y == 1).sum() + 2 * smooth)) / (neg / ((y == 0).sum() + 2 * smooth)))
+
+
+def scaled(x: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    return ratio[x] / np.sqrt(len(x) + 1)
+
+
+def coordinate_descent(values: list[np.ndarray], rows: list[np.ndarray], sign: np.ndarray, most: np.ndarray, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, intercept and dual variables of the linear hinge-loss model; each of these is between 0 and most."""
+    w, b, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
+    norm = [float((v * v).sum()) + 1 for v in values]
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            v, x = values[i], rows[i]
+            g = sign[i] * (float(w[x] @ v) + b) - 1
+            new = min(max(alpha[i] - g / norm[i], 0.0), most[i])
+            if new != alpha[i]:
+                step = (new - alpha[i]) * sign[i]
+                w[x] += step * v
+                b += step
+                alpha[i] = new
+    return w, b, alpha
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 20, cost: float = 1.0, smooth: float = 1.0) -> dict:
     """weights (over the indicators, log-count ratios included), and slope and offset of the score."""
     y = np.asarray(y)
     if not len(y) or y.min() == y.max():
         share = (float(y.sum()) + 1) / (len(y) + 2)
         return {"w": np.zeros(1 << BITS, np.float32), "b": 0.0, "slope": 0.0, "offset": float(np.log(share / (1 - share)))}
-    pos, neg = np.full(1 << BITS, smooth), np.full(1 << BITS, smooth)
-    for x, label in zip(rows, y, strict=True):
-        (pos if label else neg)[x] += 1
-    ratio = np.log((pos / ((y == 1).sum() + 2 * smooth)) / (neg / ((y == 0).sum() + 2 * smooth)))
+    ratio = log_count_ratios(rows, y, smooth)
     rng = np.random.default_rng(8)
     fold = rng.integers(0, 5, len(y))
 
     def train(keep: np.ndarray) -> tuple[np.ndarray, float]:
-        w, b, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(y))
-        sign = np.where(y == 1, 1.0, -1.0)
-        weight = np.where(y == 1, 0.5 / max(1, (y[keep] == 1).sum()), 0.5 / max(1, (y[keep] == 0).sum())) * len(keep) * cost
-        scaled = {i: ratio[rows[i]] / np.sqrt(len(rows[i]) + 1) for i in keep}
-        norm = {i: float((v * v).sum()) + 1 for i, v in scaled.items()}
-        for _ in range(epochs):
-            for i in rng.permutation(keep):
-                v, x = scaled[i], rows[i]
-                g = sign[i] * (float(w[x] @ v) + b) - 1
-                new = min(max(alpha[i] - g / norm[i], 0.0), weight[i])
-                if new != alpha[i]:
-                    step = (new - alpha[i]) * sign[i]
-                    w[x] += step * v
-                    b += step
-                    alpha[i] = new
+        own = [rows[i] for i in keep]
+        most = np.where(y[keep] == 1, 0.5 / max(1, (y[keep] == 1).sum()), 0.5 / max(1, (y[keep] == 0).sum())) * len(keep) * cost
+        w, b, _ = coordinate_descent([scaled(x, ratio) for x in own], own, np.where(y[keep] == 1, 1.0, -1.0), most, epochs, rng)
         return w * ratio, b
 
     def margin(model: tuple, x: np.ndarray) -> float:
@@ -150,9 +169,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 5000) -> d
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_docs: int = 5000, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1, higher: good likelier), predicted (1 from threshold on).
 
-    A null text scores as the empty one, which has no n-gram: its score is that of the intercept. Without usable labels, or
-    with labels of one class only, every text gets the smoothed share of good ones. Conflicting labels of a document count
-    as good. Other columns are not used.
+    A null text scores as the empty one, which has no n-gram: its score is that of the intercept. Texts of any length are read whole.
+    Without usable labels, or with labels of one class only, every text gets the smoothed share of good ones. Conflicting labels of a
+    document count as good. Repeated rows give a row each, an empty table an empty result. Other columns are not used.
     """
     hold = docs.sparkSession.sparkContext.broadcast(train_quality(docs, labels, max_docs))
     kinds = dict(docs.dtypes)
@@ -162,7 +181,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_docs: int = 5000) -> DataFrame:
-    """The rows of docs that the classifier accepts, as they are. Texts are scored where they stand, without a shuffle."""
+    """The rows of docs that the classifier accepts, as they are: repeated rows, rows without id and columns of any name too. Null and empty
+    texts have the intercept's score and go if that is under the threshold; without usable labels, or with those of one class only,
+    all texts have the smoothed share of good ones. Texts are scored whole where they stand, without a shuffle."""
     hold = docs.sparkSession.sparkContext.broadcast(train_quality(docs, labels, max_docs))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
