@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 # The base patterns. The look-behinds skip starts inside a run of digits, where the match from the run's
 # beginning has failed already, so that long runs take linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -44,16 +45,12 @@ def emails(text: str) -> list[tuple[int, int]]:
     match before."""
     out, done, at = [], 0, text.find("@")
     while at >= 0:
-        local = _LOCAL.search(text[max(done, at - 256):at])
-        if local and local.start() == 0 and at - 256 > done:  # a longer run
-            local = _LOCAL.search(text[done:at])
-            start = done + local.start()
-        else:
-            start = max(done, at - 256) + local.start() if local else -1
-        if local and (domain := _DOMAIN.match(text, at + 1)):
+        start = done + len(text[done:at].rstrip(_LOCAL))  # each character is looked at once, however long the run
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
             out.append((start, domain.end()))
-            done = domain.end()
-        at = text.find("@", max(at + 1, done))
+        done = domain.end() if domain else at + 1
+        at = text.find("@", done)
     return out
 
 
@@ -114,6 +111,8 @@ def labelled_table() -> list[tuple[str, list[str]]]:
 
 SHAPES = 4096
 DIGITS = 24
+#: Words that are decoded side by side, padding included.
+BATCH_CELLS = 200_000
 LABELS = ("O", *KINDS)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -239,14 +238,17 @@ def train_field(rows: list[tuple[str, list[str]]], rounds: int = 100, decay: flo
 
 
 def decode(p: dict, shape: np.ndarray, digits: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The best label of every word: Viterbi over all sequences side by side, in batches of similar length."""
+    """The best label of every word: Viterbi over all sequences side by side, in batches of similar length that hold about BATCH_CELLS
+    words with what they are padded by, so a long sequence stands beside few others."""
     e = _emissions(p, shape, digits, first)
     out = np.zeros(len(shape), np.int8)
     sizes = np.diff(np.append(first, len(shape)))
     order = np.argsort(sizes, kind="stable")
-    for lo in range(0, len(order), 4096):
-        part = order[lo:lo + 4096]
-        t = int(sizes[part].max())
+    hi = len(order)
+    while hi:
+        t = int(sizes[order[hi - 1]])  # the longest first: it sets the padding
+        lo = max(0, hi - max(1, BATCH_CELLS // t))
+        part, hi = order[lo:hi], lo
         idx = np.minimum(first[part][:, None] + np.arange(t), len(shape) - 1)
         mask = np.arange(t) < sizes[part][:, None]
         best = e[idx[:, 0]]
@@ -309,8 +311,14 @@ def all_spans(p: dict, texts: list[str]) -> list[tuple[list, list]]:
     out = []
     for t, extra in zip(texts, field_spans(p, texts), strict=True):
         base = base_spans(t)
-        taken = sorted(s for spans in base for s in spans)
-        free = lambda s, e: all(e <= a or s >= b for a, b in taken)
+        ends, begins = [-1], [len(t) + 1]  # the stretches that base spans cover, apart from each other
+        for s, e in sorted(s for spans in base for s in spans):
+            if s < ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                begins.insert(-1, s)
+                ends.append(e)
+        free = lambda s, e, begins=begins, ends=ends: ends[(k := bisect_right(begins, s, hi=len(begins) - 1))] <= s and begins[k] >= e
         out.append((base, [sorted(b + [x for x in more if free(*x)]) for b, more in zip(base, extra, strict=True)]))
     return out
 
@@ -322,7 +330,8 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans, n_added.
 
-    Offsets are code points of the whole text, ends exclusive. A null or empty text has no spans. Other columns are not used."""
+    Offsets are code points of the whole text, ends exclusive. A null or empty text has no spans; time and memory grow with the length
+    of a text, not with its square. Repeated rows give a row each, an empty table an empty result. Other columns are not used."""
     hold = docs.sparkSession.sparkContext.broadcast(train_field(labelled_table()))
 
     def run(texts: list[str]) -> dict:
@@ -340,7 +349,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """docs with every span of personal data in text replaced by its kind in angle brackets, e.g. <email>. Overlapping spans
-    become one, named by the first. Null texts stay null; n_chars, if there, is the new length."""
+    become one, named by the first. Null and empty texts stay as they are, long ones are read whole; n_chars, if there, is the new length.
+    Repeated rows, rows without id and other columns stay as they are, an empty table stays empty."""
     hold = docs.sparkSession.sparkContext.broadcast(train_field(labelled_table()))
     schema = docs.schema
 
