@@ -38,7 +38,8 @@ from .common import cut, new_dir
 MARK = b"FWSST001"
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-CACHED_WORDS = 300_000
+#: Words that a worker remembers at most, and how long they may be: some 100 MB at worst. Longer ones are encoded each time.
+CACHED_WORDS, CACHED_LENGTH = 300_000, 64
 SEPARATORS, NOT_SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"(?:\S|[\x1c-\x1f])+")
 _FOOTER = struct.Struct("<QQIQIQQ8x8s")
 
@@ -216,9 +217,11 @@ class WordEncoder:
     def part(self, part: str, encode: Callable[[str], bytes]) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) >= CACHED_WORDS:
-                self.parts.clear()
-            ids = self.parts[part] = encode(part)
+            ids = encode(part)
+            if len(part) <= CACHED_LENGTH:
+                if len(self.parts) >= CACHED_WORDS:
+                    self.parts.clear()
+                self.parts[part] = ids
         return ids
 
     def __call__(self, text: str) -> np.ndarray:
@@ -234,7 +237,7 @@ class WordEncoder:
             for i, ids in enumerate(out):
                 if ids is None:
                     w = words[i]
-                    out[i] = known.get(w) or known.setdefault(w, self.word(w))
+                    out[i] = known.get(w) or (self.word(w) if len(w) > CACHED_LENGTH else known.setdefault(w, self.word(w)))
         return np.frombuffer(b"".join(out), "<u4")
 
 
@@ -263,7 +266,7 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     entries, n_ids, first_id, last_id, and start, the number of ids in the shards before it.
 
     Documents are in ascending order of their id over all shards (null first; of repeated ids, by the text); end_id follows each
-    text. A null or empty text has that id only. A task writes to a name of its own and renames it, so a task that runs
+    text. A null or empty text has that id only; texts of any length are written whole. An empty table gives no file. A task writes to a name of its own and renames it, so a task that runs
     again replaces the file by the same one. Without shards, the session's number of shuffle partitions."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     spark = docs.sparkSession
@@ -331,7 +334,8 @@ def look_up(manifest: DataFrame, path: str, doc_id: int | None) -> list[np.ndarr
 
 
 def encoded_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
-    """Encodes documents, writes the shards to a new folder in the shared one and returns what is read back from them."""
+    """Encodes documents, writes the shards to a new folder in the shared one and returns what is read back from them: one row per row of
+    docs, repeated ones and those without id too. An empty table gives an empty result. Other columns are not used."""
     if tokenizer is None:
         import public_tokenizers
 
