@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by batched numpy Viterbi.
 
-The pieces and scores of a SentencePiece model are read; a text's segmentation is the one of largest total score, as that
-library's unigram model defines it, bytes standing for characters without a piece. Words of equal length advance together: at
+The pieces, scores and normaliser of a SentencePiece model are read; a text's segmentation is the one of largest total score, as that
+library's unigram model defines it, bytes standing for characters without a piece. (A BPE model's scores are ranks of its merges; its own
+segmentation merges by rank instead, so the ids differ from the library's for such a model, and decode to the same text.) Words of equal length advance together: at
 each end position the hashes of all their substrings probe the sorted hashes of the pieces, and the best of each word
 is kept with its start.
 """
@@ -21,13 +22,14 @@ from .common import map_texts
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 250_000
+#: Words that a worker remembers at most, and how long they may be: some 100 MB at worst. Longer ones are segmented each time.
+CACHED_WORDS, CACHED_LENGTH = 250_000, 64
 #: Cells (words x positions) that advance together.
 BATCH_CELLS = 400_000
 _BASE = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LEAD = np.uint64(44)
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class PieceModel:
@@ -35,8 +37,15 @@ class PieceModel:
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
-
-        model = SentencePieceProcessor(model_file=path)
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        model = self.model = SentencePieceProcessor(model_file=path)
+        proto = pb.ModelProto.FromString(model.serialized_model_proto())
+        spec = proto.normalizer_spec
+        if proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("pieces that end in a space are not supported")
+        self.front = SPACE if spec.add_dummy_prefix else ""
+        self.plain = spec.escape_whitespaces and not (spec.precompiled_charsmap or spec.remove_extra_whitespaces)
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.unknown = model.unk_id()
@@ -66,6 +75,16 @@ class PieceModel:
             h = (h * int(_BASE) + ord(c) + 1) & (2**64 - 1)
         return np.uint64((h ^ len(s)) * int(_MIX) & (2**64 - 1))
 
+    def normal(self, text: str) -> str:
+        """The text as the model's own normaliser gives it: spaces as U+2581, one more in front if the model wants it so."""
+        if not text:
+            return ""
+        return self.front + text.replace(" ", SPACE) if self.plain else self.model.normalize(text)
+
+    def expected(self, text: str) -> str:
+        """What decoding the ids of a text gives: the normalised text."""
+        return self.normal(text).removeprefix(self.front).replace(SPACE, " ")
+
     def probe(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where in key a piece was found, and its position in the sorted keys. Only hashes whose leading bits some piece has
         are searched."""
@@ -121,36 +140,42 @@ class PieceModel:
             result.append(ids)
         return result
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list(words)
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word; short ones are remembered."""
+        if len(self.known) + len(words) > CACHED_WORDS:
+            self.known = {}
+        made: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
-        for w in new:
-            by_length.setdefault(len(w), []).append(w)
+        for w in words:
+            if w not in self.known:
+                by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
             step = max(1, BATCH_CELLS // (length * self.longest))
             for i in range(0, len(group), step):
                 for w, ids in zip(group[i:i + step], self.segment(group[i:i + step]), strict=True):
-                    self.known[w] = ids.tobytes()
+                    made[w] = ids.tobytes()
+        if len(made) <= CACHED_WORDS:
+            self.known.update((w, ids) for w, ids in made.items() if len(w) <= CACHED_LENGTH)
+        return made
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Spaces become U+2581, one more stands in front of a text that is not empty; no piece has that sign
-        after another character, so words that begin with it are segmented on their own."""
-        words = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self.learn({w for ws in words for w in ws})
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
+        """Ids of each text, normalised. No piece has U+2581 after another character, so words that begin with it are segmented on
+        their own."""
+        words = [_WORD.findall(self.normal(t)) for t in texts]
+        made = self.learn({w for ws in words for w in ws})
+        known = self.known | made if len(made) > len(self.known) else self.known
+        get = lambda w: known.get(w) or made[w]
+        return [np.frombuffer(b"".join([get(w) for w in ws]), "<u4") for ws in words]
 
     @functools.cached_property
     def _shown(self) -> list[str]:
         return [p.replace(SPACE, " ") for p in self.pieces]
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, without the space put in front."""
+        """The text of ids, without the space that the model puts in front."""
         shown = self._shown
         if not self.byte_of:
-            return "".join([shown[i] for i in ids.tolist()])[1:]
+            return "".join([shown[i] for i in ids.tolist()])[len(self.front):]
         out: list[str] = []
         run = bytearray()
         for i in ids.tolist():
@@ -163,7 +188,7 @@ class PieceModel:
                 run.clear()
             out.append(shown[i])
         out.append(run.decode("utf-8", "replace"))
-        return "".join(out)[1:]
+        return "".join(out)[len(self.front):]
 
 
 def default_model() -> str:
@@ -202,8 +227,9 @@ def decode_ids(encoded: DataFrame, model: str | None = None, id_cols: tuple[str,
 
 def encoded_and_decoded(docs: DataFrame, model: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_pieces, ids_crc32 (unsigned, of the ids as little-endian 32-bit numbers), decoded_chars
-    and decoded_crc32 (of its UTF-8) of the decoded text, and round_trip: whether decoding gives the text again (U+2581 counts
-    as a space, as in the library); with_ids, also the ids. A null text counts as empty. Other columns are not used."""
+    and decoded_crc32 (of its UTF-8) of the decoded text, and round_trip: whether decoding gives the (normalised) text again (U+2581 counts
+    as a space, as in the library); with_ids, also the ids. A null text counts as empty and has no piece, texts of any length are read
+    whole. Repeated rows give a row each, an empty table an empty result. Other columns are not used."""
     path, held = model or default_model(), []
 
     def run(texts: list[str]) -> dict:
@@ -214,7 +240,7 @@ def encoded_and_decoded(docs: DataFrame, model: str | None = None, with_ids: boo
         return {
             "n_pieces": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids], "decoded_chars": [len(b) for b in back],
             "decoded_crc32": [zlib.crc32(b.encode("utf-8", "surrogatepass")) for b in back],
-            "round_trip": [b == t.replace(SPACE, " ") for b, t in zip(back, texts, strict=True)],
+            "round_trip": [b == held[0].expected(t) for b, t in zip(back, texts, strict=True)],
         } | ({"ids": [x.astype(np.int32) for x in ids]} if with_ids else {})
 
     schema = "doc_id " + dict(docs.dtypes)["doc_id"] + ", n_pieces bigint, ids_crc32 bigint, decoded_chars bigint, decoded_crc32 bigint, round_trip boolean"
