@@ -36,6 +36,12 @@ def _letters() -> np.ndarray:
     return out
 
 
+@functools.cache
+def _alphabetic() -> np.ndarray:
+    """Which code points are letters; marks on letters are none."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 def letter_vectors(dimensions: int = DIMENSIONS) -> np.ndarray:
     """One row a symbol; row 0 stands for a word's edge."""
     return (np.random.default_rng(2).integers(0, 2, (SYMBOLS, dimensions), dtype=np.int8) * 2 - 1).astype(np.int8)
@@ -44,6 +50,8 @@ def letter_vectors(dimensions: int = DIMENSIONS) -> np.ndarray:
 def gram_codes(text: str) -> np.ndarray:
     """The letter trigrams of a text as numbers, repeats included, word edges included; empty if it has no letter."""
     u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not _alphabetic()[u].any():
+        return np.zeros(0, np.int64)
     s = np.concatenate([[0], _letters()[u], [0]])
     s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]  # one edge between words
     if len(s) < 3:
@@ -127,26 +135,31 @@ def train_languages(docs: DataFrame, modulus: int = 3, held: int = 1, dimensions
 def language_predictions(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score (cosine with the prototype, 0 at least).
 
-    A null text or one without a letter is "und" with score 0; so is every text if there is nothing to learn from. Ties go
-    to the language that sorts first. Other columns are not used."""
+    A null text or one without a letter (marks alone are none) is "und" with score 0; so is every text if there is nothing to learn from.
+    Ties go to the language that sorts first. Texts of any length are read whole; repeated rows give a row each, an empty table an
+    empty result. Other columns are not used."""
     langs, protos = train_languages(docs, dimensions=dimensions)
     hold = docs.sparkSession.sparkContext.broadcast((langs, protos.astype(np.float32)))
     own: list[GramVectors] = []
 
     def predict(texts: list[str]) -> dict:
-        names, known = hold.value
         if not own:
             own.append(GramVectors(dimensions))
-        best, score = np.full(len(texts), -1), np.zeros(len(texts))
-        for i in range(0, len(texts), 512):
-            v = text_vectors(texts[i:i + 512], own[0])
-            size = np.sqrt(np.einsum("ij,ij->i", v.astype(np.float64), v))
-            if not names:
-                continue
-            cos = (v @ known.T) / np.where(size > 0, size, 1)[:, None]
-            best[i:i + 512] = np.where(size > 0, cos.argmax(1), -1)
-            score[i:i + 512] = np.where(size > 0, np.clip(cos.max(1), 0, 1), 0)
-        return {"lang_pred": [names[k] if k >= 0 else "und" for k in best], "score": score}
+        return predicted(texts, *hold.value, own[0])
 
     scored = map_texts(docs, ["doc_id"], predict, "doc_id " + dict(docs.dtypes)["doc_id"] + ", lang_pred string, score double")
     return scored.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def predicted(texts: list[str], names: list[str], known: np.ndarray, grams: GramVectors) -> dict:
+    """lang_pred and score of each text by the prototypes known, of length 1, of the languages names."""
+    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    for i in range(0, len(texts), 512):
+        v = text_vectors(texts[i:i + 512], grams)
+        size = np.sqrt(np.einsum("ij,ij->i", v.astype(np.float64), v))
+        if not names:
+            continue
+        cos = (v @ known.T) / np.where(size > 0, size, 1)[:, None]
+        best[i:i + 512] = np.where(size > 0, cos.argmax(1), -1)
+        score[i:i + 512] = np.where(size > 0, np.clip(cos.max(1), 0, 1), 0)
+    return {"lang_pred": [names[k] if k >= 0 else "und" for k in best], "score": score}
