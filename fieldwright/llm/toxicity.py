@@ -18,6 +18,7 @@ from .common import bucket_of, labelled, map_texts
 WINDOW, STRIDE = 24, 12
 WORD_BITS, CHAR_BITS = 14, 12
 EMBED, HIDDEN = 8, 8
+#: Words that a worker remembers at most; none is longer than 64 characters.
 CACHED_WORDS = 200_000
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
@@ -143,19 +144,18 @@ def windows_of(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - STRIDE), STRIDE) if n else np.zeros(0, np.int64)
 
 
-def _batch(windows: list[list[str]]) -> tuple:
-    flat = sorted({w for x in windows for w in x})
-    at = {w: i for i, w in enumerate(flat)}
+def _batch(windows: list[np.ndarray]) -> tuple:
+    """The distinct word numbers of windows, ascending, where each window has them, and where it has words."""
+    flat = np.unique(np.concatenate(windows))
     idx = np.zeros((len(windows), WINDOW), np.int64)
-    mask = np.zeros((len(windows), WINDOW), bool)
-    for i, x in enumerate(windows):
-        idx[i, :len(x)] = [at[w] for w in x]
-        mask[i, :len(x)] = True
+    mask = np.arange(WINDOW) < np.array([len(x) for x in windows])[:, None]
+    idx[mask] = np.searchsorted(flat, np.concatenate(windows))
     return flat, idx, mask
 
 
-def _step(net: Network, windows: list[list[str]], y: np.ndarray, weight: np.ndarray, moments: dict, rate: float) -> float:
-    flat, idx, mask = _batch(windows)
+def _step(net: Network, names: list[str], windows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, moments: dict, rate: float) -> float:
+    numbers, idx, mask = _batch(windows)
+    flat = [names[k] for k in numbers.tolist()]
     own, grams, first = ids = word_ids(flat)
     x = net.inputs(flat, ids)
     logit, kept = net.forward(net.gates(x)[idx], mask, keep=True)
@@ -233,18 +233,19 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 110, batc
     if not len(y) or y.min() == y.max():
         share = (float(y.sum()) + 1) / (len(y) + 2)
         return net.p, 0.0, float(np.log(share / (1 - share)))
-    split = [words_of(t) for t in texts]
+    known: dict[str, int] = {}  # words as numbers: a text takes four bytes a word
+    split = [np.fromiter((known.setdefault(w, len(known)) for w in words_of(t)), np.int32) for t in texts]
+    names = list(known)
     learn = rng.random(len(y)) > 0.2
     # where to look first: words whose share of toxic texts is largest
-    bare = [[w.lower().strip(_EDGE) for w in s] for s in split]
-    seen: dict[str, list[int]] = {}
+    forms: dict[str, int] = {}
+    bare = np.array([forms.setdefault(w.lower().strip(_EDGE), len(forms)) for w in names], np.int64)
+    seen = np.zeros((2, len(forms)))
     for i in np.flatnonzero(learn):
-        for w in set(bare[i]):
-            seen.setdefault(w, [0, 0])[y[i]] += 1
+        seen[y[i], np.unique(bare[split[i]])] += 1
     n1, n0 = max(1, int(y[learn].sum())), max(1, int((1 - y[learn]).sum()))
-    odds = {w: np.log((c[1] + 0.5) / (n1 + 1)) - np.log((c[0] + 0.5) / (n0 + 1)) for w, c in seen.items() if c[1] >= 3}
-    value = [np.array([odds.get(w, 0.0) for w in s]) for s in bare]
-    first = [max(windows_of(len(v)), key=lambda a, v=v: v[a:a + WINDOW].max(initial=-9), default=0) for v in value]
+    odds = np.where(seen[1] >= 3, np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1)), 0.0)
+    first = [max(windows_of(len(s)), key=lambda a, v=odds[bare[s]]: v[a:a + WINDOW].max(initial=-9), default=0) for s in split]
     moments: dict = {}
     picks = {i: int(first[i]) for i in range(len(y)) if len(split[i])}
     for turn in range(rounds):
@@ -273,7 +274,7 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 110, batc
             order = rng.permutation(len(t))
             for j in range(0, len(order), batch):
                 o = order[j:j + batch]
-                _step(net, [windows[i] for i in o], t[o], weight[o], moments, rate)
+                _step(net, names, [windows[i] for i in o], t[o], weight[o], moments, rate)
     scorer = Scorer(net.p, 1.0, 0.0)
     rest = [i for i in range(len(y)) if not learn[i] and len(split[i])]
     if min((y[rest] == 0).sum(), (y[rest] == 1).sum()) < 8:  # too few left out to tell
@@ -293,13 +294,15 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 110, batc
     return net.p, float(slope), float(offset)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_chars: int = 25_000) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted (1 from 0.5 on).
 
-    Learns from at most max_docs labelled texts, drawn by a hash of the id from all with crc32(id) mod 5 not 0. A null text or
-    one without a word has no window: score 0. Without usable labels, or with labels of one class only, every text with words gets
-    the smoothed share of toxic ones. Conflicting labels of a document count as toxic. Other columns are not used."""
-    drawn = labelled(docs, labels, "toxic", 5, max_docs).toPandas()
+    Learns from at most max_docs labelled texts, drawn by a hash of the id from all with crc32(id) mod 5 not 0, less those of
+    over max_chars characters: what the driver learns from is at most the product of both. Every text is scored whole, whatever its
+    length. A null text or one without a word has no window: score 0. Without usable labels, or with labels of one class only, every text
+    with words gets the smoothed share of toxic ones. Conflicting labels of a document count as toxic. Repeated rows give a row each, an
+    empty table an empty result. Other columns are not used."""
+    drawn = labelled(docs, labels, "toxic", 5, max_docs).where(F.length("text") <= max_chars).toPandas()  # at most max_docs x max_chars
     hold = docs.sparkSession.sparkContext.broadcast(fit(drawn["text"].tolist(), drawn["y"].to_numpy()))
     own: list[Scorer] = []
 
