@@ -60,6 +60,43 @@ def test_toxicity_reads_all_of_a_long_word():
         assert max(map(len, pieces)) <= 64 and pieces[0] + "".join(p[16:] for p in pieces[1:]) == w
 
 
+def test_toxicity_equals_a_plain_loop_over_windows():
+    """Scores of whole texts against one window at a time, each word read on its own, by the formulas of the network."""
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(40)] + ["Idiot!", "x" * 150, "***", "é漢", "(a)"]
+    texts = [" ".join(rng.choice(vocab, n)) for n in (0, 1, 2, 12, 13, 24, 25, 36, 37, 100, 700)] + [" \n ", "y" * 500]
+    p, slope, offset = toxicity.fit([*texts, *texts], np.arange(2 * len(texts)) % 2, rounds=1, steps=5)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def word_input(w):
+        own, grams, _ = toxicity.word_ids([w])
+        return np.concatenate([p["word"][own[0]], p["char"][grams].mean(0)]).astype(np.float64)
+
+    def logit(words):
+        h, states = toxicity.HIDDEN, []
+        for d, order in (("f", words), ("b", words[::-1])):
+            s, out = np.zeros(h), []
+            for w in order:
+                g, u = word_input(w) @ p["wx" + d] + p["b" + d], s @ p["wh" + d]
+                z, r = sig(g[:h] + u[:h]), sig(g[h:2 * h] + u[h:2 * h])
+                s = z * s + (1 - z) * np.tanh(g[2 * h:] + r * u[2 * h:])
+                out.append(s)
+            states.append(out if d == "f" else out[::-1])
+        both = np.array([np.concatenate(x) for x in zip(*states)])
+        a = np.exp(both @ p["att"])
+        return float((a / a.sum()) @ both @ p["out"] + p["bias"][0])
+
+    def score(text):
+        words = []
+        for w in text.split():
+            words += [w] if len(w) <= 64 else [w[k:k + 64] for k in range(0, len(w) - 16, 48)]
+        starts = [k for k in range(0, max(1, len(words)), 12) if k == 0 or k < len(words) - 12]
+        return sig(slope * max(logit(words[k:k + 24]) for k in starts) + offset) if words else 0.0
+
+    got = toxicity.Scorer(p, slope, offset).scores(texts)
+    assert np.abs(got - np.array([score(t) for t in texts])).max() < 1e-4
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(2)
     net = toxicity.Network(1)
@@ -106,6 +143,70 @@ def test_low_quality_rows_go_and_others_stay_as_they_are(spark):
     assert out.schema == docs.schema and 0 < out.count() < docs.count() and out.exceptAll(docs).count() == 0
 
 
+def plain_features(text):
+    """The indicators by plain loops over the text."""
+    m1, m2, m3, cut = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, lambda x: (x % 2**64) >> (64 - quality.BITS)
+    kind = lambda c: 65551 if ord(c) > 65535 else 4 if c.isspace() else 3 if c.isdigit() else 2 if c.isupper() else 1 if c.isalpha() else 16 + ord(c)
+    h, k, on = [ord(c) + 1 for c in text], [kind(c) for c in text], set()
+    for i in range(len(h)):
+        on.add(cut(h[i] * m1))
+        if i > 0:
+            two = h[i - 1] * m2 % 2**64 ^ h[i] * m1 % 2**64
+            on.add(cut(two * m3))
+        if i > 1:
+            three = (h[i - 2] * m2 % 2**64 ^ h[i - 1] * m1 % 2**64) * m3 + h[i]
+            on.add(cut(three * m1))
+        if i > 3:
+            five = 0
+            for x in k[i - 4:i + 1]:
+                five = five * m2 + x
+            on.add(cut(five * m3))
+    words, run, longest = text.split(), 0, 0
+    for a, b in zip(words, words[1:]):
+        run = run + 1 if a == b else 0
+        longest = max(longest, run)
+    n = 1
+    while n <= longest:
+        on.add((n * 7919 + 13) % 2**quality.BITS)
+        n = n + 1 if n < 16 else n * 2
+    return sorted(on)
+
+
+def test_quality_equals_a_plain_form():
+    """Features, log-count ratios and scores against plain loops; the dual solution by its own conditions."""
+    rng = np.random.default_rng(12)
+    signs = list("abc DE12.,!é漢 \n😀")
+    texts = ["".join(rng.choice(signs, rng.integers(0, 90))) for _ in range(120)] + ["", " ", "a", "go " * 5, "go " * 40, "go " * 3000]
+    y = np.array([int("a" in t[:20]) for t in texts])
+    rows = [quality.features(t) for t in texts]
+    assert [r.tolist() for r in rows] == [plain_features(t) for t in texts]
+    ratio = quality.log_count_ratios(rows, y)
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    for f in {f for r in rows[:5] for f in r.tolist()}:
+        c1, c0 = sum(f in r for r, t in zip(rows, y) if t), sum(f in r for r, t in zip(rows, y) if not t)
+        assert abs(ratio[f] - np.log((c1 + 1) / (n1 + 2) / ((c0 + 1) / (n0 + 2)))) < 1e-12
+    values, sign, most = [quality.scaled(r, ratio) for r in rows], np.where(y == 1, 1.0, -1.0), np.full(len(y), 1.0)
+    w, b, alpha = quality.coordinate_descent(values, rows, sign, most, 400, np.random.default_rng(1))
+    sums, total = {}, 0.0
+    for r, v, a, s in zip(rows, values, alpha, sign):
+        total += a * s
+        for f, x in zip(r.tolist(), v):
+            sums[f] = sums.get(f, 0.0) + a * s * x
+    assert abs(total - b) < 1e-9 and all(abs(w[f] - x) < 1e-9 for f, x in sums.items())
+    for r, v, a, s in zip(rows, values, alpha, sign):
+        g = s * (sum(w[f] * x for f, x in zip(r.tolist(), v)) + b) - 1
+        assert (a > 0 or g > -0.02) and (a < 1 or g < 0.02) and (not 0 < a < 1 or abs(g) < 0.02)
+    model = quality.fit(rows, y)
+    for t in texts:
+        on = plain_features(t)
+        z = model["slope"] * (sum(float(model["w"][f]) for f in on) / (len(on) + 1) ** 0.5 + model["b"]) + model["offset"]
+        assert abs(quality.score(model, t) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_long_runs_of_a_word_are_told_apart():
+    assert len({tuple(quality.features("go " * n).tolist()) for n in (2, 10, 17, 40, 100, 3000)}) == 6
+
+
 # --- op2
 
 
@@ -116,6 +217,35 @@ def test_language_on_held_out_rows(spark):
     assert (m["lang"] == m["lang_pred"]).mean() >= 0.97
 
 
+def test_language_prediction_equals_plain_cosines(spark):
+    """Prototypes, cosines and their order by plain sums over the trigrams of every text; marks alone are no letter."""
+    rng = np.random.default_rng(3)
+    words = {"aa": ["the", "cat", "on", "mat"], "bb": ["der", "Käse", "und", "straße"], "cc": ["le", "été", "où", "ça"]}
+    rows = [(i, " ".join(rng.choice(words[k], rng.integers(1, 30))), k) for i, k in enumerate(list(words) * 12)]
+    rows += [(100, None, "aa"), (101, "\u0301 \u0300", "bb"), (102, "12 !", "cc"), (103, "x", None), (104, "", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    base, d = language.letter_vectors().astype(np.int64), language.DIMENSIONS
+
+    def vector(t):
+        out = np.zeros(d)
+        for word in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            s = [0, *(ord(c) if ord(c) < 768 else 768 + ord(c) % 1280 for c in word), 0]
+            for x, y, z in zip(s, s[1:], s[2:]):
+                out += np.roll(base[x], 2) * np.roll(base[y], 1) * base[z]
+        return out
+
+    protos = {k: sum(vector(t) for i, t, g in rows if g == k and zlib.crc32(str(i).encode()) % 3 != 1) for k in words}
+    for r in language.language_predictions(df).collect():
+        text = {i: t for i, t, _ in rows}[r.doc_id]
+        v = vector(text)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if not v.any():
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cos = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in protos.items()}
+        assert abs(cos[r.lang_pred] - max(cos.values())) < 1e-6 and abs(r.score - max(0, cos[r.lang_pred])) < 1e-5
+
+
 def test_language_takes_odd_rows(spark, odd):
     rows = language.language_predictions(odd).collect()
     by_id = {r.doc_id: r for r in rows}
@@ -172,6 +302,20 @@ def test_word_shortcuts_equal_the_tokenizer():
         assert e(s).tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids, s
 
 
+def test_memory_of_words_is_bounded():
+    """Texts without white space are words that are not remembered; ids stay those of the libraries."""
+    own, model = sstable.WordEncoder(tokenizer_path()), pieces.PieceModel(model_path())
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(0x4E00 + c) for c in rng.integers(0, 5000, 300)) for _ in range(500)] + ["short words " * 50]
+    for t in texts[:20] + texts[-1:]:
+        assert own(t).tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+    for t in texts[20:-1]:
+        own(t)
+    assert [model.decode(x) for x in model.encode(texts)] == texts
+    for held in (own.known, own.parts, model.known):
+        assert max(map(len, held), default=0) <= 64 and len(held) < 50
+
+
 def test_table_file_round_trip(tmp_path):
     import pyarrow.fs as pafs
 
@@ -209,6 +353,36 @@ def test_base_spans_equal_the_patterns():
     assert all(pii.base_spans(t) == plain_spans(t) for t in texts)
 
 
+def test_long_texts_take_time_by_their_length(field):
+    """One text of 100,000 numbers, a run of a million characters before an @, many base spans beside many of the field's own."""
+    import time
+    import tracemalloc
+
+    began = time.time()
+    tracemalloc.start()
+    pii.all_spans(field, ["short text 12"] * 3000 + ["123 " * 100_000] + ["call 12"] * 3000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+    run = "a" * 1_000_000
+    assert pii.emails(f"{run}@b.cd {run} @{run}") == [(0, 1_000_005)]
+    assert pii.emails("@" * 200_000) == [] and pii.base_spans("1" * 1_000_000)[2] == []
+    base, spans = pii.all_spans(field, ["call (456) 555-2186 now, version 2.0 of it, then write to a.b@c.de please " * 5000])[0]
+    assert len(base[0]) == 5000 and len(spans[3]) > 4000
+    assert time.time() - began < 90
+
+
+def test_added_spans_never_overlap_base_ones(field):
+    rng = np.random.default_rng(6)
+    parts = ["a.b@c.de", "(456) 555-2186", "+1 456 555 2186", "4111 1111 1111 1111", "10.0.0.1", "555-456-2186,", "word", "no. 1234567"]
+    texts = [" ".join(rng.choice(parts, 30)) for _ in range(60)]
+    for base, spans in pii.all_spans(field, texts):
+        taken = [s for kind in base for s in kind]
+        for kind, own in zip(base, spans, strict=True):
+            assert all(s in own for s in kind)
+            assert all(e <= a or s >= b for s, e in own if (s, e) not in kind for a, b in taken)
+
+
 @pytest.fixture(scope="module")
 def field():
     return pii.train_field(pii.labelled_table())
