@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, strip_ws
+from .text import col, let, strip_ws
 from .vocab import BAD_CHARACTER, NO_SAMPLE
 
 _FAMILY = r"^(anc|an|ac|nc|n|a|c)(\.\.|!)\(([0-9]*)\)$"
@@ -14,20 +14,23 @@ _NUMBER = r"^i\(([0-9]+)(,\s*([0-9]+))?\)$"
 
 def parse_domain(c: Column | str) -> Column:
     """struct(key, x, y) of a domain type, null if it is none. x: length or digits before the point, y: digits after it."""
-    s = strip_ws(c)
-    family, kind, size = (F.regexp_extract(s, _FAMILY, i) for i in (1, 2, 3))
-    digits, rest, places = (F.regexp_extract(s, _NUMBER, i) for i in (1, 2, 3))
-    key = (
-        F.when((family != "") & (kind == "!") & (size != ""), F.concat(family, F.lit("_fix")))
-        .when((family != "") & (kind == "..") & (size != ""), F.concat(family, F.lit("_var")))
-        .when((family != "") & (kind == ".."), F.concat(family, F.lit("_var_nolimit")))
-        .when((digits != "") & (rest == ""), F.lit("i_int"))
-        .when(digits != "", F.lit("i_dec"))
-        .when(F.lower(s).isin("date", "time", "datetime", "timestamp"), F.lower(s))
-    )
-    number = lambda x: F.when(x != "", x).cast("long")
-    x = F.coalesce(number(size), number(digits))
-    return F.when(key.isNotNull(), F.struct(key.alias("key"), x.alias("x"), number(places).alias("y")))
+    def parts(s: Column) -> Column:
+        names = [(_FAMILY, "family"), (_FAMILY, "kind"), (_FAMILY, "size"), (_NUMBER, "digits"), (_NUMBER, "rest"), (_NUMBER, "places")]
+        return F.struct(*[F.regexp_extract(s, pattern, 1 + k % 3).alias(name) for k, (pattern, name) in enumerate(names)], F.lower(s).alias("low"))
+
+    def read(m: Column) -> Column:
+        key = (
+            F.when((m["family"] != "") & (m["kind"] == "!") & (m["size"] != ""), F.concat(m["family"], F.lit("_fix")))
+            .when((m["family"] != "") & (m["kind"] == "..") & (m["size"] != ""), F.concat(m["family"], F.lit("_var")))
+            .when((m["family"] != "") & (m["kind"] == ".."), F.concat(m["family"], F.lit("_var_nolimit")))
+            .when((m["digits"] != "") & (m["rest"] == ""), F.lit("i_int"))
+            .when(m["digits"] != "", F.lit("i_dec"))
+            .when(m["low"].isin("date", "time", "datetime", "timestamp"), m["low"])
+        )
+        number = lambda x: F.when(x != "", x).cast("long")
+        return let(key, lambda k: F.when(k.isNotNull(), F.struct(k.alias("key"), F.coalesce(number(m["size"]), number(m["digits"])).alias("x"), number(m["places"]).alias("y"))))
+
+    return let(strip_ws(c), lambda s: let(parts(s), read))
 
 
 def char_class(key: Column) -> Column:
@@ -84,21 +87,29 @@ def length_fault(sample: Column, domain: Column) -> Column:
     )
 
 
-def sample_fault(domain_type: Column | str, sample: Column | str) -> Column:
-    """Why a sample breaks its domain type; null if it does not, if it is a placeholder, or if the type is unreadable."""
-    domain, s = parse_domain(domain_type), strip_ws(sample)
+def _fault(sample: Column, domain: Column) -> Column:
+    """sample stripped, domain parsed, each given as a value that is read once."""
     return F.when(
-        domain.isNotNull() & (F.coalesce(s, F.lit("")) != "") & ~s.isin(NO_SAMPLE), F.coalesce(char_fault(s, domain["key"]), length_fault(s, domain))
+        domain.isNotNull() & (F.coalesce(sample, F.lit("")) != "") & ~sample.isin(NO_SAMPLE), F.coalesce(char_fault(sample, domain["key"]), length_fault(sample, domain))
     )
 
 
+def sample_fault(domain_type: Column | str, sample: Column | str) -> Column:
+    """Why a sample breaks its domain type; null if it does not, if it is a placeholder, or if the type is unreadable."""
+    both = F.struct(parse_domain(domain_type).alias("d"), strip_ws(sample).alias("s"))
+    return let(both, lambda v: let(v["d"], lambda d: _fault(v["s"], d)))
+
+
 def date_kind(sample: Column | str) -> Column:
     """日期, 时间 or 时间戳: the first of DATE, TIME and DATETIME that a sample satisfies; null for none or a placeholder."""
-    s = strip_ws(sample)
-    out = F.lit(None).cast("string")
-    for domain, kind in (("DATETIME", "时间戳"), ("TIME", "时间"), ("DATE", "日期")):
-        out = F.when(sample_fault(F.lit(domain), s).isNull(), kind).otherwise(out)
-    return F.when((F.coalesce(s, F.lit("")) != "") & ~s.isin(NO_SAMPLE), out)
+    def kind(s: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for domain, name in (("datetime", "时间戳"), ("time", "时间"), ("date", "日期")):
+            read = F.struct(F.lit(domain).alias("key"), F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"))
+            out = F.when(_fault(s, read).isNull(), name).otherwise(out)
+        return F.when((F.coalesce(s, F.lit("")) != "") & ~s.isin(NO_SAMPLE), out)
+
+    return let(strip_ws(sample), kind)
 
 
 def domain_conflict(domain_type: Column | str, sample: Column | str) -> Column:

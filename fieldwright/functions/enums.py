@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, strip_ws
+from .text import col, let, strip_ws
 from .vocab import COMPLEMENTARY, NOT_COMPLEMENTARY
 
 #: Three tests of whether a rule cites an outside standard, each with its own use.
@@ -50,11 +50,15 @@ def repeated(parts: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: (x != "") & (F.size(F.filter(parts, lambda y: y == x)) > 1)))
 
 
+#: A digits-mark-name part of a rule text, and the code of an item.
+RULE_PART = r"(\d+)\s*[-—、,，:：]\s*([^\d;,，\n；]+)"
+ITEM_CODE = r"(?:^|;)([^\s;-]+)-"
+
+
 def tidy_rule(c: Column | str) -> Column:
     """A rule text as code-name;code-name if it holds at least two digits-mark-name parts; as it is if it cites a standard; else null."""
     s = strip_ws(c)
-    pattern = r"([0-9]+)\s*[-—、,，:：]\s*([^0-9;,，\n；]+)"
-    codes, names = F.regexp_extract_all(s, F.lit(pattern), F.lit(1)), F.regexp_extract_all(s, F.lit(pattern), F.lit(2))
+    codes, names = F.regexp_extract_all(s, F.lit(RULE_PART), F.lit(1)), F.regexp_extract_all(s, F.lit(RULE_PART), F.lit(2))
     joined = F.array_join(F.zip_with(codes, names, lambda a, b: F.concat(a, F.lit("-"), strip_ws(b))), ";")
     return F.when(s.rlike(CITED_IN_RULE), s).when(F.size(codes) >= 2, joined)
 
@@ -80,7 +84,7 @@ def loose_detail(c: Column | str) -> Column:
 def enum_domain_type(rule: Column | str) -> Column:
     """an..(n): n the longest code, 2 at least and by default, 20 for a cited standard."""
     r = F.coalesce(col(rule), F.lit(""))
-    longest = F.array_max(F.transform(F.regexp_extract_all(r, F.lit(r"(?:^|;)([^\s;-]+)-"), F.lit(1)), F.length))
+    longest = F.array_max(F.transform(F.regexp_extract_all(r, F.lit(ITEM_CODE), F.lit(1)), F.length))
     return F.when(r.rlike("参考|《"), "an..(20)").otherwise(F.concat(F.lit("an..("), F.greatest(F.coalesce(longest, F.lit(2)), F.lit(2)).cast("string"), F.lit(")")))
 
 
@@ -91,23 +95,29 @@ def normalised(c: Column | str) -> Column:
     are letters and digits, in brackets or not, before - : ： = or bracketed; a list whose items all end in -CODE is turned
     round. normalized is filled only if the list has codes and is not written as code-value;code-value already.
     """
-    raw = F.coalesce(col(c), F.lit(""))
-    s = F.regexp_replace(strip_ws(raw), r"^[:：]\s*(?=-?[0-9A-Za-z]+\s*[-:：=])", "")
-    hard = s.rlike(r"[;；,，|\n]")
     code = r"-?[0-9A-Za-z]+"
-    cut_soft = F.regexp_replace(s, rf"(?U)\s+(?=[(（]{code}[)）]|{code}\s*[-:：=])", ";")
-    cut = F.when(hard, F.regexp_replace(s, r"(?U)\s*[;；,，|\n]\s*", ";")).otherwise(cut_soft)
-    parts = F.filter(F.transform(F.split(cut, ";"), strip_ws), lambda x: x != "")
     head = rf"(?s)^[(（]?({code})(?:[)）]\s*[-:：=]?|\s*[-:：=])\s*(.+)$"
     tail = r"(?s)^(.*\P{ASCII}.*)-\s*([0-9A-Za-z]+)$"
-    ahead = F.forall(parts, lambda x: x.rlike(head))
-    behind = F.forall(parts, lambda x: x.rlike(tail))
-    front = F.transform(parts, lambda x: F.concat(F.regexp_extract(x, head, 1), F.lit("-"), strip_ws(F.regexp_extract(x, head, 2))))
-    turned = F.transform(parts, lambda x: F.concat(F.regexp_extract(x, tail, 2), F.lit("-"), strip_ws(F.regexp_extract(x, tail, 1))))
-    new = F.array_join(F.when(ahead, front).otherwise(turned), ";")
-    has = (F.size(parts) == 0) | ahead | behind
-    needs = (F.size(parts) > 0) & has & (new != raw)
-    return F.struct(has.alias("has_codes"), needs.alias("needs_normalization"), F.when(needs, new).otherwise("").alias("normalized"))
+
+    def parts(s: Column) -> Column:
+        cut_soft = F.regexp_replace(s, rf"(?U)\s+(?=[(（]{code}[)）]|{code}\s*[-:：=])", ";")
+        cut = F.when(s.rlike(r"[;；,，|\n]"), F.regexp_replace(s, r"(?U)\s*[;；,，|\n]\s*", ";")).otherwise(cut_soft)
+        return F.filter(F.transform(F.split(cut, ";"), strip_ws), lambda x: x != "")
+
+    def read(xs: Column) -> Column:
+        ahead, behind = F.forall(xs, lambda x: x.rlike(head)), F.forall(xs, lambda x: x.rlike(tail))
+        front = F.transform(xs, lambda x: F.concat(F.regexp_extract(x, head, 1), F.lit("-"), strip_ws(F.regexp_extract(x, head, 2))))
+        turned = F.transform(xs, lambda x: F.concat(F.regexp_extract(x, tail, 2), F.lit("-"), strip_ws(F.regexp_extract(x, tail, 1))))
+        new = F.when(ahead, front).when(behind, turned)
+        return F.struct(F.size(xs).alias("n"), ((F.size(xs) == 0) | ahead | behind).alias("has"), F.array_join(new, ";").alias("new"))
+
+    def judged(v: Column) -> Column:
+        has = v["has"]
+        needs = (v["n"] > 0) & has & (v["new"] != F.coalesce(col(c), F.lit("")))
+        return F.struct(has.alias("has_codes"), needs.alias("needs_normalization"), F.when(needs, v["new"]).otherwise("").alias("normalized"))
+
+    bare = F.regexp_replace(strip_ws(F.coalesce(col(c), F.lit(""))), r"^[:：]\s*(?=-?[0-9A-Za-z]+\s*[-:：=])", "")
+    return let(let(let(bare, parts), read), judged)
 
 
 def complementary(a: Column | str, b: Column | str, default: bool = True) -> Column:

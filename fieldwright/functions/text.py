@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value computed once a row however often body uses it: a plain Column would be copied to each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_ws(c: Column | str) -> Column:
     """Without white space at the ends; U+3000 and line ends count as white space, which trim() leaves."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")

@@ -43,15 +43,16 @@ WHITELIST = {
     CODE: [f"{f}_{k}" for f in ("a", "n", "an", "anc") for k in ("var", "fix")],
 }
 
-#: (category, name suffixes, sample lengths without a note, note), in order of precedence.
+#: (category, name suffixes, sample lengths without a note, note), in order of precedence. Defaults that name no system: what a house
+#: knows of its own numbers is passed in their place.
 KEY_ITEMS = [
-    ("机构", ["机构编号", "机构号", "机构编码", "网点", "分行", "辖行", "机构代码"], [10, 11], "疑似交行内部机构代码/机构编号或外部机构号，请结合业务确认具体口径"),
-    ("客户", ["客户号", "客户编号", "ECIF客户号", "总行客户号"], [16], "疑似ECIF定长16位客户号或其他系统的客户号，请结合业务确认具体口径"),
-    ("员工", ["人工号", "人编号", "柜员号", "柜员编号", "员工号", "柜员", "经理编号"], [7], "疑似EUIF定长7位员工/柜员编号或其他系统的员工编号，请结合业务确认具体口径"),
-    ("产品组", ["产品组编号"], [8], "疑似EPIM产品组标准编号，请结合业务确认具体口径"),
-    ("基础产品", ["基础产品编号"], [13], "疑似EPIM基础产品标准编号，请结合业务确认具体口径"),
-    ("可售产品", ["可售产品编号"], [23], "疑似EPIM可售产品标准编号，请结合业务确认具体口径"),
-    ("产品域层级", ["产品域层级编号"], [2], "疑似EPIM产品域层级编号，请结合业务确认具体口径"),
+    ("机构", ["机构编号", "机构号", "机构编码", "网点", "分行", "辖行", "机构代码"], [10, 11], "与内部机构编号的长度不同，请结合业务确认具体口径"),
+    ("客户", ["客户号", "客户编号"], [16], "与定长客户号的长度不同，请结合业务确认具体口径"),
+    ("员工", ["人工号", "人编号", "柜员号", "柜员编号", "员工号", "柜员", "经理编号"], [7], "与定长员工编号的长度不同，请结合业务确认具体口径"),
+    ("产品组", ["产品组编号"], [8], "与产品组标准编号的长度不同，请结合业务确认具体口径"),
+    ("基础产品", ["基础产品编号"], [13], "与基础产品标准编号的长度不同，请结合业务确认具体口径"),
+    ("可售产品", ["可售产品编号"], [23], "与可售产品标准编号的长度不同，请结合业务确认具体口径"),
+    ("产品域层级", ["产品域层级编号"], [2], "与产品域层级编号的长度不同，请结合业务确认具体口径"),
 ]
 
 #: Offending character per character class: (its pattern, words before it, words after it).

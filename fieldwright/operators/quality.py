@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enums
 from ..functions.domain import parse_domain, sample_fault
-from ..functions.text import blank, col, numbered, strip_ws
+from ..functions.text import blank, col, let, numbered, strip_ws
 from ..functions.vocab import (
     CLASSES, ENUM, ENUM_LIKE, FAILED, FLAG, KEY_ITEMS, NO, NO_ENUM_MARKS, NOTHING, NOTHING_COLUMNS, PASSED, REQUIRED, WHITELIST, YES,
 )
@@ -56,23 +56,22 @@ def enum_issue() -> Column:
 
 
 def domain_issue() -> Column:
-    key = parse_domain("domain_type")["key"]
-    allowed = F.lit(False)
-    for name, keys in WHITELIST.items():
-        allowed = allowed | ((F.col("field_type") == name) & key.isin(keys))
-    return F.when(
-        class_ok() & ~F.col("field_type").isin(ENUM_LIKE) & ~blank("domain_type"),
-        F.when(key.isNull(), F.concat(F.lit("域类型'"), F.col("domain_type"), F.lit("'格式不合法")))
-        .when(~allowed, F.concat(F.lit("域类型'"), F.col("domain_type"), F.lit("'不允许用于字段所属类型'"), F.col("field_type"), F.lit("'"))),
-    )
+    def issue(v: Column) -> Column:
+        allowed = F.lit(False)
+        for name, keys in WHITELIST.items():
+            allowed = allowed | ((F.col("field_type") == name) & v["key"].isin(keys))
+        return F.when(v["key"].isNull(), F.concat(F.lit("域类型'"), F.col("domain_type"), F.lit("'格式不合法"))).when(
+            ~allowed, F.concat(F.lit("域类型'"), F.col("domain_type"), F.lit("'不允许用于字段所属类型'"), F.col("field_type"), F.lit("'"))
+        )
+
+    asked = class_ok() & ~F.col("field_type").isin(ENUM_LIKE) & ~blank("domain_type")
+    return F.when(asked, let(F.struct(parse_domain("domain_type")["key"].alias("key")), issue))
 
 
 def sample_issue() -> Column:
-    fault = sample_fault("domain_type", "data_example")
-    return F.when(
-        class_ok() & ~F.col("field_type").isin(ENUM_LIKE) & ~blank("data_example") & fault.isNotNull(),
-        F.concat(F.lit("数据示例'"), F.col("data_example"), F.lit("'不符合域类型'"), F.col("domain_type"), F.lit("'的限制: "), fault),
-    )
+    asked = class_ok() & ~F.col("field_type").isin(ENUM_LIKE) & ~blank("data_example")
+    text = lambda v: F.when(v["f"].isNotNull(), F.concat(F.lit("数据示例'"), F.col("data_example"), F.lit("'不符合域类型'"), F.col("domain_type"), F.lit("'的限制: "), v["f"]))
+    return F.when(asked, let(F.struct(sample_fault("domain_type", "data_example").alias("f")), text))
 
 
 def row_issues() -> Column:
@@ -102,14 +101,15 @@ def check_rules(sheet: DataFrame) -> DataFrame:
 def consistency_issue(field_type: Column, enum_values: Column, enum_status: Column, has_codes: Column, normalized: Column) -> Column:
     """The issue of an enum list that does not fit its class; null if none, if the result came twice or the list lacks codes."""
     used = F.when(F.coalesce(normalized, F.lit("")) != "", normalized).otherwise(enum_values)
-    seen, n = F.array_distinct(enums.values(used)), enums.item_count(used)
-    yes_no = (F.size(seen) == 2) & F.array_contains(seen, YES) & F.array_contains(seen, NO)
     skip = (F.coalesce(enum_status, F.lit("")) == "duplicate") | (F.coalesce(has_codes, F.lit(True)) == F.lit(False)) | (F.coalesce(enum_values, F.lit("")) == "")
-    return F.when(
-        ~skip,
-        F.when((field_type == ENUM) & yes_no, "代码枚举类字段的枚举值有且仅有'是'和'否'，应申报为标志类")
-        .when((field_type == FLAG) & (n > 2), F.concat(F.lit("标志类字段的枚举值超过两项（实际"), n.cast("string"), F.lit("项），应申报为代码枚举类"))),
-    )
+
+    def issue(seen: Column) -> Column:
+        yes_no = (F.size(F.array_distinct(seen)) == 2) & F.array_contains(seen, YES) & F.array_contains(seen, NO)
+        return F.when((field_type == ENUM) & yes_no, "代码枚举类字段的枚举值有且仅有'是'和'否'，应申报为标志类").when(
+            (field_type == FLAG) & (F.size(seen) > 2), F.concat(F.lit("标志类字段的枚举值超过两项（实际"), F.size(seen).cast("string"), F.lit("项），应申报为代码枚举类"))
+        )
+
+    return F.when(~skip, let(enums.values(used), issue))
 
 
 def add_consistency(rows: DataFrame) -> DataFrame:
@@ -178,20 +178,25 @@ def combine(rows: DataFrame) -> DataFrame:
     )
 
 
-def key_item_note(name: Column | str, sample: Column | str) -> Column:
-    """The note of the first key-item rule whose suffix the name has, if its sample's first token has another length than allowed."""
-    name = strip_ws(name)
-    token = strip_ws(F.coalesce(col(sample), F.lit("")))
+def key_item_note(name: Column | str, sample: Column | str, rules: list[tuple] = KEY_ITEMS) -> Column:
+    """The note of the first key-item rule whose suffix the name has, if its sample's first token has another length than allowed.
+    rules: (category, suffixes, allowed lengths, note)."""
+    token = F.coalesce(col(sample), F.lit(""))
     for mark in ("；", ";", "，", ",", "、"):
-        token = strip_ws(F.split_part(token, F.lit(mark), F.lit(1)))
-    n, out = F.length(token), F.lit(None).cast("string")
-    for category, suffixes, lengths, note in reversed(KEY_ITEMS):
-        hit = F.lit(False)
-        for s in suffixes:
-            hit = hit | name.endswith(s)
-        text = F.when(~n.isin(lengths), F.concat(F.lit(f"{category}类字段数据示例长度为"), n.cast("string"), F.lit(f"位，{note}")))
-        out = F.when(hit, text).otherwise(out)
-    return F.when(token != "", out)
+        token = F.split_part(strip_ws(token), F.lit(mark), F.lit(1))
+    first = F.struct(strip_ws(name).alias("name"), F.length(strip_ws(token)).alias("n"))
+
+    def note(v: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for category, suffixes, lengths, text in reversed(rules):
+            hit = F.lit(False)
+            for s in suffixes:
+                hit = hit | v["name"].endswith(s)
+            said = F.when(~v["n"].isin(lengths), F.concat(F.lit(f"{category}类字段数据示例长度为"), v["n"].cast("string"), F.lit(f"位，{text}")))
+            out = F.when(hit, said).otherwise(out)
+        return F.when(v["n"] > 0, out)
+
+    return let(first, note)
 
 
 def single_note(field_type: Column, enum: Column) -> Column:
@@ -219,7 +224,7 @@ def _scored(status: Column, failed: Column | None, label: str, bad: Column) -> C
     )
 
 
-def soft_notes(rows: DataFrame) -> DataFrame:
+def soft_notes(rows: DataFrame, key_items: list[tuple] = KEY_ITEMS) -> DataFrame:
     """rows with soft_check_result: numbered notes on passed rows, each once: key item, class, single item, duplicates, antonym,
     sample. Of the scorers the rows carry class_status, is_correct, correct_type, class_reason, antonym_status, is_antonym, sample_status,
     is_valid, sample_reason (null where not asked) and, for a call that failed, class_failed, antonym_failed, sample_failed."""
@@ -232,7 +237,7 @@ def soft_notes(rows: DataFrame) -> DataFrame:
     )
     bad_sample = F.when(~F.col("is_valid"), F.concat(F.lit("数据示例存在问题："), F.col("sample_reason")))
     notes = F.concat(
-        F.array(key_item_note("field_name", "data_example"), _scored(F.col("class_status"), failed("class_failed"), "字段所属类型检查", wrong), single_note(F.col("field_type"), used)),
+        F.array(key_item_note("field_name", "data_example", key_items), _scored(F.col("class_status"), failed("class_failed"), "字段所属类型检查", wrong), single_note(F.col("field_type"), used)),
         duplicate_code_notes(used),
         F.array(
             _scored(F.col("antonym_status"), failed("antonym_failed"), "枚举值反义词检查", opposite),
