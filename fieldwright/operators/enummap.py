@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import enums
 from ..functions.vocab import ENUM, MODIFY, MODIFY_REUSE, NEW_ALL, NEW_STANDARD, REUSE, REUSE_REUSE
 from .retrieve import topk_cosine
-from .scoring import DUPLICATE, MISSING
+from .scoring import CALL_FAILED, CALL_FAILED_REASON, DUPLICATE, DUPLICATE_REASON, FAILED, MISSING, MISSING_REASON
 
 
 def enum_fields(sheet: DataFrame) -> DataFrame:
@@ -100,20 +100,31 @@ def outcome(rows: DataFrame) -> DataFrame:
     reasoning and, from locate, item_id, operation and missing_values."""
     f, c = F.col, F.coalesce
     located = f("item_id").isNotNull()
+    failed = f("call_failed") if "call_failed" in rows.columns else F.lit(None).cast("string")
     result = (
-        F.when(c("fetch_error", F.lit("")) != "", "候选检索失败，需人工复核").when(f("n_candidates") == 0, NEW_ALL)
+        F.when(c("fetch_error", F.lit("")) != "", "候选检索失败，需人工复核").when(f("n_candidates") == 0, NEW_ALL).when(f("status") == FAILED, CALL_FAILED)
         .when(f("status") == DUPLICATE, "LLM返回重复结果，需人工复核").when(f("status") == MISSING, "LLM未返回该行结果，需人工复核").when(f("selection") == NEW_STANDARD, NEW_ALL)
         .when(~located, "LLM返回异常结果，需人工复核").when(f("operation") == REUSE, REUSE_REUSE).otherwise(MODIFY_REUSE)
     )
     reason = (
         F.when(c("fetch_error", F.lit("")) != "", f("fetch_error")).when(f("n_candidates") == 0, "枚举值召回无候选枚举代码，判定新增枚举代码并新增标准")
-        .when(f("status") != "ok", "").when((f("selection") != NEW_STANDARD) & ~located, F.concat(F.lit("LLM 选中的标准编号 "), f("selected_std_id"), F.lit(" 不在召回候选内，需人工复核")))
+        .when(f("status") == FAILED, F.concat(F.lit(CALL_FAILED_REASON), failed)).when(f("status") == DUPLICATE, DUPLICATE_REASON).when(f("status") == MISSING, MISSING_REASON)
+        .when((f("selection") != NEW_STANDARD) & ~located, F.concat(F.lit("LLM 选中的标准编号 "), f("selected_std_id"), F.lit(" 不在召回候选内，需人工复核")))
         .otherwise(f("reasoning"))
     )
     out = rows.withColumn("mapping_result", result).withColumn("llm_reason", reason)
     return out.withColumn("enum_code_suggestion", F.when(f("mapping_result") == MODIFY_REUSE, suggestion(f("item_id"), f("missing_values"))).otherwise(""))
 
 
+def candidate_text(candidates: Column) -> Column:
+    """Enum candidates (item_id, item_name, score, operation, standards) as one cell."""
+    def one(c: Column) -> Column:
+        ids = F.array_join(F.transform(c["standards"], lambda s: s["std_id"]), "+")
+        return F.concat(c["item_id"], F.lit(" "), F.coalesce(c["item_name"], F.lit("")), F.lit("(得分"), c["score"].cast("string"), F.lit("/n,"), c["operation"], F.lit(",标准"), ids, F.lit(")"))
+
+    return F.array_join(F.transform(candidates, one), "; ")
+
+
 def selection_request(candidates: DataFrame) -> DataFrame:
     """row_index, candidates: the standards of its enum codes in order, each once. candidates: row_index, rank, std_pos, std_id, std_name, definition."""
     w = Window.partitionBy("row_index", "std_id").orderBy("rank", "std_pos")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domain import date_kind, domain_conflict
-from ..functions.names import needs_datetime_rename, needs_flag_rename
+from ..functions.names import datetime_name, is_indicator, needs_datetime_rename, needs_flag_rename
 from ..functions.vocab import FLAG, NEW_STANDARD, NON_ENUM, NUMBER
-from .scoring import DUPLICATE, MISSING, OK
+from .scoring import DUPLICATE, DUPLICATE_REASON, MISSING, MISSING_REASON, OK
 
 
 def non_enum_fields(sheet: DataFrame) -> DataFrame:
@@ -25,6 +25,17 @@ def datetime_rename_requests(fields: DataFrame) -> DataFrame:
     )
 
 
+def rename_by_rule(fields: DataFrame) -> DataFrame:
+    """Datetime fields renamed by the written rule: the suffix of the sample's kind in place of another one, or added."""
+    new = F.when(needs_datetime_rename("field_type", "field_name", "data_example"), datetime_name("field_name", date_kind("data_example"))).otherwise(F.col("field_name"))
+    return fields.withColumn("field_name", new)
+
+
+def drop_indicators_by_rule(fields: DataFrame) -> DataFrame:
+    """fields less the number fields that the written rule takes for statistics."""
+    return fields.where(~((F.col("field_type") == NUMBER) & is_indicator("field_name", "business_caliber")))
+
+
 def numeric_requests(fields: DataFrame) -> DataFrame:
     return fields.where(F.col("field_type") == NUMBER).select("row_index", "field_name", "business_caliber")
 
@@ -48,7 +59,7 @@ def filter_domains(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates kept, per row the detail text and eliminated ids). candidates: row_index, place, std_id, domain_type, field_type,
     data_example. Flags keep all, blank samples keep all, else candidates whose domain rules the sample out go."""
     free = (F.col("field_type") == FLAG) | (F.coalesce("data_example", F.lit("")) == "")
-    rows = candidates.withColumn("__conflict", ~free & domain_conflict("domain_type", "data_example"))
+    rows = candidates.withColumn("__conflict", F.when(free, False).otherwise(domain_conflict("domain_type", "data_example")))
     d = F.coalesce("domain_type", F.lit(""))
     note = F.when(F.col("__conflict"), F.concat(F.lit("备选标准"), "std_id", F.lit("域类型"), d, F.lit("与数据示例'"), "data_example", F.lit("'冲突，已淘汰"))).otherwise(
         F.concat(F.lit("备选标准"), "std_id", F.lit("域类型"), d, F.lit("无冲突"))
@@ -78,8 +89,14 @@ def outcome(fetch_error: Column, n_candidates: Column, status: Column, selection
     )
 
 
+def outcome_reason(fetch_error: Column, n_candidates: Column, status: Column, reasoning: Column) -> Column:
+    """Why: the search's fault, that nothing is left, what is doubtful, or the scorer's reasoning."""
+    return (
+        F.when(F.coalesce(fetch_error, F.lit("")) != "", fetch_error).when(n_candidates == 0, "无备选标准或备选标准经域类型筛选后全部淘汰，直接新增标准")
+        .when(status == DUPLICATE, DUPLICATE_REASON).when(status == MISSING, MISSING_REASON).otherwise(reasoning)
+    )
+
+
 def candidate_text(candidates: Column) -> Column:
     """Candidates as one cell: id name, one a line."""
     return F.array_join(F.transform(candidates, lambda c: F.concat(c["std_id"], F.lit(" "), F.coalesce(c["std_name"], F.lit("")))), "\n")
-
-

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws, token_estimate
+from ..functions.vocab import FAILED, MODIFY_REUSE, NEW_ALL, NEW_STANDARD, PASSED, REUSE_REUSE
 
 
 def summary(df: DataFrame, verdict: str, labels: list[str], by: list[str] | None = None, other: str = "other") -> DataFrame:
@@ -14,6 +15,25 @@ def summary(df: DataFrame, verdict: str, labels: list[str], by: list[str] | None
     return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
 
 
+def quality_summary(checked: DataFrame) -> DataFrame:
+    return summary(checked, "check_result", [PASSED, FAILED])
+
+
+def mapping_summary(mapped: DataFrame) -> DataFrame:
+    """Reused (n_0), new (n_1), failed searches (n_2) and other verdicts of the rows that were mapped."""
+    return summary(mapped.where("mapping_result != ''"), "mapping_result", ["复用已有标准", NEW_STANDARD, "候选检索失败，需人工复核"])
+
+
+def enum_summary(mapped: DataFrame) -> DataFrame:
+    return summary(mapped.where("mapping_result != ''"), "mapping_result", [NEW_ALL, REUSE_REUSE, MODIFY_REUSE])
+
+
+def maintenance_summary(entries: DataFrame) -> DataFrame:
+    """n_rows, n_renamed and n_merged. entries: field_name, normalized_name, generated_meaning, merged_meaning."""
+    differs = lambda a, b: F.count_if(F.coalesce(a, F.lit("")) != F.coalesce(b, F.lit("")))
+    return entries.agg(F.count(F.lit(1)).alias("n_rows"), differs("normalized_name", "field_name").alias("n_renamed"), differs("merged_meaning", "generated_meaning").alias("n_merged"))
+
+
 def token_usage(calls: DataFrame) -> DataFrame:
     """Tokens by (module, label) and in total (both null). calls: module, label, prompt, answer, prompt_tokens, answer_tokens; a group whose recorded
     tokens are all 0 is estimated from its texts."""

@@ -2,78 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import name_variants
+from ..sources.tables import kept
+
+#: Queries that one task compares with a block of items; numbers of a block's vectors; postings of a block; cells held at once.
+QUERY_ROWS, BLOCK_NUMBERS, BLOCK_POSTINGS, CELLS = 4096, 1 << 22, 1 << 21, 1 << 22
+
+
+def _dealt(queries: DataFrame, items: DataFrame, parts: int, blocks: int, by: list[str]):
+    """Queries and items as cogroups: queries in parts, items in blocks, every part with every block of its class. Neither side's groups
+    grow with the table."""
+    q = queries.withColumn("part", F.pmod(F.xxhash64("q", F.lit(3)), F.lit(parts)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    i = items.withColumn("blk", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = [*by, "blk", "part"]
+    return q.groupBy(*keys).cogroup(i.groupBy(*keys))
+
 
-#: Dictionary vectors are sent to every executor up to so many numbers (512 MB as float32); larger ones are dealt in blocks.
-BROADCAST_NUMBERS = 1 << 27
-BLOCK_ROWS = 20_000
+def _best(row: np.ndarray, col: np.ndarray, v: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first of each row by falling order, then by col."""
+    rank = np.lexsort((col, -order, row))
+    row, col, v = row[rank], col[rank], v[rank]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], v[keep]
+
+
+def _ranked(found: DataFrame, k: int, order: F.Column) -> DataFrame:
+    """The k best of each query over all blocks, with rank."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(order, "i"))).where(F.col("rank") <= k)
 
 
 def topk_cosine(
     queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, vec: str = "vector", by: str | None = None, least: float | None = None,
-    broadcast_numbers: int = BROADCAST_NUMBERS,
+    query_rows: int = QUERY_ROWS, block_numbers: int = BLOCK_NUMBERS,
 ) -> DataFrame:
     """query_id, item_id, score: for every query the k items of largest cosine (ties: smaller id), within the class by if given, least at
-    least. Exact, in double precision, by blocks of items: each block is multiplied with the queries' batches and gives its own k best, and the k
-    best of those are kept. Null vectors find nothing."""
-    q = queries.where(F.col(vec).isNotNull()).select(F.col(query_id).alias("q"), F.col(vec).alias("qv"), *([F.col(by).alias("qb")] if by else []))
-    it = items.where(F.col(vec).isNotNull()).select(F.col(item_id).alias("i"), F.col(vec).alias("iv"), *([F.col(by).alias("ib")] if by else []))
+    least. Exact, in double precision: queries are dealt in parts and items in blocks, a task multiplies one of each and gives its own
+    k best, and the k best of those are kept. Null vectors find nothing. Both tables are counted, so give them as tables."""
+    cls = ["c"] if by else []
+    if by:
+        queries, items = queries.where(F.col(by).isNotNull()), items.where(F.col(by).isNotNull())
+    q = queries.where(F.col(vec).isNotNull()).select(F.col(query_id).alias("q"), F.col(vec).alias("qv"), *([F.col(by).alias("c")] if by else []))
+    it = items.where(F.col(vec).isNotNull()).select(F.col(item_id).alias("i"), F.col(vec).alias("iv"), *([F.col(by).alias("c")] if by else []))
     n_items, dim = it.agg(F.count(F.lit(1)), F.max(F.size("iv"))).first()
-    kinds = dict(q.dtypes) | dict(it.dtypes)
-    schema = f"q {kinds['q']}, i {kinds['i']}, score double"
-    if not n_items:
-        return queries.sparkSession.createDataFrame([], schema).select(F.col("q").alias(query_id), F.col("i").alias(item_id), "score")
-
-    def best(qs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        x, y = _unit(qs["qv"]), _unit(block["iv"])
-        ids, order = block["i"].to_numpy(), np.argsort(block["i"].to_numpy(), kind="stable")
-        out = []
-        for s in range(0, len(x), 512):
-            score = x[s:s + 512] @ y[order].T
-            if by:
-                score[qs["qb"].to_numpy()[s:s + 512, None] != block["ib"].to_numpy()[order][None, :]] = -np.inf
+    schema = f"q {dict(q.dtypes)['q']}, i {dict(it.dtypes)['i']}, score double"
+
+    def compare(qs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(block):
+            return pd.DataFrame({"q": qs["q"][:0], "i": block["i"][:0], "score": np.zeros(0)})
+        block = block.sort_values("i", kind="stable", ignore_index=True)
+        x, y, out, step = _unit(qs["qv"]), _unit(block["iv"]), [], max(1, CELLS // len(block))
+        for s in range(0, len(x), step):
+            score = x[s:s + step] @ y.T
             if least is not None:
                 score[score < least] = -np.inf
-            m = min(k, score.shape[1])
-            if m < score.shape[1]:  # all that tie with the k-th stay in the running
-                floor = np.partition(score, -m, axis=1)[:, -m]
-            else:
-                floor = np.full(len(score), -np.inf)
+            m = min(k, score.shape[1])  # all that tie with the m-th stay in the running
+            floor = np.partition(score, -m, axis=1)[:, -m]
             row, col = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
             v = score[row, col]
-            rank = np.lexsort((col, -v, row))
-            row, col, v = row[rank], col[rank], v[rank]
-            at = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = at < k
-            out.append(pd.DataFrame({"q": qs["q"].to_numpy()[s + row[keep]], "i": ids[order][col[keep]], "score": v[keep]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"q": [], "i": [], "score": []})
-
-    if n_items * (dim or 1) <= broadcast_numbers:
-        held = queries.sparkSession.sparkContext.broadcast(it.toPandas())
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield best(pdf, held.value)
-
-        found = q.mapInPandas(run, schema)
-    else:
-        blocks = -(-n_items // BLOCK_ROWS)
-        dealt = it.withColumn("blk", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
-        copies = q.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(64)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        per_part = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        found = copies.groupBy("blk", "part").cogroup(per_part.groupBy("blk", "part")).applyInPandas(
-            lambda a, b: best(a, b) if len(a) and len(b) else pd.DataFrame({"q": a["q"][:0], "i": b["i"][:0], "score": pd.Series([], dtype=float)}), schema
-        )
-    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "i")
-    ranked = found.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
-    return ranked.select(F.col("q").alias(query_id), F.col("i").alias(item_id), "score")
+            out.append(_best(row + s, col, v, v, k))
+        row, col, v = (np.concatenate(a) for a in zip(*out, strict=True))
+        return pd.DataFrame({"q": qs["q"].to_numpy()[row], "i": block["i"].to_numpy()[col], "score": v})
+
+    parts, blocks = max(1, -(-q.count() // query_rows)), max(1, -(-n_items * (dim or 1) // block_numbers))
+    found = _ranked(_dealt(q, it, parts, blocks, cls).applyInPandas(compare, schema), k, F.col("score").desc())
+    return found.select(F.col("q").alias(query_id), F.col("i").alias(item_id), "score")
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -109,25 +106,49 @@ def tokens(text: F.Column | str) -> F.Column:
     return F.concat(words, grams)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, query_text: str = "text", doc_text: str = "text", by: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score: the k best documents of each query by BM25 (ties: smaller id), within the class by if given. Each distinct query
-    token counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over the class. Only postings of tokens that some query has are kept, and they
-    are summed before documents are ranked."""
-    c = ["__c"]
-    d = docs.select(F.col(doc_id).alias("__d"), (F.col(by) if by else F.lit(0)).alias("__c"), tokens(doc_text).alias("__t")).withColumn("__len", F.size("__t"))
-    q = queries.select(F.col(query_id).alias("__q"), (F.col(by) if by else F.lit(0)).alias("__c"), F.explode(F.array_distinct(tokens(query_text))).alias("w"))
-    stats = d.groupBy(*c).agg(F.count(F.lit(1)).alias("__N"), F.avg("__len").alias("__avg"))
-    asked = q.select("w", *c).distinct()
-    postings = d.select("__d", *c, "__len", F.explode("__t").alias("w")).join(asked, ["w", *c]).groupBy("w", *c, "__d", "__len").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("w", *c).agg(F.count(F.lit(1)).alias("df"))
-    weighted = (
-        postings.join(df, ["w", *c]).join(F.broadcast(stats), c)  # one row a class
-        .withColumn("part", F.log1p((F.col("__N") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("__len") / F.col("__avg"))))
-        .select("w", *c, "__d", "part")
-    )
-    scored = q.join(weighted, ["w", *c]).groupBy("__q", "__d").agg(F.sum("part").alias("score"))
-    w = Window.partitionBy("__q").orderBy(F.round("score", 9).desc(), "__d")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("__q").alias(query_id), F.col("__d").alias(doc_id), "score", "rank")
+def bm25(
+    queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, query_text: str = "text", doc_text: str = "text", by: str | None = None, k1: float = 1.2, b: float = 0.75,
+    query_rows: int = QUERY_ROWS, block_postings: int = BLOCK_POSTINGS,
+) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best documents of each query by BM25 (ties: smaller id), within the class by if given. Each distinct
+    query token counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over the class. Only postings of tokens that some query has are
+    kept. Queries are dealt in parts and documents in blocks; a task adds up the postings of one of each and gives its own k best, so that a
+    token that all share makes no row for each query and document. Tokens go as 64-bit hashes."""
+    word = lambda t: F.transform(t, lambda x: F.xxhash64(x))
+    d = docs.select(F.col(doc_id).alias("i"), (F.col(by) if by else F.lit(0)).alias("c"), word(tokens(doc_text)).alias("t")).withColumn("len", F.size("t"))
+    q = queries.select(F.col(query_id).alias("q"), (F.col(by) if by else F.lit(0)).alias("c"), word(F.array_distinct(tokens(query_text))).alias("t"))
+    stats = d.groupBy("c").agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg"))
+    asked = q.select("c", F.explode("t").alias("w")).distinct()
+    postings = kept(d.select("i", "c", "len", F.explode("t").alias("w")).join(asked, ["w", "c"]).groupBy("w", "c", "i", "len").agg(F.count(F.lit(1)).alias("tf")))
+    df = postings.groupBy("w", "c").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log1p((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+    weighted = postings.join(df, ["w", "c"]).join(F.broadcast(stats), "c").select("c", "i", "w", weight.alias("v"))  # stats: one row a class
+    schema = f"q {dict(q.dtypes)['q']}, i {dict(d.dtypes)['i']}, score double"
+
+    def add_up(qs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(block):
+            return pd.DataFrame({"q": qs["q"][:0], "i": block["i"][:0], "score": np.zeros(0)})
+        ids, doc = np.unique(block["i"].to_numpy(), return_inverse=True)
+        order = np.argsort(block["w"].to_numpy(), kind="stable")
+        doc, words, v = doc[order], block["w"].to_numpy()[order], block["v"].to_numpy()[order]
+        row, col, val = [], [], []
+        for n, t in enumerate(qs["t"]):
+            first, last = np.searchsorted(words, t, "left"), np.searchsorted(words, t, "right")
+            at = np.concatenate([np.arange(f, e) for f, e in zip(first, last, strict=True)] or [np.zeros(0, np.int64)])
+            score = np.bincount(doc[at], v[at], len(ids))
+            rounded = np.round(score, 9)
+            hit = np.unique(doc[at])
+            if len(hit) > k:  # all that tie with the k-th stay in the running
+                hit = hit[rounded[hit] >= np.partition(rounded[hit], -k)[-k]]
+            row.append(np.full(len(hit), n)), col.append(hit), val.append(score[hit])
+        row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
+        row, col, val = _best(row, col, val, np.round(val, 9), k)
+        return pd.DataFrame({"q": qs["q"].to_numpy()[row], "i": ids[col], "score": val})
+
+    parts, blocks = max(1, -(-q.count() // query_rows)), max(1, -(-postings.count() // block_postings))
+    found = _ranked(_dealt(q, weighted, parts, blocks, ["c"]).applyInPandas(add_up, schema), k, F.round("score", 9).desc())
+    return found.select(F.col("q").alias(query_id), F.col("i").alias(doc_id), "score", "rank")
 
 
 def hybrid_union(dense: DataFrame, name_sparse: DataFrame, meaning_sparse: DataFrame) -> DataFrame:

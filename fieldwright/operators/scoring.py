@@ -6,11 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-OK, DUPLICATE, MISSING = "ok", "duplicate", "missing"
+from ..sources.tables import number_rows
+
+OK, DUPLICATE, MISSING, FAILED = "ok", "duplicate", "missing", "failed"
+#: What the reports say of a row without one result.
+DUPLICATE_REASON, MISSING_REASON = "LLM 调用成功但同一 row_index 返回多条结果，需人工复核", "LLM 调用成功但返回结果中缺少该行，需人工复核"
+CALL_FAILED, CALL_FAILED_REASON = "LLM判断失败", "LLM 调用失败（重试后仍失败）: "
 
 #: Result columns of each scorer beside row_index.
 RESULTS = {
@@ -29,53 +34,54 @@ RESULTS = {
 
 
 def batches(df: DataFrame, size: int, by: list[str] | None = None, order: str = "row_index") -> DataFrame:
-    """df with batch: rows numbered by order within by, so many to a batch. Without by, rows are first numbered per range of order."""
-    if by:
-        n = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-        return df.withColumn("batch", F.floor((n - 1) / size).cast("long"))
-    return number_rows(df, order, "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size).cast("long")).drop("__n")
-
-
-def number_rows(df: DataFrame, order: str, name: str, slices: int = 64) -> DataFrame:
-    """df with 1, 2, ... in the order of a column: numbered within ranges of it, plus the rows of the ranges before. Only the bounds
-    of the ranges reach the driver."""
-    bounds = sorted({float(b) for b in df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.001)})
-    cut = F.lit(0)
-    for b in bounds:
-        cut = cut + (F.col(order) > b).cast("int")
-    sliced = df.withColumn("__s", cut)
-    sizes = sliced.groupBy("__s").agg(F.count(F.lit(1)).alias("__c"))
-    before = sizes.withColumn("__o", F.coalesce(F.sum("__c").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("__s").orderBy(order))
-    return (
-        sliced.withColumn("__l", local).join(F.broadcast(before.select("__s", "__o")), "__s")  # a row for each of at most 64 ranges
-        .withColumn(name, F.col("__l") + F.col("__o")).drop("__s", "__l", "__o")
-    )
-
-
-def run_scorer(requests: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], result: str, size: int = 10, concurrency: int | None = None) -> DataFrame:
-    """row_index and the scorer's columns. scorer: request rows -> result rows, called with at most size rows of one partition. A batch that
-    raises gives no rows, so its rows are reconciled as missing. concurrency bounds the calls at a time."""
+    """df with batch: rows numbered by order, within by if given, so many to a batch."""
+    return number_rows(df, order, "__b", by).withColumn("batch", F.floor((F.col("__b") - 1) / size).cast("long")).drop("__b")
+
+
+def run_scorer(
+    requests: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], result: str, size: int = 10, concurrency: int | None = None,
+    by: str | None = None, on_error: str = "raise",
+) -> DataFrame:
+    """row_index, the scorer's columns and call_failed (text, null if the call went well). scorer: request rows -> result rows, called with
+    at most size rows of one partition, of one class if by names its column. concurrency bounds the calls at a time.
+
+    on_error is the policy for a call that raises: "raise" lets the job fail; "mark" gives its rows with call_failed and no result;
+    "missing" gives none of its rows, so that they are reconciled as missing."""
+    if on_error not in ("raise", "mark", "missing"):
+        raise ValueError(on_error)
+    names = [c.split()[0] for c in result.split(", ")]
+
+    def call(part: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return scorer(part)[["row_index", *names]].assign(call_failed=None)
+        except Exception as e:  # noqa: BLE001  any failure of the user's function is the policy's to judge
+            if on_error == "raise":
+                raise
+            rows = part[["row_index"]] if on_error == "mark" else part[["row_index"]].iloc[:0]
+            return rows.assign(**dict.fromkeys(names), call_failed=f"{type(e).__name__}: {e}")
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for i in range(0, len(pdf), size):
-                try:
-                    yield scorer(pdf.iloc[i:i + size])
-                except Exception:  # noqa: BLE001  the policy for a failed call: its rows count as missing
-                    continue
+            for group in [g for _, g in pdf.groupby(by, sort=False, dropna=False)] if by else [pdf]:
+                for i in range(0, len(group), size):
+                    yield call(group.iloc[i:i + size].reset_index(drop=True))
 
     if concurrency:
         requests = requests.repartition(concurrency)
-    return requests.mapInPandas(run, f"row_index bigint, {result}")
+    return requests.mapInPandas(run, f"row_index bigint, {result}, call_failed string")
 
 
 def reconcile(sent: DataFrame, results: DataFrame, order: str = "arrival", key: str = "row_index") -> DataFrame:
     """sent with the result columns and status: the last result of a row by order, ok if it came once, duplicate if more often,
-    missing if not at all. Results nobody asked for are dropped."""
+    missing if not at all, failed if its call did (call_failed). Results nobody asked for are dropped."""
     cols = [c for c in results.columns if c not in (key, order)]
     last = results.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.max_by(F.struct(*cols), F.col(order)).alias("__last"))
     joined = sent.join(last, key, "left")
-    status = F.when(F.col("__n").isNull(), MISSING).when(F.col("__n") > 1, DUPLICATE).otherwise(OK)
+    status = F.when(F.col("__n").isNull(), MISSING).when(F.col("__n") > 1, DUPLICATE)
+    if "call_failed" in cols:
+        status = F.when(F.col("__last.call_failed").isNotNull(), FAILED).otherwise(status.otherwise(OK))
+    else:
+        status = status.otherwise(OK)
     return joined.select(*sent.columns, *[F.col(f"__last.{c}").alias(c) for c in cols], status.alias("status"))
 
 

@@ -9,20 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import enums
+from ..functions.vocab import KEY_ITEMS
 from ..operators import dictionary as dic
 from ..operators import enummap, maintain, mapping, quality, retrieve
-from ..operators.scoring import RESULTS, embed_distinct, reconcile, run_scorer
+from ..operators.scoring import FAILED, OK, RESULTS, embed_distinct, reconcile, run_scorer
 from ..sources.tables import kept, overwrite_enum, write_back
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def _ask(requests: DataFrame, scorer: Scorer | None, kind: str, size: int, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Request rows with results and status. Results are kept before they are joined, so a retry does not ask again. Without a scorer every row is missing."""
+def _ask(requests: DataFrame, scorer: Scorer | None, kind: str, size: int, checkpoint: Callable[[DataFrame], DataFrame], on_error: str = "missing", by: str | None = None) -> DataFrame:
+    """Request rows with results and status. Results are kept before they are joined, so a retry does not ask again. Without a scorer every
+    row is missing. on_error: what a call that raises means for its rows (see run_scorer)."""
     if scorer is None:
-        results = requests.sparkSession.createDataFrame([], f"row_index bigint, {RESULTS[kind]}, arrival bigint")
+        results = requests.sparkSession.createDataFrame([], f"row_index bigint, {RESULTS[kind]}, call_failed string, arrival bigint")
     else:
-        results = checkpoint(run_scorer(requests, scorer, RESULTS[kind], size).withColumn("arrival", F.monotonically_increasing_id()))
+        results = checkpoint(run_scorer(requests, scorer, RESULTS[kind], size, by=by, on_error=on_error).withColumn("arrival", F.monotonically_increasing_id()))
     return reconcile(requests.select("row_index"), results)
 
 
@@ -34,10 +36,11 @@ def rule_enum_results(rows: DataFrame) -> DataFrame:
 
 def quality_check(
     sheet: DataFrame, meaning: Scorer | None = None, class_check: Scorer | None = None, antonym: Scorer | None = None, sample: Scorer | None = None,
-    enum_normalise: Scorer | None = None, checkpoint: Callable[[DataFrame], DataFrame] = kept, ask_meaning: bool = True,
+    enum_normalise: Scorer | None = None, checkpoint: Callable[[DataFrame], DataFrame] = kept, ask_meaning: bool = True, key_items: list[tuple] = KEY_ITEMS,
 ) -> DataFrame:
     """sheet with check_result, fail_reason, soft_check_result, its enum column normalised. Without an enum scorer lists are normalised by the written
-    rules; with ask_meaning off, the meaning check is left out altogether."""
+    rules; with ask_meaning off, the meaning check is left out altogether. A call that fails leaves its rows without a meaning or enum result
+    (for review); of the soft checks it says that they were not executed. key_items: the rules of the key-item notes."""
     rows = quality.check_rules(sheet)
     if enum_normalise is None:
         e = rule_enum_results(rows)
@@ -56,17 +59,17 @@ def quality_check(
     done = quality.combine(rows)
     asked = quality.soft_requests(done)
     for kind, scorer, names in (
-        ("class_check", class_check, {"status": "class_status", "is_correct": "is_correct", "correct_type": "correct_type", "reasoning": "class_reason"}),
-        ("antonym", antonym, {"status": "antonym_status", "is_antonym": "is_antonym"}),
-        ("sample", sample, {"status": "sample_status", "is_valid": "is_valid", "reasoning": "sample_reason"}),
+        ("class_check", class_check, {"status": "class_status", "is_correct": "is_correct", "correct_type": "correct_type", "reasoning": "class_reason", "failed": "class_failed"}),
+        ("antonym", antonym, {"status": "antonym_status", "is_antonym": "is_antonym", "failed": "antonym_failed"}),
+        ("sample", sample, {"status": "sample_status", "is_valid": "is_valid", "reasoning": "sample_reason", "failed": "sample_failed"}),
     ):
         if scorer is None:  # not asked: no note
-            blank = {"status": "string", "is_correct": "boolean", "correct_type": "string", "reasoning": "string", "is_antonym": "boolean", "is_valid": "boolean"}
+            blank = {"status": "string", "is_correct": "boolean", "correct_type": "string", "reasoning": "string", "is_antonym": "boolean", "is_valid": "boolean", "failed": "boolean"}
             done = done.select("*", *[F.lit(None).cast(blank[a]).alias(b) for a, b in names.items()])
         else:
-            r = _ask(asked[kind], scorer, kind, 5, checkpoint).select("row_index", *[F.col(a).alias(b) for a, b in names.items()])
+            r = _ask(asked[kind], scorer, kind, 10, checkpoint, "mark").withColumn("failed", F.col("status") == FAILED).select("row_index", *[F.col(a).alias(b) for a, b in names.items()])
             done = done.join(r, "row_index", "left")
-    done = quality.soft_notes(done)
+    done = quality.soft_notes(done, key_items)
     results = done.select("row_index", "check_result", "fail_reason", "soft_check_result", overwrite_enum(F.col("enum_values"), F.col("normalized_enum")).alias("__enum"))
     out = write_back(sheet, results)
     return out.withColumn("enum_values", F.when(F.col("__enum") != "", F.col("__enum")).otherwise(F.col("enum_values"))).drop("__enum")
@@ -74,63 +77,101 @@ def quality_check(
 
 def standard_mapping(
     sheet: DataFrame, dictionary: DataFrame, embed: Callable, select: Scorer | None = None, k: int = 10, checkpoint: Callable[[DataFrame], DataFrame] = kept,
+    numeric: Scorer | None = None, datetime_rename: Scorer | None = None, flag_rename: Scorer | None = None, fetch_errors: DataFrame | None = None,
 ) -> DataFrame:
-    """The non-enum fields mapped onto the dictionary: mapping_result, selected_std_id, selected_std_name, candidates. Without a selection scorer rows with
-    candidates are for review."""
+    """The non-enum fields mapped onto the dictionary: mapping_result, selected_std_id, selected_std_name, llm_reason, candidates and
+    domain_check_details.
+
+    Number fields that are statistics go first, then datetime and flag fields are renamed: by the scorers, or by the written rules where none
+    is given (flags then keep their names). A failed call keeps rows and names; one of the selection lets the job fail. Each distinct name
+    and definition of a class is searched once. Without a selection scorer rows with candidates are for review. fetch_errors:
+    row_index and fetch_error of rows whose candidates could not be had elsewhere."""
     fields = mapping.non_enum_fields(sheet)
-    standards = dic.dedupe(dictionary)
+    if "business_caliber" not in fields.columns:
+        fields = fields.withColumn("business_caliber", F.lit(""))
+    if numeric is None:
+        fields = mapping.drop_indicators_by_rule(fields)
+    else:
+        fields = mapping.drop_indicators(fields, _ask(mapping.numeric_requests(fields), numeric, "numeric", 5, checkpoint))
+    if datetime_rename is None:
+        fields = mapping.rename_by_rule(fields)
+    else:
+        fields = mapping.apply_renames(fields, _ask(mapping.datetime_rename_requests(fields), datetime_rename, "rename", 5, checkpoint))
+    if flag_rename is not None:
+        fields = mapping.apply_renames(fields, _ask(mapping.flag_rename_requests(fields), flag_rename, "rename", 5, checkpoint))
+    fields = checkpoint(fields)
+    standards = checkpoint(dic.dedupe(dictionary))
     index = dic.index_records(standards)
-    vectors = embed_distinct(embed_distinct(index, "name_text", embed, "name_vector"), "meaning_text", embed, "meaning_vector")
-    named = retrieve.explode_names(fields).withColumn("query_id", F.concat_ws("/", F.col("row_index").cast("string"), F.col("variant_pos").cast("string")))
-    queries = embed_distinct(embed_distinct(named, "variant", embed, "name_vector"), "business_meaning", embed, "meaning_vector").withColumn("std_type", F.col("field_type"))
+    vectors = checkpoint(embed_distinct(embed_distinct(index, "name_text", embed, "name_vector"), "meaning_text", embed, "meaning_vector"))
+    asked = ["field_type", "variant", "business_meaning"]
+    named = retrieve.explode_names(fields)
+    distinct = checkpoint(named.select(*asked).distinct().withColumn("query_id", F.monotonically_increasing_id()).withColumn("std_type", F.col("field_type")))
+    queries = checkpoint(embed_distinct(embed_distinct(distinct, "variant", embed, "name_vector"), "business_meaning", embed, "meaning_vector"))
     dense = retrieve.dense_search(queries, vectors, k)
-    texts = named.withColumn("std_type", F.col("field_type"))
-    by_name = retrieve.bm25(texts, index, k, "query_id", "std_id", "variant", "name_text", by="std_type")
-    by_meaning = retrieve.bm25(texts, index, k, "query_id", "std_id", "business_meaning", "meaning_text", by="std_type")
+    by_name = retrieve.bm25(distinct, index, k, "query_id", "std_id", "variant", "name_text", by="std_type")
+    by_meaning = retrieve.bm25(distinct, index, k, "query_id", "std_id", "business_meaning", "meaning_text", by="std_type")
     hits = checkpoint(retrieve.hybrid_union(dense, by_name, by_meaning))
-    hits = hits.join(named.select("query_id", "row_index", "variant", "variant_pos"), "query_id")
-    merged = retrieve.fetch_candidates(retrieve.merge_variants(hits), standards).join(fields.select("row_index", "field_type", "data_example"), "row_index")
-    left, _ = mapping.filter_domains(merged)
-    left = checkpoint(left)
-    requests = mapping.selection_requests(fields, left)
+    rows_of = named.select("row_index", "variant_pos", *asked).join(distinct.drop("std_type"), asked).drop("field_type", "business_meaning")
+    merged = retrieve.fetch_candidates(retrieve.merge_variants(hits.join(rows_of, "query_id")), standards).join(fields.select("row_index", "field_type", "data_example"), "row_index")
+    merged = checkpoint(merged)
+    left, info = mapping.filter_domains(merged)
+    if fetch_errors is None:
+        fetch_errors = fields.sparkSession.createDataFrame([], "row_index bigint, fetch_error string")
+    left = checkpoint(left.join(fetch_errors.select("row_index"), "row_index", "left_anti"))
+    requests = checkpoint(mapping.selection_requests(fields, left))
     n = left.groupBy("row_index").agg(F.count(F.lit(1)).alias("n_candidates"))
     text = requests.select("row_index", mapping.candidate_text(F.col("candidates")).alias("candidates"))
-    answers = _ask(requests, select, "selection", 5, checkpoint)
-    rows = fields.select("row_index").join(n, "row_index", "left").join(answers, "row_index", "left").join(text, "row_index", "left")
-    verdict = mapping.outcome(F.lit(""), F.coalesce("n_candidates", F.lit(0)), F.col("status"), F.col("selection"))
-    ok = F.col("status") == "ok"
-    results = rows.select("row_index", verdict.alias("mapping_result"), F.when(ok, F.col("selected_std_id")).alias("selected_std_id"), F.when(ok, F.col("selected_std_name")).alias("selected_std_name"), "candidates")
+    answers = _ask(requests, select, "selection", 5, checkpoint, "raise", by="field_type")
+    rows = fields.select("row_index")
+    for part in (n, answers, text, info.select("row_index", "domain_check_details"), fetch_errors):
+        rows = rows.join(part, "row_index", "left")
+    state = F.coalesce("fetch_error", F.lit("")), F.coalesce("n_candidates", F.lit(0)), F.col("status")
+    ok = (F.col("status") == OK) & (F.coalesce("fetch_error", F.lit("")) == "")
+    results = rows.select(
+        "row_index", mapping.outcome(*state, F.col("selection")).alias("mapping_result"), F.when(ok, F.col("selected_std_id")).alias("selected_std_id"),
+        F.when(ok, F.col("selected_std_name")).alias("selected_std_name"), mapping.outcome_reason(*state, F.col("reasoning")).alias("llm_reason"), "candidates", "domain_check_details",
+    )
     return write_back(sheet, results)
 
 
 def enum_mapping(
     sheet: DataFrame, dictionary: DataFrame, embed: Callable, select: Scorer | None = None, least: float = 0.8, checkpoint: Callable[[DataFrame], DataFrame] = kept,
+    fetch_errors: DataFrame | None = None,
 ) -> DataFrame:
-    """The enum fields mapped: mapping_result, selected_std_id, selected_std_name, enum_code_suggestion."""
-    fields = enummap.enum_fields(sheet)
+    """The enum fields mapped: mapping_result, selected_std_id, selected_std_name, enum_code_suggestion, llm_reason, and candidates with their
+    scores. A call of the selection that fails marks its rows; fetch_errors as in standard_mapping."""
+    fields = checkpoint(enummap.enum_fields(sheet))
     pairs = enummap.field_pairs(fields)
     records = dic.enum_value_records(dic.enum_items(dictionary)).withColumnRenamed("value", "value_text")
-    texts = embed_distinct(dic.distinct_values(pairs), "value", embed)
-    known = embed_distinct(records.select("value_text").distinct(), "value_text", embed)
+    texts = checkpoint(embed_distinct(dic.distinct_values(pairs), "value", embed))
+    known = checkpoint(embed_distinct(records.select("value_text").distinct(), "value_text", embed))
     hits = checkpoint(enummap.similar_values(texts, known, records, least=least))
     best = checkpoint(enummap.recall(enummap.greedy_scores(pairs, hits), fields.select("row_index", F.size("pairs").alias("n"))))
     back = dic.backfill(best.select("item_id"), dictionary)
-    both = best.join(back.select("item_id", "standards"), "item_id").join(fields.select("row_index", "pairs"), "row_index")
     d = enummap.details(F.col("pairs"), F.col("matched"))
-    cand = both.withColumn("missing_values", d["missing_values"]).select("row_index", "rank", "item_id", "operation", "missing_values", F.posexplode("standards").alias("std_pos", "s")).select("*", "s.std_id", "s.std_name", "s.definition").drop("s")
-    cand = checkpoint(cand)
-    requests = fields.select("row_index", "field_name", "field_type", "business_meaning").join(enummap.selection_request(cand), "row_index")
-    answers = _ask(requests, select, "selection", 5, checkpoint)
-    n = cand.groupBy("row_index").agg(F.count_distinct("item_id").alias("n_candidates"))
-    rows = fields.select("row_index").join(n, "row_index", "left").join(answers, "row_index", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0))).withColumn("fetch_error", F.lit(""))
+    both = best.join(back.select("item_id", "item_name", "standards"), "item_id").join(fields.select("row_index", "pairs"), "row_index")
+    found = checkpoint(both.withColumn("missing_values", d["missing_values"]).select("row_index", "rank", "item_id", "item_name", "score", "operation", "missing_values", "standards"))
+    cand = found.select("row_index", "rank", "item_id", "operation", "missing_values", F.posexplode("standards").alias("std_pos", "s")).select("*", "s.std_id", "s.std_name", "s.definition").drop("s")
+    if fetch_errors is None:
+        fetch_errors = sheet.sparkSession.createDataFrame([], "row_index bigint, fetch_error string")
+    requests = fields.select("row_index", "field_name", "field_type", "business_meaning").join(enummap.selection_request(cand), "row_index").join(fetch_errors.select("row_index"), "row_index", "left_anti")
+    answers = _ask(checkpoint(requests), select, "selection", 5, checkpoint, "mark", by="field_type")
+    listed = found.groupBy("row_index").agg(
+        F.count(F.lit(1)).alias("n_candidates"),
+        enummap.candidate_text(F.sort_array(F.collect_list(F.struct("rank", "item_id", "item_name", "score", "operation", "standards")))).alias("candidates"),
+    )
+    rows = fields.select("row_index").join(listed, "row_index", "left").join(answers, "row_index", "left").join(fetch_errors, "row_index", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
     done = enummap.outcome(enummap.locate(rows, cand))
-    ok = F.col("item_id").isNotNull() & (F.col("status") == "ok")
-    return write_back(sheet, done.select("row_index", "mapping_result", F.when(ok, F.col("selected_std_id")).alias("selected_std_id"), F.when(ok, F.col("selected_std_name")).alias("selected_std_name"), "enum_code_suggestion", "llm_reason"))
+    ok = F.col("item_id").isNotNull() & (F.col("status") == OK)
+    return write_back(sheet, done.select(
+        "row_index", "mapping_result", F.when(ok, F.col("selected_std_id")).alias("selected_std_id"), F.when(ok, F.col("selected_std_name")).alias("selected_std_name"),
+        "enum_code_suggestion", "llm_reason", "candidates",
+    ))
 
 
 def standard_maintenance(entries: DataFrame, name: Scorer | None, definition: Scorer | None, merge: Scorer | None, checkpoint: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
-    """Entries of new standards with normalised names and merged definitions."""
+    """Entries of new standards with normalised names and merged definitions. A failed call keeps names, and leaves definitions blank with
+    the reason."""
     rows = maintain.apply_names(entries, _ask(maintain.name_requests(entries), name, "name", 5, checkpoint))
-    rows = maintain.apply_definitions(rows, _ask(maintain.definition_requests(rows), definition, "definition", 5, checkpoint))
-    merged = _ask(maintain.merge_requests(rows), merge, "merge", 5, checkpoint).where("status = 'ok'").select("row_index", "merged_meaning")
-    return maintain.maintenance_table(rows.join(merged, "row_index", "left"))
+    rows = checkpoint(maintain.apply_definitions(rows, _ask(maintain.definition_requests(rows), definition, "definition", 5, checkpoint, "mark")))
+    return maintain.maintenance_table(maintain.apply_merges(rows, _ask(maintain.merge_requests(rows), merge, "merge", 5, checkpoint, "mark")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
+        own = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
     if not context.getCheckpointDir():
         context.setCheckpointDir(at)
     return at
@@ -35,8 +39,8 @@ class MissingColumns(ValueError):
 
 
 def read_cells(spark: SparkSession, path: str, kind: str = "csv", columns: list[str] | None = None, **options) -> DataFrame:
-    """A table whose cells are all text. columns: the names in the file, so that nothing is inferred from its data. For CSV the first
-    line is the header and cells may span lines."""
+    """A table whose cells are all text, from CSV, JSON lines or Parquet. columns: the names in the file, so that nothing is inferred from
+    its data. For CSV the first line is the header and cells may span lines."""
     reader = spark.read.format(kind).options(**options)
     if kind == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
@@ -68,15 +72,25 @@ def load_sheet(
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """df with a number from 0 in the order of the table: counts per partition, then offsets, so no task holds all rows."""
-    marked = df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    counts = marked.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn("__o", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # the id counts from 0 within each partition, in its low 33 bits
-    return (
-        marked.join(F.broadcast(offsets.select("__p", "__o")), "__p")  # one row a partition
-        .withColumn(name, F.col("__o") + F.col("__i").bitwiseAND((1 << 33) - 1)).drop("__p", "__i", "__o")
-    )
+    """df with a number from 0 in the order of the table. The rows are kept with their places first, so that the numbers hold if a part
+    is read again; then they are counted per partition and offset, so no task holds all rows."""
+    return _numbered(df, name, [], 0)
+
+
+def number_rows(df: DataFrame, order: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """df with 1, 2, ... in the order of a column, within by if given. Rows are sorted by range, kept, counted per partition and offset:
+    neither a class nor the whole table is one task's."""
+    return _numbered(df.orderBy(*(by or []), order), name, by or [], 1)
+
+
+def _numbered(df: DataFrame, name: str, by: list[str], start: int) -> DataFrame:
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    marked = kept(df.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id(), "__g": group}))
+    counts = marked.groupBy("__p", "__g").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    before = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__p", "__g", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__o"))
+    # a row for each class in each partition that has it
+    return marked.join(F.broadcast(offsets), ["__p", "__g"]).withColumn(name, F.col("__i") + F.col("__o") + start).drop("__p", "__i", "__g", "__o")
 
 
 def union_classes(tables: dict[str, DataFrame], class_col: str = "std_type") -> DataFrame:
@@ -117,8 +131,9 @@ def overwrite_enum(raw: Column, normalized: Column) -> Column:
     return F.when(F.coalesce(normalized, F.lit("")) != "", normalized).otherwise(raw)
 
 
-def write_batches(df: DataFrame, path: str, key: str = "row_index", rows: int = 100) -> None:
-    """Writes rows in batches of so many keys, a folder each; writing a batch again replaces it and leaves the others."""
+def write_batches(df: DataFrame, path: str, key: str = "row_index", rows: int = 1_000_000) -> None:
+    """Writes rows in batches of so many keys, a folder each; writing a batch again replaces it and leaves the others. A batch is what is
+    written again at once, so its size is a matter of files: 10^9 rows are a thousand folders."""
     df.withColumn("batch", F.floor(F.col(key) / rows).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
