@@ -108,6 +108,19 @@ def d10_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("row_index"), n["has_codes"].alias("has_codes"), n["needs_normalization"].alias("needs_normalization"), n["normalized"].alias("normalized"))
 
 
+_FORMS = "CASE p_partkey % 7 WHEN 0 THEN a || '-' || v || ',' || b || '-' || w WHEN 1 THEN '(' || a || ')' || v || ' (' || b || ')' || w WHEN 2 THEN a || '：' || v || ' ' || b || '：' || w WHEN 3 THEN a || '=' || v || '|' || b || '=' || w WHEN 4 THEN v || '，' || w WHEN 5 THEN v || '-X' || a || ';' || w || '-Y' || b ELSE a || '-' || v || ';' || b || '-' || w END"
+_CODED = "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS a, CAST(p_partkey % 97 + 100 AS VARCHAR) AS b, '状态' || p_type AS v, '类' || p_brand AS w FROM part"
+
+
+@query(f"""SELECT p_partkey AS row_index, p_partkey % 7 <> 4 AS has_codes, p_partkey % 7 NOT IN (4, 6) AS needs_normalization,
+  CASE WHEN p_partkey % 7 IN (4, 6) THEN '' WHEN p_partkey % 7 = 5 THEN 'X' || a || '-' || v || ';Y' || b || '-' || w ELSE a || '-' || v || ';' || b || '-' || w END AS normalized FROM ({_CODED})""")
+def d10_normalise_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of the table's own keys and words in every written form."""
+    rows = table(spark, d, "part").selectExpr("p_partkey", "CAST(p_partkey AS STRING) AS a", "CAST(p_partkey % 97 + 100 AS STRING) AS b", "'状态' || p_type AS v", "'类' || p_brand AS w")
+    n = enums.normalised(F.expr(_FORMS))
+    return rows.select(F.col("p_partkey").alias("row_index"), n.alias("n")).select("row_index", "n.has_codes", "n.needs_normalization", "n.normalized")
+
+
 _A = pick("p_partkey", 8, ["通过", "流入", "启用", "大", "受理", "甲", "付款", "无"])
 _B = pick("p_partkey", 8, ["不通过", "流出", "停用", "小", "不受理", "乙", "收款", "有"])
 
@@ -136,10 +149,10 @@ def d14_name_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("row_index"), n["name"].alias("name"), n["changed"].alias("changed"))
 
 
-@query(f"SELECT s.row_index, string_agg(c.std_id || ' ' || c.std_name, chr(10) ORDER BY c.pos) AS candidates FROM (SELECT row_index FROM ({SHEET_SQL})) s JOIN ({DICTIONARY_SQL}) c ON c.pos % 40 = s.row_index % 40 AND c.pos BETWEEN 1 AND 120 GROUP BY s.row_index")
+@query(f"SELECT s.row_index, string_agg(c.std_id || ' ' || c.std_name, chr(10) ORDER BY c.pos) AS candidates FROM (SELECT row_index FROM ({SHEET_SQL})) s JOIN ({DICTIONARY_SQL}) c ON c.pos // 3 = s.row_index GROUP BY s.row_index")
 def d17_candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = dictionary(spark, d).where("pos between 1 and 120").withColumn("__m", F.col("pos") % 40)
-    rows = sheet(spark, d).select("row_index", (F.col("row_index") % 40).alias("__m")).join(c, "__m").groupBy("row_index").agg(F.sort_array(F.collect_list(F.struct("pos", "std_id", "std_name"))).alias("c"))
+    c = dictionary(spark, d).withColumn("row_index", F.expr("pos DIV 3"))
+    rows = sheet(spark, d).select("row_index").join(c, "row_index").groupBy("row_index").agg(F.sort_array(F.collect_list(F.struct("pos", "std_id", "std_name"))).alias("c"))
     return rows.select("row_index", mapping.candidate_text(F.col("c")).alias("candidates"))
 
 
@@ -320,9 +333,17 @@ def f5_recall(spark: SparkSession, d: str) -> DataFrame:
     return _recalled(spark, d).select("row_index", "item_id", "score", "operation", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"SELECT row_index, coalesce(array_to_string(list_filter({sql.valid_items('enum_values')}, lambda x, i: i % 2 = 1), ','), '') AS matched, coalesce(array_to_string(list_filter({sql.valid_items('enum_values')}, lambda x, i: i % 2 = 0), ','), '') AS missing FROM ({SHEET_SQL}) WHERE field_type = '代码枚举类' AND len({sql.valid_items('enum_values')}) > 0 AND row_index % 31 NOT IN (7, 18)")
+_ODD = f"list_transform(list_filter({sql.valid_items('enum_values')}, lambda x, i: i % 2 = 1), lambda x: {sql.value_of('x')})"
+
+
+def _side(yes: bool) -> str:
+    kept = f"list_filter({sql.valid_items('enum_values')}, lambda x: {'' if yes else 'NOT '}list_contains({_ODD}, {sql.value_of('x')}))"
+    return f"coalesce(array_to_string(list_transform({kept}, lambda x: {sql.code_of('x')} || '-' || {sql.value_of('x')}), ','), '')"
+
+
+@query(f"SELECT row_index, {_side(True)} AS matched, {_side(False)} AS missing FROM ({SHEET_SQL}) WHERE field_type = '代码枚举类' AND len({sql.valid_items('enum_values')}) > 0")
 def f6_details(spark: SparkSession, d: str) -> DataFrame:
-    f = enummap.enum_fields(sheet(spark, d)).where("row_index % 31 not in (7, 18)")
+    f = enummap.enum_fields(sheet(spark, d))
     odd = F.filter("pairs", lambda p, i: i % 2 == 0)
     x = enummap.details(F.col("pairs"), odd)
     return f.select("row_index", F.array_join(x["matched_values"], ",").alias("matched"), F.array_join(x["missing_values"], ",").alias("missing"))

@@ -27,27 +27,27 @@ _COS = "list_cosine_similarity(a.e, b.e)"
 _E = "SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings"
 
 
-@query(f"""SELECT 'v' || a.vec_id AS "value", 'I' || b.label AS item_id, 't' || b.vec_id AS value_text, round({_COS}, 5) AS score FROM ({_E}) a, ({_E}) b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0 AND {_COS} >= 0.25
+@query(f"""SELECT 'v' || a.vec_id AS "value", 'I' || b.label AS item_id, 't' || b.vec_id AS value_text, round({_COS}, 5) AS score FROM ({_E}) a, ({_E}) b WHERE {_COS} >= 0.25
   QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, 'I' || b.label, 't' || b.vec_id) <= 20""")
 def e8_enum_similarity(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").withColumn("key", F.col("vec_id").cast("string"))
-    texts = e.where("vec_id % 5 = 0").select(F.concat(F.lit("v"), "key").alias("value"), F.col("embedding").alias("vector"))
-    known = e.where("vec_id % 5 != 0").select(F.concat(F.lit("t"), "key").alias("value_text"), F.col("embedding").alias("vector"), F.concat(F.lit("I"), F.col("label").cast("string")).alias("item_id"))
+    texts = e.select(F.concat(F.lit("v"), "key").alias("value"), F.col("embedding").alias("vector"))
+    known = e.select(F.concat(F.lit("t"), "key").alias("value_text"), F.col("embedding").alias("vector"), F.concat(F.lit("I"), F.col("label").cast("string")).alias("item_id"))
     hits = enummap.similar_values(texts, known.drop("item_id"), known.drop("vector"), top=20, least=0.25)
     return hits.select("value", "item_id", "value_text", F.round("score", 5).alias("score"))
 
 
-@query(f"""SELECT a.vec_id AS query_id, b.vec_id AS std_id, round({_COS}, 5) AS score FROM ({_E}) a JOIN ({_E}) b ON a.label = b.label WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 10""")
+@query(f"""SELECT a.vec_id AS query_id, b.vec_id AS std_id, round({_COS}, 5) AS score FROM ({_E}) a JOIN ({_E}) b ON a.label = b.label QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 10""")
 def e9_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     hits = retrieve.topk_cosine(
-        e.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id"), e.where("vec_id % 4 != 0").withColumnRenamed("vec_id", "std_id"), 10, "query_id", "std_id", vec="embedding", by="label"
+        e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "std_id"), 10, "query_id", "std_id", vec="embedding", by="label"
     )
     return hits.select("query_id", "std_id", F.round("score", 5).alias("score"))
 
 
 _TWO = f"SELECT x.vec_id, x.label, x.e AS n, y.e AS m FROM ({_E}) x JOIN ({_E}) y ON y.vec_id = x.vec_id + 1 - 2 * (x.vec_id % 2)"
-_MERGED = f"""WITH t AS ({_TWO}), p AS (SELECT a.vec_id AS q, b.vec_id AS i, list_cosine_similarity(a.n, b.n) AS sn, list_cosine_similarity(a.m, b.m) AS sm FROM t a JOIN t b ON a.label = b.label WHERE a.vec_id % 8 = 0 AND b.vec_id % 8 <> 0),
+_MERGED = f"""WITH t AS ({_TWO}), p AS (SELECT a.vec_id AS q, b.vec_id AS i, list_cosine_similarity(a.n, b.n) AS sn, list_cosine_similarity(a.m, b.m) AS sm FROM t a JOIN t b ON a.label = b.label),
  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sn DESC, i) AS rn, row_number() OVER (PARTITION BY q ORDER BY sm DESC, i) AS rm FROM p),
  s AS (SELECT q, i, rn, 0.6::DOUBLE * CASE WHEN rn <= 50 THEN sn ELSE 0 END + 0.4::DOUBLE * CASE WHEN rm <= 50 THEN sm ELSE 0 END AS score FROM r WHERE rn <= 50 OR rm <= 50)
  SELECT q AS query_id, i AS std_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, rn > 50, i) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, rn > 50, i) <= 10"""
@@ -61,7 +61,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return retrieve.dense_search(v.where("vec_id % 8 = 0").withColumnRenamed("vec_id", "query_id"), v.where("vec_id % 8 != 0").withColumnRenamed("vec_id", "std_id"))
+    return retrieve.dense_search(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "std_id"))
 
 
 @query(f"SELECT query_id, std_id, round(score, 5) AS score, rank FROM ({_MERGED})")

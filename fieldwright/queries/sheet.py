@@ -179,11 +179,10 @@ def b12_drop_indicators(spark: SparkSession, d: str) -> DataFrame:
     return mapping.drop_indicators(s, done).select("row_index")
 
 
-@query(f"SELECT row_index, string_agg(std_id || '=' || std_name, ';' ORDER BY pos) AS candidates FROM (SELECT p_partkey AS row_index FROM part) s JOIN (SELECT pos, std_id, std_name FROM ({DICTIONARY_SQL})) c ON c.pos % 50 = s.row_index % 50 AND c.pos <= 150 GROUP BY row_index")
+@query(f"SELECT row_index, string_agg(std_id || '=' || std_name, ';' ORDER BY pos) AS candidates FROM (SELECT p_partkey AS row_index FROM part) s JOIN (SELECT pos, std_id, std_name FROM ({DICTIONARY_SQL})) c ON c.pos // 3 = s.row_index GROUP BY row_index")
 def b13_selection_requests(spark: SparkSession, d: str) -> DataFrame:
     s = sheet(spark, d)
-    c = dictionary(spark, d).where("pos <= 150").withColumn("__m", F.col("pos") % 50)
-    cand = s.select("row_index", (F.col("row_index") % 50).alias("__m")).join(c, "__m").withColumnRenamed("pos", "place")
+    cand = s.select("row_index").join(dictionary(spark, d).withColumn("row_index", F.expr("pos DIV 3")), "row_index").withColumnRenamed("pos", "place")
     r = mapping.selection_requests(s, cand)
     return r.select("row_index", F.array_join(F.transform("candidates", lambda x: F.concat(x["std_id"], F.lit("="), x["std_name"])), ";").alias("candidates"))
 
@@ -274,7 +273,7 @@ def c14_combine(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT row_index, {sql.key_note()} AS note FROM ({SHEET_SQL})")
 def c15_key_items(spark: SparkSession, d: str) -> DataFrame:
-    return sheet(spark, d).select("row_index", quality.key_item_note("field_name", "data_example").alias("note"))
+    return sheet(spark, d).select("row_index", quality.key_item_note("field_name", "data_example", sql.KEY_ITEMS).alias("note"))
 
 
 _ONE = f"""CASE WHEN len({sql.items('enum_values')}) = 1 THEN CASE WHEN field_type = '标志类' THEN '标志类应有两项语义相反的取值，当前仅有''' || enum_values || '''，请人工确认'
@@ -312,7 +311,7 @@ def c18_soft_notes(spark: SparkSession, d: str) -> DataFrame:
         "class_status": F.when(k % 5 == 0, "duplicate").when(k % 5 == 1, "missing").otherwise("ok"), "is_correct": k % 5 != 2, "correct_type": F.lit("文本类"), "class_reason": F.lit("r"),
         "antonym_status": F.when(k % 4 != 0, "ok"), "is_antonym": k % 4 != 2, "sample_status": F.lit("ok"), "is_valid": k % 7 != 0, "sample_reason": F.lit("s"),
     })
-    return quality.soft_notes(rows).select("row_index", "soft_check_result")
+    return quality.soft_notes(rows, sql.KEY_ITEMS).select("row_index", "soft_check_result")
 
 
 @query(f"SELECT row_index, {_kind('data_example')} AS kind FROM ({SHEET_SQL})")
@@ -422,22 +421,23 @@ def g5_batches(spark: SparkSession, d: str) -> DataFrame:
     return scoring.batches(table(spark, d, "orders"), 5, ["o_orderpriority"], "o_orderkey").select("o_orderkey", "batch")
 
 
-@query()
+@query(f"""SELECT row_index, length(CASE WHEN table_name <> '' THEN '来自表“' || table_name || '”。' || business_meaning ELSE business_meaning END) > 40 AS is_meaningful, 'length' AS reasoning, 'ok' AS status
+FROM ({sql.ruled(SHEET_SQL)}) WHERE business_meaning <> '' AND len(issues) = 0""")
 def k1_scorer(spark: SparkSession, d: str) -> DataFrame:
     """Meaning requests answered by a plain rule in batches of 10, reconciled."""
     def score(pdf):
-        return pdf[["row_index"]].assign(is_meaningful=pdf["business_meaning"].str.len() > 10, reasoning="length")
+        return pdf[["row_index"]].assign(is_meaningful=pdf["business_meaning"].str.len() > 40, reasoning="length")
 
     rows = verdicts(spark, d).withColumn("flag_issues", F.array().cast("array<string>")).withColumn("has_codes", F.lit(True)).withColumn("normalized", F.lit(""))
     sent = quality.meaning_requests(rows)
     got = scoring.run_scorer(sent, score, scoring.RESULTS["meaning"]).withColumn("arrival", F.lit(0))
-    return scoring.reconcile(sent.select("row_index"), got)
+    return scoring.reconcile(sent.select("row_index"), got).select("row_index", "is_meaningful", "reasoning", "status")
 
 
-@query()
+@query("SELECT item_id, CAST(64 AS INTEGER) AS n, 1.0::DOUBLE AS norm FROM benchmark WHERE text <> ''")
 def k2_embedder(spark: SparkSession, d: str) -> DataFrame:
-    """Item texts of the benchmark and words of documents' languages embedded once each: size and length of the vectors."""
-    v = scoring.embed_distinct(table(spark, d, "benchmark"), "text", scoring.hashing_embedder(64))
+    """Item texts of the benchmark embedded once each: size and length of the vectors."""
+    v = scoring.embed_distinct(table(spark, d, "benchmark").where("text != ''"), "text", scoring.hashing_embedder(64))
     return v.select("item_id", F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
 
 
@@ -447,7 +447,7 @@ def w1_quality_check(spark: SparkSession, d: str) -> DataFrame:
     return jobs.quality_check(sheet(spark, d), ask_meaning=False)
 
 
-@query()
+@query(f"SELECT row_index, len(issues) = 0 AS rule_passed, array_to_string(issues, ' / ') AS issues FROM (SELECT row_index, list_filter([{', '.join(sql.ISSUES.values())}], lambda x: x IS NOT NULL) AS issues FROM ({sql.blanked(SHEET_SQL)}))")
 def j1_intake(spark: SparkSession, d: str) -> DataFrame:
     """Row rules on the sheet as a stream of files, landed by batches in the shared folder."""
     import uuid

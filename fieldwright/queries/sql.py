@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
-from ..functions.vocab import BAD_CHARACTER, KEY_ITEMS, WHITELIST
+#: Expected values, stated here once more on purpose: the oracle shares nothing with the library.
+BAD_CHARACTER = {
+    "n": ("包含非法字符'", "'（数字字符类仅允许数字）"), "a": ("包含不允许的字符'", "'（字母+特殊符号类不允许数字和汉字）"), "an": ("包含汉字字符'", "'（数字+字母+特殊符号类不允许汉字）"),
+    "c": ("包含非汉字字符'", "'（纯汉字类仅允许汉字）"), "nc": ("包含不允许的字符'", "'（数字+汉字类仅允许数字和汉字）"), "ac": ("包含数字字符'", "'（字母+汉字类不允许数字）"),
+    "i": ("包含非数字字符'", "'（数值类仅允许数字、小数点和正负号）"), "date": ("包含非法字符'", "'（日期时间类仅允许数字和分隔符-:/空格/T）"), "time": ("包含非法字符'", "'（日期时间类仅允许数字和分隔符-:/空格/T）"),
+    "datetime": ("包含非法字符'", "'（日期时间类仅允许数字和分隔符-:/空格/T）"), "timestamp": ("包含非法字符'", "'（日期时间类仅允许数字和分隔符-:/空格/T）"),
+}
+WHITELIST = {
+    "数值类": ["i_int", "i_dec"],
+    "日期时间类": ["date", "time", "datetime", "timestamp", "n_fix", "n_var", "an_fix", "an_var"],
+    "文本类": ["a_var", "a_fix", "a_var_nolimit", "n_var", "n_fix", "n_var_nolimit", "c_var", "c_fix", "c_var_nolimit", "an_var", "an_fix", "an_var_nolimit", "nc_var", "nc_fix", "nc_var_nolimit", "ac_var", "ac_fix", "ac_var_nolimit", "anc_var", "anc_fix", "anc_var_nolimit"],
+    "编码类": ["a_var", "a_fix", "n_var", "n_fix", "an_var", "an_fix", "anc_var", "anc_fix"],
+}
+#: Key-item rules of a made-up house, given to the operator as its argument.
+KEY_ITEMS = [
+    ("机构", ["机构编号", "机构号", "网点"], [10, 11], "请核对机构编号"), ("客户", ["客户号", "客户编号"], [16], "请核对客户号"), ("员工", ["柜员号", "员工号"], [7], "请核对员工编号"),
+    ("产品组", ["产品组编号"], [8], "请核对产品组编号"),
+]
 
 NO_SAMPLE = "('无', '暂无', '无示例', 'N/A', 'n/a', 'NA', 'na')"
 
@@ -41,7 +58,7 @@ _CLASSES = {"n": "[^0-9]", "a": "[0-9\\x{4e00}-\\x{9fff}]", "an": "[\\x{4e00}-\\
 def char_fault(s: str, key: str) -> str:
     arms = []
     for k, p in _CLASSES.items():
-        _, before, after = BAD_CHARACTER[k]
+        before, after = BAD_CHARACTER[k]
         b, a = before.replace("'", "''"), after.replace("'", "''")
         arms.append(f"WHEN split_part({key}, '_', 1) = '{k}' AND regexp_matches({s}, '{p}') THEN '{b}' || regexp_extract({s}, '{p}') || '{a}'")
     return "CASE " + " ".join(arms) + " END"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldwright.operators import dictionary as dic
-from fieldwright.operators import report, retrieve, scoring
+from fieldwright.operators import report, retrieve
 from fieldwright.plans import jobs
 from fieldwright.sources import tables
 from fieldwright.streaming import intake
@@ -20,6 +20,14 @@ def test_sheet_from_csv(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(0, "客户号", "编码类", "a\nb", ""), (1, "", "文本类", "", "")]
 
 
+@pytest.mark.parametrize("kind", ["json", "parquet"])
+def test_sheet_from_other_formats(spark, tmp_path, kind):
+    cells = spark.createDataFrame([("客户号", None, 5), ("nan", " 文本类 ", None)], "`中文字段名(必填)` string, `字段所属类型(必填)` string, `业务口径` int")
+    cells.coalesce(1).write.format(kind).save(str(tmp_path / "s"))
+    rows = tables.load_sheet(tables.read_cells(spark, str(tmp_path / "s"), kind), ["field_name", "field_type"], ["business_caliber"]).orderBy("row_index").collect()
+    assert [tuple(r) for r in rows] == [(0, "客户号", "", "5"), (1, "", "文本类", "")]
+
+
 def test_missing_column_is_named(spark):
     with pytest.raises(tables.MissingColumns, match="域类型"):
         tables.load_sheet(spark.createDataFrame([("a",)], "x string"), ["domain_type"])
@@ -28,8 +36,8 @@ def test_missing_column_is_named(spark):
 def test_batches_written_again_change_nothing(spark, tmp_path):
     df = spark.range(250).withColumnRenamed("id", "row_index").withColumn("v", F.lit(1))
     path = str(tmp_path / "out")
-    tables.write_batches(df, path)
-    tables.write_batches(df.where("row_index < 100").withColumn("v", F.lit(2)), path)
+    tables.write_batches(df, path, rows=100)
+    tables.write_batches(df.where("row_index < 100").withColumn("v", F.lit(2)), path, rows=100)
     got = spark.read.parquet(path).groupBy("batch").agg(F.sum("v").alias("s"), F.count("*").alias("n")).orderBy("batch").collect()
     assert [tuple(r) for r in got] == [(0, 200, 100), (1, 100, 100), (2, 50, 50)]
 
@@ -39,19 +47,9 @@ def test_export_has_four_tables(spark, tmp_path):
     details = std.where("enum_id != ''").select("enum_id", F.explode(F.array(F.lit("1"), F.lit("2"))).alias("code"))
     tables.export_dictionary(std, std.select("domain_id"), details, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/enum_header").select("enum_id", "n_codes").collect() == [("E1", 2)]
-    assert spark.read.parquet(f"{tmp_path}/standards").count() == 2
-
-
-def test_scorer_failures_count_as_missing(spark):
-    sent = spark.range(30).withColumnRenamed("id", "row_index").coalesce(1)
-
-    def scorer(pdf):
-        if 15 in set(pdf["row_index"]):
-            raise ValueError("no answer")
-        return pdf.assign(is_valid=True, reasoning="")
-
-    got = scoring.reconcile(sent, scoring.run_scorer(sent, scorer, scoring.RESULTS["sample"]).withColumn("arrival", F.lit(0)))
-    assert {r.status: r["count"] for r in got.groupBy("status").count().collect()} == {"ok": 20, "missing": 10}
+    files = [spark.read.parquet(f"{tmp_path}/{t}") for t in ("standards", "domains", "enum_detail")]
+    assert [r.std_id for r in files[0].collect()] == ["A", "B"] and files[0].columns == std.columns
+    assert {r.domain_id for r in files[1].collect()} == {"D1", "D2"} and sorted(map(tuple, files[2].collect())) == [("E1", "1"), ("E1", "2")]
 
 
 def test_topk_in_blocks_equals_broadcast(spark, sf):
@@ -59,7 +57,7 @@ def test_topk_in_blocks_equals_broadcast(spark, sf):
     q, i = e.where("vec_id < 40").withColumnRenamed("vec_id", "q"), e.withColumnRenamed("vec_id", "i")
     args = dict(k=7, query_id="q", item_id="i", vec="embedding", by="label")
     a = retrieve.topk_cosine(q, i, **args).toPandas().sort_values(["q", "i"]).reset_index(drop=True)
-    b = retrieve.topk_cosine(q, i, **args, broadcast_numbers=0).toPandas().sort_values(["q", "i"]).reset_index(drop=True)
+    b = retrieve.topk_cosine(q, i, **args, query_rows=7, block_numbers=900).toPandas().sort_values(["q", "i"]).reset_index(drop=True)
     assert a[["q", "i"]].equals(b[["q", "i"]]) and len(a) == 280
 
 
