@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,35 +11,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept as cut
+from ..sources.tables import shared_dir
+
 #: Rows of a key that one task compares with each other; larger keys are cut into blocks of about this size.
 BLOCK = 1024
+#: A key with more than this part of a table's rows is dealt over several tasks; so there are fewer such keys than this.
+PIECES = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. A local session without one gets a temporary folder."""
-    context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not at:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(at)
-    return at
-
-
 def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, without its lineage; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder as a packed table and read again: like cut, for what is large."""
+    path = new_dir(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bucket_of(id_col: str, modulus: int) -> Column:
@@ -146,11 +144,28 @@ def shared_keys(keyed: DataFrame, keys: list[str], id_col: str, block: int = BLO
     return rows.repartition(*at).sortWithinPartitions(*at)
 
 
+def join_one(rows: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with one, which has one row a key; no task gets a hot key whole.
+
+    counts: key and n, its number of rows in rows; total: at least the rows of rows. A key with more than total / PIECES of them
+    is dealt over several tasks by a hash of the column spread, and its row of one is copied to each. Such keys are fewer than
+    PIECES, whatever the input, so they are broadcast; copies of their rows are fewer than twice that."""
+    per = max(16.0, total / PIECES)
+    hot = cut(counts.where(F.col("n") > per).select(key, F.ceil(F.col("n") / per).cast("int").alias("__m")))
+    if hot.isEmpty():
+        return rows.join(one, key, how)
+    hot = F.broadcast(hot)
+    left = rows.join(hot, key, "left").withColumn("__s", F.when(F.col("__m").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread, F.lit(17)), F.col("__m"))).cast("int")).drop("__m")
+    right = one.join(hot, key, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("__m", F.lit(1)) - 1))).drop("__m")
+    return left.join(right, [key, "__s"], how).drop("__s")
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node that links lead to.
 
-    Large-star and small-star steps in turn: both are a minimum per node and a join, so a node with very many
-    neighbours is pre-aggregated and its join can be split. Every round is written to the shared folder.
+    Large-star and small-star steps in turn: both are a minimum per node and a join. The minimum is pre-aggregated; the join of a node
+    with very many neighbours is an inner join of one row a key, which Spark splits where it is skewed. Every round is written to
+    the shared folder.
     """
     def stars(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
