@@ -46,7 +46,7 @@ def find_windows(
 ) -> tuple[DataFrame, DataFrame]:
     """(hits, windows). hits: __id, __h (hash of the text), start (0-based word), n, line: one row per distinct place at
     which a window occurs in a text. Rows of docs that share id and text share their hits."""
-    windows = item_windows(items, item_id_col, item_text_col, size).cache()
+    windows = cut(item_windows(items, item_id_col, item_text_col, size))
     small = windows.count() <= broadcast_windows
     send = F.broadcast if small else (lambda x: x)
     texts = docs.where(F.col(text_col).isNotNull()).select(
@@ -86,9 +86,10 @@ def contamination(
 ) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A word inside any occurrence of a window is hit. A null or empty text has no words and no hits. Items without text
-    have no window; items without id hit words but are not counted. Rows of equal id and text get equal results; rows
-    of one id with other texts, or without id, get their own. Other columns of either table are not used.
+    A word inside any occurrence of a window is hit. A null or empty text has no words and no hits, a text of any length is read
+    whole. Items without text have no window; items without id hit words but are not counted. Rows of equal id and text get equal
+    results; rows of one id with other texts, or without id, get their own. An empty table of documents gives an empty result, one of
+    items no hits. Other columns of either table are not used.
     """
     hits, windows = find_windows(docs, items, id_col, text_col, item_id_col, item_text_col, size, broadcast_windows)
     per_doc = Window.partitionBy("__id", "__h").orderBy("start", "n")
@@ -118,10 +119,11 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 10) -> DataFrame:
-    """The rows of docs in which no window of an item occurs. Texts without words stay."""
+    """The rows of docs in which no window of an item occurs, as they are: repeated rows, rows without id and columns of any name too.
+    Null and empty texts and those without words stay; texts are read whole. Without items all rows stay, an empty table stays empty."""
     hits, _ = find_windows(docs, items, id_col, text_col, size=size)
-    bad = hits.select("__id", "__h").distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")
+    bad = hits.select(F.col("__id").alias("__bad_id"), F.col("__h").alias("__bad_h")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_col) == F.col("__bad_h")), "left_anti")
 
 
 #: The same rows in DuckDB's SQL.
