@@ -18,10 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, group_starts, map_texts, new_dir, pairs_of_groups, shared_keys, whole_groups
+from .common import components, cut, forest, group_starts, join_one, map_texts, pairs_of_groups, shared_keys, whole_groups, written
 
 #: Texts whose shingles are counted to tell common ones, how many common ones are told apart, rows that are broadcast at most.
 SAMPLE, COMMON, SENT = 4_000, 100_000, 500_000
+#: Members of a large key's group that each text of it is compared with before all that is left.
+MEMBERS = [0] + [int(x) for x in np.random.default_rng(6).integers(0, 2**62, 7)]
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -124,15 +126,17 @@ def simhash_components(
     Rows with fingerprints at most radius bits apart are linked; component_id is the smallest id that links reach.
     A null or empty text, or one of white space only, has fingerprint zero and links like any other. Equal
     fingerprints are one node with its smallest id, so copies are never paired. A row without id is kept and gets
-    the component of its fingerprint; a fingerprint without any id has a null component_id. Other columns are not used.
+    the component of its fingerprint; a fingerprint without any id has a null component_id. Repeated rows give a row each, a
+    text of any length is read whole, an empty table gives an empty result. Other columns are not used.
     """
     fps = cut(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), ["__id"], "__text", words))
-    nodes = cut(fps.groupBy("fp").agg(F.min("__id").alias("low")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("__id").alias("low"), F.count(F.lit(1)).alias("n")))
     found = components(linked(nodes.select("fp"), radius, parts))
-    named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = named.join(lowest, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(
+    named = cut(nodes.join(found, nodes.fp == found.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    total, n_nodes = named.agg(F.sum("n"), F.count(F.lit(1))).first()
+    by_fp = join_one(named.select("fp", "root"), lowest.drop("n"), "root", lowest, n_nodes, "fp").select("fp", "component_id")
+    return join_one(fps, by_fp, "fp", named.select("fp", "n"), total or 0, "__id").select(
         F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -141,23 +145,40 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def prefix(hashes: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def prefix(hashes: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
     """The first of the distinct hashes in an order that all texts share: those not in common (sorted) by value, then common ones
-    by rank. Sets of similarity least have a hash of both prefixes in common, whatever the order."""
+    by rank; and how many of the former. Sets of similarity least have a hash of both prefixes in common, whatever the order."""
     n = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
     if not len(hashes) or not len(common):
-        return hashes[:n]
+        return hashes[:n], min(n, len(hashes))
     at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
     known = common[at] == hashes
-    return np.concatenate([hashes[~known], hashes[known][np.argsort(rank[at[known]])]])[:n]
+    return np.concatenate([hashes[~known], hashes[known][np.argsort(rank[at[known]])]])[:n], min(n, int((~known).sum()))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """128 bits as two numbers: of each bin, the lowest bit of the smallest of the mixed hashes that fall into it, 0 for an empty bin.
+    Bits of two texts differ with half of what their similarity lacks to 1, so pairs are ruled out before their texts travel."""
+    if not len(hashes):
+        return np.zeros(2, np.int64)
+    bins = np.arange(128, dtype=np.uint64)
+    mixed = np.sort(hashes * np.uint64(0x9E3779B97F4A7C15))
+    low = mixed[np.minimum(np.searchsorted(mixed, bins << np.uint64(57)), len(mixed) - 1)]
+    return np.packbits((low & np.uint64(1) > 0) & (low >> np.uint64(57) == bins)).view(np.int64)
+
+
+def apart(least: float) -> int:
+    """Bits that pairs of the similarity may differ in: the mean and six standard errors, so that in effect none is lost."""
+    p = (1 - least) / 2
+    return int(128 * p + 6 * (128 * p * (1 - p)) ** 0.5)
 
 
 def _common(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, sorted, and their ranks, rarest first. They only order the prefixes: which
-    texts are sampled changes the work, never the result."""
+    """Shingles that several texts of a sample have, sorted, and their ranks, rarest first. They order the prefixes and tell the keys
+    that many texts may have: which texts are sampled changes the work, never the result."""
     n = max(1, slim.count())
     some = slim.where(F.pmod(F.xxhash64("__id", F.lit(13)), F.lit(n)) < SAMPLE)
-    found = map_texts(some, ["__row"], lambda texts: {"s": [shingle_set(t, shingle).view(np.int64) for t in texts]}, "__row bigint, s array<bigint>", "__text")
+    found = map_texts(some, ["__id"], lambda texts: {"s": [shingle_set(t, shingle).view(np.int64) for t in texts]}, f"__id {dict(slim.dtypes)['__id']}, s array<bigint>", "__text")
     top = found.select(F.explode("s").alias("s")).groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).toPandas()
     hashes = top["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -165,18 +186,21 @@ def _common(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(slim: DataFrame, least: float, shingle: int) -> DataFrame:
-    """__row, __id, words_hash (equal for texts of the same words), number of distinct shingles and the prefix of these."""
+    """__id, k1, k2, words_hash (equal for texts of the same words), number of distinct shingles, their prefix, how many of it are no
+    common ones, and the sketch as s1 and s2."""
     sent = slim.sparkSession.sparkContext.broadcast(_common(slim, shingle))
 
     def run(texts: list[str]) -> dict:
         sets = [shingle_set(t, shingle) for t in texts]
+        firsts, signs = [prefix(s, least, *sent.value) for s in sets], [sketch(s) for s in sets]
         return {
-            "words_hash": [xxhash.xxh3_128_hexdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts],
-            "size": [len(s) for s in sets],
-            "prefix": [prefix(s, least, *sent.value).view(np.int64) for s in sets],
+            "words_hash": [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts],
+            "size": [len(s) for s in sets], "prefix": [p.view(np.int64) for p, _ in firsts], "rare": [n for _, n in firsts],
+            "s1": [int(x[0]) for x in signs], "s2": [int(x[1]) for x in signs],
         }
 
-    return map_texts(slim, ["__row", "__id"], run, f"__row bigint, `__id` {dict(slim.dtypes)['__id']}, words_hash string, size bigint, prefix array<bigint>", "__text")
+    schema = f"__id {dict(slim.dtypes)['__id']}, k1 bigint, k2 bigint, words_hash binary, size bigint, prefix array<bigint>, rare bigint, s1 bigint, s2 bigint"
+    return map_texts(slim, ["__id", "k1", "k2"], run, schema, "__text")
 
 
 def _possible(size: F.Column, rest: F.Column, other: F.Column, other_rest: F.Column, least: float) -> F.Column:
@@ -184,40 +208,64 @@ def _possible(size: F.Column, rest: F.Column, other: F.Column, other_rest: F.Col
     return F.least(rest, other_rest) >= least / (1 + least) * (size + other) - 1e-6
 
 
+def _beside(pairs: DataFrame, n: int, one: DataFrame, col: str) -> DataFrame:
+    """pairs (a, b) with col of both texts as x and y. A text that very many are paired with is no task's alone."""
+    counts = {side: pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")) for side in "ab"}
+    for side, name, other in (("a", "x", "b"), ("b", "y", "a")):
+        pairs = join_one(pairs, one.select(F.col("id").alias(side), F.col(col).alias(name)), side, counts[side], n, other)
+    return pairs
+
+
 def _similar(pairs: DataFrame, named: DataFrame, slim: DataFrame, least: float, shingle: int) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets have the similarity, exactly. Texts travel, as they pack better than hashes."""
     pairs = cut(pairs)
-    asked = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(named.select("id", F.col("low.__row").alias("__row")), "id"))
-    path = new_dir(pairs.sparkSession, "near-copies-texts")
-    slim.join(F.broadcast(asked) if asked.count() <= SENT else asked, "__row").select("id", "__text").write.parquet(path)
-    texts = pairs.sparkSession.read.parquet(path)
-    one, two = (texts.select(F.col("id").alias(x), F.col("__text").alias(f"t{x}")) for x in "ab")
+    asked = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(named, "id").select("id", "low.k1", "low.k2"))
+    send = F.broadcast if asked.count() <= SENT else (lambda x: x)
+    texts = written(slim.join(send(asked), ["k1", "k2"]).select("id", "__text").dropDuplicates(["id"]), "near-copies-texts")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets: dict[int, np.ndarray] = {}  # of texts that are paired again: half a million hashes and one text's at most
+        held = 0
+
+        def of(i: int, text: str) -> np.ndarray:
+            nonlocal held
+            if i not in sets:
+                if held > 500_000:
+                    sets.clear()
+                    held = 0
+                sets[i] = shingle_set(text, shingle)
+                held += len(sets[i])
+            return sets[i]
+
         for pdf in batches:
             ok = []
-            for x, y in zip(pdf["ta"], pdf["tb"], strict=True):
-                x, y = shingle_set(x, shingle), shingle_set(y, shingle)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both / (len(x) + len(y) - both) >= least)
+            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"], strict=True):
+                x, y = of(a, x), of(b, y)
+                n = len(x) + len(y)
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")  # two sorted runs
+                both = int((both[1:] == both[:-1]).sum())
+                ok.append(both / (n - both) >= least)
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(compare, "a bigint, b bigint"))
+    return cut(_beside(pairs, pairs.count(), texts, "__text").mapInPandas(compare, "a bigint, b bigint"))
 
 
 def _meeting(shared: DataFrame, least: float) -> DataFrame:
-    """The distinct pairs (a, b) of different groups g that a key of both prefixes leaves possible: the first key that two texts
-    share bounds what they have in common by what follows it."""
-    rows = shared_keys(shared, ["key"], "id", 512)
+    """The distinct pairs (a, b) of different groups g that a key of both prefixes and the sketches leave possible: the first key that two
+    texts share bounds what they have in common by what follows it."""
+    rows, most = shared_keys(shared, ["key"], "id", 512), apart(least)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = ["key", "bi", "bj"]
         for pdf in whole_groups(batches, at):
             starts = group_starts(pdf, at)
-            ids, g, size, rest = (pdf[c].to_numpy() for c in ("id", "g", "size", "rest"))
+            ids, g, size, rest, s1, s2 = (pdf[c].to_numpy() for c in ("id", "g", "size", "rest", "s1", "s2"))
 
             def possible(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
                 ok = (g[i] != g[j]) & (np.minimum(rest[i], rest[j]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6)  # noqa: B023
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(s1[i] ^ s1[j]).astype(int) + np.bitwise_count(s2[i] ^ s2[j]) <= most  # noqa: B023
                 x, y = ids[i[ok]], ids[j[ok]]  # noqa: B023
                 return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
 
@@ -231,45 +279,92 @@ def _meeting(shared: DataFrame, least: float) -> DataFrame:
     return rows.mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
+def row_key(df: DataFrame) -> list[F.Column]:
+    """128 bits that tell rows of different contents apart, wherever and in whatever order they are read."""
+    kinds = dict(df.dtypes)
+    cells = [F.coalesce(F.xxhash64(F.col(f"`{c}`"), F.lit(i)), F.lit(0)) for i, c in enumerate(df.columns) if "map<" not in kinds[c] and kinds[c] != "variant"]
+    return [F.xxhash64(F.lit(seed), *cells).alias(f"k{seed}") for seed in (1, 2)]
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of docs less near copies: one stays of each group linked by similarity on five-word shingles.
 
     Two texts are linked if their sets of shingles (64-bit hashes) have the Jaccard similarity, found without loss: such texts share
-    a shingle of their prefixes (see prefix). Each text is compared with the lowest and the highest of those it shares most with;
-    then every other pair that shares one and is not yet in one group is, so that a large group takes no work by its square. Texts with
-    the same words are one class. The row with the smallest id of a group stays (of repeated ids, one row). Texts without a
-    word are left alone, as are rows without id: neither has anything to compare or to be named by. docs is written to the shared
-    folder with a row key once, and rows go by that key.
+    a shingle of their prefixes (see prefix). Each text is compared with the lowest and the highest of those it shares most with, then
+    with some members of the largest group that shares a shingle with it; then every other pair that shares one and is not yet in one
+    group is, so that a large group takes no work by its square. Sketches spare most pairs the comparison.
+
+    Texts with the same words are one class. The row with the smallest id of a group stays (of repeated ids the one of the lowest row_key,
+    of rows equal in every column but maps one). Null and empty texts and those without a word are left alone, as are rows without id:
+    neither has anything to compare or to be named by. Texts are read whole, an empty table stays empty, columns of any name stay as
+    they are. docs is read several times, so it should be a table; rows go by their contents, so their order may differ each time.
     """
-    cols, spark = docs.columns, docs.sparkSession
-    path = new_dir(spark, "near-copies")
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
-    keep = spark.read.parquet(path)
-    slim = keep.select("__row", F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null")
-    rows = cut(profiles(slim, similarity, shingle).where("size > 0"))
-    named = cut(rows.groupBy("words_hash").agg(F.min(F.struct("__id", "__row")).alias("low")).select(F.xxhash64("words_hash", F.lit(3)).alias("id"), "low"))
-    classes = rows.groupBy("words_hash").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    keyed = classes.select(F.xxhash64("words_hash", F.lit(3)).alias("id"), "size", F.posexplode("prefix").alias("pos", "key")).select("id", "size", (F.col("size") - F.col("pos")).alias("rest"), "key")
+    cols, keys = docs.columns, row_key(docs)
+    slim = docs.select(*keys, F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where("__id is not null")
+    rows = written(profiles(slim, similarity, shingle).where("size > 0").withColumn("row", F.monotonically_increasing_id()), "near-copies-profiles")
+    low = F.min(F.struct("__id", "k1", "k2", "row"))
+    named = cut(rows.groupBy("words_hash").agg(low.alias("low")).select("words_hash", F.col("low.row").alias("id"), "low"))
+    again = cut(rows.select("words_hash", "row").join(named.select("words_hash", "id"), "words_hash").where("row != id").select("row"))
+    classes = rows.join(F.broadcast(again) if again.count() <= SENT else again, "row", "left_anti").withColumnRenamed("row", "id")
+
+    keyed = classes.select("id", "size", "rare", F.posexplode("prefix").alias("pos", "key")).select("key", "id", "size", (F.col("size") - F.col("pos")).alias("rest"), (F.col("pos") >= F.col("rare")).alias("hot"))
     of_key, ends = Window.partitionBy("key"), F.struct("id", "size", "rest")
-    met = keyed.withColumns({"n": F.count(F.lit(1)).over(of_key), "lo": F.min(ends).over(of_key), "hi": F.max(ends).over(of_key)}).where("n > 1")
+    known = keyed.where("hot").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(ends).alias("lo"), F.max(ends).alias("hi"))
+    met = (
+        keyed.where("not hot").withColumns({"n": F.count(F.lit(1)).over(of_key), "lo": F.min(ends).over(of_key), "hi": F.max(ends).over(of_key)})
+        .unionByName(keyed.where("hot").join(F.broadcast(known), "key"))  # at most COMMON rows
+        .where("n > 1")
+    )
     two_fit = _possible(F.col("lo.size"), F.col("lo.rest"), F.col("hi.size"), F.col("hi.rest"), similarity)
-    shared = cut(met.where((F.col("n") > 2) | two_fit).drop("n"))
+    head = lambda x: F.when((F.col("id") != F.col(f"{x}.id")) & _possible(F.col("size"), F.col("rest"), F.col(f"{x}.size"), F.col(f"{x}.rest"), similarity), F.col(f"{x}.id")).alias(x)
+    shared = written(met.where((F.col("n") > 2) | two_fit).select("key", "id", "size", "rest", head("lo"), head("hi")), "near-copies-keys")
 
     heads = [
-        shared.where(f"id != {x}.id").where(_possible(F.col("size"), F.col("rest"), F.col(f"{x}.size"), F.col(f"{x}.rest"), similarity))
-        .groupBy("id", F.col(f"{x}.id").alias("h")).count().groupBy("id").agg(F.max(F.struct("count", "h")).alias("m"))
-        .select(F.greatest("id", "m.h").alias("a"), F.least("id", "m.h").alias("b"))
+        shared.where(f"{x} is not null").groupBy("id", x).count().groupBy("id").agg(F.max(F.struct("count", x)).alias("m"))
+        .select(F.greatest("id", f"m.{x}").alias("a"), F.least("id", f"m.{x}").alias("b"))
         for x in ("lo", "hi")
     ]
-    links = _similar(heads[0].union(heads[1]).distinct(), named, slim, similarity, shingle)
-    group = components(links)
-    placed = shared.join(group, shared.id == group.node, "left").select("key", "id", "size", "rest", F.coalesce("root", "id").alias("g"))
-    open_keys = placed.groupBy("key").agg(F.min("g").alias("first"), F.max("g").alias("last")).where("first != last").select("key")
-    left = _meeting(cut(placed.join(open_keys, "key")), similarity).join(links, ["a", "b"], "left_anti")
+    signs = cut(classes.select("id", F.struct("s1", "s2").alias("s")))
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        """Links of the pairs (a, b) that their sketches leave possible."""
+        pairs = cut(pairs)
+        differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+        near = _beside(pairs, pairs.count(), signs, "s").where(differ <= apart(similarity)).select("a", "b")
+        return _similar(near, named, slim, similarity, shingle)
+
+    def placed(links: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of rows of keys that more than one group has: the rows with their group g, and the keys with n rows and some members."""
+        group = components(links)
+        rows = rows.join(group, rows.id == group.node, "left").select("key", "id", "size", "rest", F.coalesce("root", "id").alias("g"))
+        some = [F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"m{k}") for k, m in enumerate(MEMBERS)]
+        keys = rows.groupBy("key").agg(F.min("g").alias("one"), F.max("g").alias("other"), F.count(F.lit(1)).alias("n"), *some).where("one != other")
+        keys = cut(keys.select("key", "n", F.array(*[f"m{k}" for k in range(len(MEMBERS))]).alias("members")))
+        return written(join_one(rows, keys.select("key", "n"), "key", keys, n_shared, "id"), "near-copies-open"), keys
+
+    n_shared = shared.count()
+    links = tried(heads[0].union(heads[1]).distinct())
+    open_rows, open_keys = placed(links, shared)
+    widest = cut(open_rows.groupBy("id").agg(F.max(F.struct("n", "key")).alias("m"), F.first("g").alias("g")).select("id", "g", "m.key"))
+    sizes = widest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    asked = cut(join_one(widest, open_keys.select("key", "members"), "key", sizes, n_shared, "id").select("id", "g", F.explode("members").alias("m")).where("id != m").distinct())
+    members = join_one(asked, widest.select(F.col("id").alias("m"), F.col("g").alias("mg")), "m", asked.groupBy("m").agg(F.count(F.lit(1)).alias("n")), n_shared, "id")
+    more = tried(members.where("g != mg").select(F.greatest("id", "m").alias("a"), F.least("id", "m").alias("b")).distinct())
+    links = cut(links.union(more))
+    open_rows, _ = placed(links, open_rows.drop("g", "n"))
+    left = _meeting(open_rows.drop("n").join(signs.select("id", "s.s1", "s.s2"), "id"), similarity).join(links, ["a", "b"], "left_anti")
     more = _similar(left, named, slim, similarity, shingle)
 
     found = components(links.union(more))
     groups = named.join(found, named.id == found.node, "left").select("low", F.coalesce("root", "id").alias("root"))
-    first = groups.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.__row").alias("__row"))
-    gone = rows.select("__row").join(first, "__row", "left_anti")
-    return keep.join(gone, "__row", "left_anti").select(*cols)
+    stays = groups.groupBy("root").agg(F.min("low").alias("low")).select("low.k1", "low.k2", F.lit(True).alias("once"))
+    # a key that is not here stays; one that goes, and one of a row that stays once of several equal ones
+    verdict = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).join(stays, ["k1", "k2"], "left")
+    verdict = written(verdict.where("once is null or n > 1").select("k1", "k2", F.coalesce("once", F.lit(False)).alias("once")), "near-copies-verdict")
+    send = F.broadcast if verdict.count() <= SENT else (lambda x: x)
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), *keys)
+    out = marked.join(send(verdict), ["k1", "k2"], "left_anti")
+    repeated = verdict.where("once")
+    if not repeated.isEmpty():
+        out = out.unionByName(marked.join(send(repeated.drop("once")), ["k1", "k2"]).dropDuplicates(["k1", "k2"]))
+    return out.select("r.*")

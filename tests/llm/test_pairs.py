@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fieldwright.llm import common, decontam, embeddings, shards, simhash
 
@@ -77,26 +78,43 @@ def test_embeddings_match_brute_force(spark, vectors):
     assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
 
 
-def test_embedding_blocks_count_each_pair_once(spark, vectors, monkeypatch):
-    monkeypatch.setattr(common, "BLOCK", 8)
-    monkeypatch.setattr(embeddings, "shared_keys", lambda *a: common.shared_keys(*a, block=8))
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_components(spark.createDataFrame(vectors, VECS)).collect()}
-    want = brute_vectors(vectors)
-    assert sum(got[i] == want[i][:2] for i in want) >= 0.97 * len(want)
-
-
-def test_recall_near_the_bound():
+@pytest.mark.parametrize(("block", "split", "sent"), [(8, 1024, 1000), (16_384, 4, 1000), (8, 4, 0)])
+def test_embedding_blocks_count_each_pair_once(spark, vectors, monkeypatch, block, split, sent):
+    """Long lists cut into blocks, and read by their second pivot, give the same links."""
+    df = spark.createDataFrame(vectors, VECS)
+    want = sorted(map(tuple, embeddings.embedding_components(df).collect()))
+    for name, value in (("LIST_BLOCK", block), ("SPLIT_ROWS", split), ("SENT_LISTS", sent), ("CELLS", 50)):
+        monkeypatch.setattr(embeddings, name, value)
+    assert sorted(map(tuple, embeddings.embedding_components(df).collect())) == want
+
+
+def test_vectors_of_many_lengths_and_repeated_ids(spark):
+    """80 lengths, a near pair in each; two rows of one id with other vectors, each with a partner of its own."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for d in range(3, 83):
+        v = rng.normal(size=d)
+        rows += [(2 * d, v.tolist(), 1, ""), (2 * d + 1, (v * 1.5).tolist(), 1, "")]
+    a, b = rng.normal(size=(2, 64))
+    rows += [(1000, a.tolist(), 2, ""), (1001, (2 * a).tolist(), 2, ""), (1000, b.tolist(), 2, ""), (1002, (2 * b).tolist(), 2, "")]
+    got = sorted(tuple(r)[:3] for r in embeddings.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, x string")).collect())
+    want = [(i, 1, i - i % 2) for i in range(6, 166)] + [(1000, 1, 1000), (1000, 1, 1000), (1001, 1, 1000), (1002, 1, 1000)]
+    assert got == want
+
+
+@pytest.mark.parametrize("pivots", [64, 512])
+def test_recall_near_the_bound(pivots):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(4000, 64))
+    x = rng.normal(size=(3000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     u = rng.normal(size=x.shape)
     u -= (u * x).sum(1, keepdims=True) * x
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    pivots = embeddings.choose_pivots(x[:2000], 128)
+    index = embeddings.Pivots({64: x[:2000]}, pivots)
     for cosine in (0.93, 0.95, 0.98):
         y = cosine * x + (1 - cosine**2) ** 0.5 * u
-        a, b = (embeddings.postings(v, pivots, 7, 3)[1] for v in (x, y))
-        assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.9
+        a, b = (index.nearest(v, 5) for v in (x, y))
+        assert ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= 2).mean() >= 0.9
 
 
 def test_no_usable_vector(spark):
@@ -287,6 +305,26 @@ def test_rows_go_by_a_key_that_is_read_once(spark):
 # --- shared parts
 
 
+def test_a_hot_key_is_dealt_over_tasks(spark):
+    """One star of 200,000 leaves over 200 partitions: no task holds a twentieth of its links."""
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(200_000).selectExpr("1L AS a", "id + 5 AS b").union(spark.range(1000).selectExpr("id + 7000000 AS a", "id + 8000000 AS b"))
+        counts = rows.groupBy("a").count().withColumnRenamed("count", "n")
+        one = rows.groupBy("a").min("b").withColumnRenamed("min(b)", "m")
+        joined = common.join_one(rows, one, "a", counts, 201_000, "b").withColumn("p", F.spark_partition_id())
+        assert joined.count() == 201_000 and joined.where("m != least(m, b)").count() == 0
+        assert joined.groupBy("p").count().agg(F.max("count")).first()[0] < 10_000
+        got = common.components(rows)
+        assert got.where("root = 1").count() == 200_000 and got.count() == 201_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(500, 900)] + [(3, 3), (9, 8), (8, 9)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -332,6 +370,44 @@ def test_matrix_keeps_both_margins():
     assert m.sum(1).tolist() == [5, 0, 17, 300] and m.sum(0).tolist() == shards.shard_sizes(322, 7) and (m >= 0).all()
 
 
+def test_draws_are_exact(spark):
+    """Against the probabilities of small draws, and mean and variance of one of 10^10 rows."""
+    from math import comb
+
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((5, 9, 6), (1, 300, 40), (40, 3, 20), (7, 0, 4)):
+        seen = np.bincount([shards.hypergeometric(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1) / 20_000
+        want = [comb(good, x) * comb(bad, n - x) / comb(good + bad, n) for x in range(n + 1)]
+        assert np.abs(seen[: n + 1] - want).max() < 0.015
+    good, bad, n = 250_000_000, 9_750_000_000, 4_000_000
+    x = np.array([shards.hypergeometric(rng, good, bad, n) for _ in range(3000)])
+    mean, var = n * 0.025, n * 0.025 * 0.975 * (1 - n / 1e10)
+    assert abs(x.mean() - mean) < 5 * (var / 3000) ** 0.5 and abs(x.var() / var - 1) < 0.15
+    sizes = shards.shard_sizes(10**10 + 7, 40)
+    m = np.array(shards.communication_matrix([10**10 // 50] * 49 + [10**10 + 7 - 49 * (10**10 // 50)], sizes, 1))
+    assert m.sum(0).tolist() == sizes and m.sum(1)[:49].tolist() == [10**10 // 50] * 49 and (m >= 0).all()
+
+
+def test_all_documents_are_sharded_by_the_contract(spark, sf):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = shards.sharded_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law, r.grown_shard) for r in rows} == {i: (len(t) + 16, zlib.crc32(t), "rows", None) for i, t in docs.items()}
+    held = defaultdict(list)
+    for r in rows:
+        held[r.shard].append(r.slot)
+    assert set(held) == set(range(40)) and all(sorted(x) == list(range(len(x))) for x in held.values())
+    assert max(map(len, held.values())) - min(map(len, held.values())) <= 1 and len(rows) == len(docs)
+
+
+def test_own_columns_of_the_same_names_survive(spark):
+    df = spark.createDataFrame([(i, i * 2, i * 3) for i in range(50)], "doc_id long, __k long, __p long")
+    out = shards.uniform_shards(df, 4).collect()
+    assert {(r["doc_id"], r["__k"], r["__p"]) for r in out} == {(i, i * 2, i * 3) for i in range(50)}
+    texts = [(i, f"some text of its own number {i}", i * 2, "x") for i in range(6)] + [(7, "some text of its own number 0", 1, "y")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string, __row long, k1 string"))
+    assert {tuple(r) for r in kept.collect()} == set(texts[:6])
+
+
 # --- op7
 
 

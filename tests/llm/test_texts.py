@@ -455,31 +455,3 @@ def test_pieces_of_odd_rows(spark, odd):
     back = {r.doc_id: r.text for r in pieces.decode_ids(pieces.encode_texts(odd)).collect()}
     assert back[2**60 + 1] == "" and back[9] == ODD[-1][1] and back[None] == "null id"
     assert pieces.encoded_and_decoded(odd.limit(0)).count() == 0
-
-
-# --- pipeline
-
-
-def test_pipeline_stages_take_effect(spark, tmp_path):
-    import corpus_pipeline as cp
-
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    counts, names = [docs.count()], docs.columns
-    for name, stage in cp.STAGES:
-        stage(spark, docs, d).write.parquet(f"{tmp_path}/{name}")
-        docs = spark.read.parquet(f"{tmp_path}/{name}")
-        counts.append(docs.count())
-        assert docs.columns == names or name == "pieces"
-    assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4] == counts[5] > 0
-    assert cp.run(spark, d).count() == counts[-1]
-
-
-def test_pipeline_stages_take_odd_rows(spark, odd, tmp_path):
-    import corpus_pipeline as cp
-
-    for t, rows, schema in (("labels", [(3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, "some words of an item that has ten words or more")], "item_id long, text string")):
-        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{t}.parquet")
-    for docs in (odd, odd.limit(0)):
-        for _, stage in cp.STAGES:
-            assert stage(spark, docs, str(tmp_path)).count() <= len(ODD)
