@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import field
 from .common import map_texts, texts_in_chunks
+from .field import sequences
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. The look-behinds skip starts inside a run of digits, where the match from the run's
@@ -111,8 +113,6 @@ def labelled_table() -> list[tuple[str, list[str]]]:
 
 SHAPES = 4096
 DIGITS = 24
-#: Words that are decoded side by side, padding included.
-BATCH_CELLS = 200_000
 LABELS = ("O", *KINDS)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,115 +156,35 @@ def shapes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     return start, end, shape, np.minimum(digits, DIGITS - 1), plain
 
 
-def sequences(plain: np.ndarray, every: int = 32) -> np.ndarray:
-    """Where sequences begin: at 0 and at the first plain word from each multiple of every on."""
-    n = len(plain)
-    if not n:
-        return np.zeros(0, np.int64)
-    where = np.flatnonzero(plain)
-    marks = np.searchsorted(where, np.arange(every, n, every))
-    return np.unique(np.concatenate([[0], where[marks[marks < len(where)]]]))
-
-
 # --- the field ------------------------------------------------------------------------------------------------------------
 
-def _emissions(p: dict, shape: np.ndarray, digits: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(words, labels); first: positions that begin a sequence."""
+def _codes(shape: np.ndarray, digits: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """What the field knows of each word; first: positions that begin a sequence."""
     before = np.concatenate([[SHAPES], shape[:-1]])
     after = np.concatenate([shape[1:], [SHAPES]])
     before[first] = SHAPES
     after[first[first > 0] - 1] = SHAPES
-    return p["own"][shape] + p["digits"][digits] + p["before"][before] + p["after"][after]
+    return {"own": shape, "digits": digits, "before": before, "after": after}
 
 
-def _padded(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.diff(np.append(first, n))
-    idx = first[:, None] + np.arange(sizes.max())
-    mask = np.arange(sizes.max()) < sizes[:, None]
-    return np.where(mask, idx, 0), mask
+def _emissions(p: dict, shape: np.ndarray, digits: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return field.emissions(p, _codes(shape, digits, first))
 
 
 def train_field(rows: list[tuple[str, list[str]]], rounds: int = 100, decay: float = 2e-3, rate: float = 0.15) -> dict:
-    """Weights that maximise the conditional likelihood less decay times their squares, by gradient steps (Adam) on
-    forward-backward expectations over all rows at once."""
+    """The field's weights after training on all rows."""
     parts = [shapes(t) for t, _ in rows]
     shape, digits = np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])
     sizes = np.array([len(x[0]) for x in parts])
     first = np.cumsum(sizes) - sizes
     y = np.array([LABELS.index(a) for _, labels in rows for a in labels])
-    n_labels = len(LABELS)
-    p = {"own": np.zeros((SHAPES + 1, n_labels)), "digits": np.zeros((DIGITS, n_labels)), "before": np.zeros((SHAPES + 1, n_labels)), "after": np.zeros((SHAPES + 1, n_labels)), "move": np.zeros((n_labels, n_labels))}
-    idx, mask = _padded(first, len(y))
-    before = np.concatenate([[SHAPES], shape[:-1]])
-    after = np.concatenate([shape[1:], [SHAPES]])
-    before[first], after[first[first > 0] - 1] = SHAPES, SHAPES
-    gold = np.eye(n_labels)[y]
-    m, v = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}
-    lse = lambda a, axis: np.log(np.exp(a - a.max(axis, keepdims=True)).sum(axis)) + a.max(axis)
-    for step in range(1, rounds + 1):
-        e = _emissions(p, shape, digits, first)[idx]  # rows, t, labels
-        n, t, _ = e.shape
-        fwd, bwd = np.zeros((t, n, n_labels)), np.zeros((t, n, n_labels))
-        fwd[0] = e[:, 0]
-        for k in range(1, t):
-            new = lse(fwd[k - 1][:, :, None] + p["move"], 1) + e[:, k]
-            fwd[k] = np.where(mask[:, k, None], new, fwd[k - 1])
-        for k in range(t - 2, -1, -1):
-            new = lse(p["move"] + (e[:, k + 1] + bwd[k + 1])[:, None, :], 2)
-            bwd[k] = np.where(mask[:, k + 1, None], new, bwd[k + 1])
-        z = lse(fwd[-1], 1)
-        marginal = np.exp(fwd + bwd - z[:, None]).transpose(1, 0, 2)[mask]
-        flat = np.empty_like(marginal)
-        flat[idx[mask]] = marginal
-        diff = (gold - flat) / len(rows)
-        g = {k: np.zeros_like(w) for k, w in p.items()}
-        for name, at in (("own", shape), ("digits", digits), ("before", before), ("after", after)):
-            np.add.at(g[name], at, diff)
-        pair = np.zeros((n_labels, n_labels))
-        for k in range(1, t):
-            both = np.exp(fwd[k - 1][:, :, None] + p["move"] + (e[:, k] + bwd[k])[:, None, :] - z[:, None, None])
-            pair += both[mask[:, k]].sum(0)
-        inside = np.ones(len(y), bool)
-        inside[first] = False
-        seen = np.zeros_like(pair)
-        np.add.at(seen, (y[:-1][inside[1:]], y[1:][inside[1:]]), 1)
-        g["move"] = (seen - pair) / len(rows)
-        for k in p:
-            grad = g[k] - decay * p[k]
-            m[k] += 0.1 * (grad - m[k])
-            v[k] += 0.01 * (grad * grad - v[k])
-            p[k] += rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
-    return {k: w.astype(np.float32) for k, w in p.items()}
+    codes = {"own": SHAPES + 1, "digits": DIGITS, "before": SHAPES + 1, "after": SHAPES + 1}
+    return field.fit(_codes(shape, digits, first), codes, y, first, len(LABELS), rounds, decay, rate)
 
 
 def decode(p: dict, shape: np.ndarray, digits: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The best label of every word: Viterbi over all sequences side by side, in batches of similar length that hold about BATCH_CELLS
-    words with what they are padded by, so a long sequence stands beside few others."""
-    e = _emissions(p, shape, digits, first)
-    out = np.zeros(len(shape), np.int8)
-    sizes = np.diff(np.append(first, len(shape)))
-    order = np.argsort(sizes, kind="stable")
-    hi = len(order)
-    while hi:
-        t = int(sizes[order[hi - 1]])  # the longest first: it sets the padding
-        lo = max(0, hi - max(1, BATCH_CELLS // t))
-        part, hi = order[lo:hi], lo
-        idx = np.minimum(first[part][:, None] + np.arange(t), len(shape) - 1)
-        mask = np.arange(t) < sizes[part][:, None]
-        best = e[idx[:, 0]]
-        back = np.zeros((t, len(part), len(LABELS)), np.int8)
-        for k in range(1, t):
-            step = best[:, :, None] + p["move"]
-            back[k] = step.argmax(1)
-            best = np.where(mask[:, k, None], step.max(1) + e[idx[:, k]], best)
-        label = best.argmax(1)
-        rows = np.arange(len(part))
-        for k in range(t - 1, -1, -1):
-            live = mask[:, k]
-            out[idx[live, k]] = label[live]
-            if k:
-                label = np.where(live, back[k, rows, label], label)
-    return out
+    """The best label of every word."""
+    return field.best_labels(_emissions(p, shape, digits, first), p["move"], first)
 
 
 _TRIM = ".,;:!?\"'*#$%&|<>"
