@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import name_variants
 from ..sources.tables import kept
+from .dense import topk_cosine
 
-#: Queries that one task compares with a block of items; numbers of a block's vectors; postings of a block; cells held at once.
-QUERY_ROWS, BLOCK_NUMBERS, BLOCK_POSTINGS, CELLS = 4096, 1 << 22, 1 << 21, 1 << 22
+#: Queries that one task compares with a block of documents; postings of a block.
+QUERY_ROWS, BLOCK_POSTINGS = 4096, 1 << 21
 
 
 def _dealt(queries: DataFrame, items: DataFrame, parts: int, blocks: int, by: list[str]):
@@ -36,49 +37,6 @@ def _ranked(found: DataFrame, k: int, order: F.Column) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(order, "i"))).where(F.col("rank") <= k)
 
 
-def topk_cosine(
-    queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, vec: str = "vector", by: str | None = None, least: float | None = None,
-    query_rows: int = QUERY_ROWS, block_numbers: int = BLOCK_NUMBERS,
-) -> DataFrame:
-    """query_id, item_id, score: for every query the k items of largest cosine (ties: smaller id), within the class by if given, least at
-    least. Exact, in double precision: queries are dealt in parts and items in blocks, a task multiplies one of each and gives its own
-    k best, and the k best of those are kept. Null vectors find nothing. Both tables are counted, so give them as tables."""
-    cls = ["c"] if by else []
-    if by:
-        queries, items = queries.where(F.col(by).isNotNull()), items.where(F.col(by).isNotNull())
-    q = queries.where(F.col(vec).isNotNull()).select(F.col(query_id).alias("q"), F.col(vec).alias("qv"), *([F.col(by).alias("c")] if by else []))
-    it = items.where(F.col(vec).isNotNull()).select(F.col(item_id).alias("i"), F.col(vec).alias("iv"), *([F.col(by).alias("c")] if by else []))
-    n_items, dim = it.agg(F.count(F.lit(1)), F.max(F.size("iv"))).first()
-    schema = f"q {dict(q.dtypes)['q']}, i {dict(it.dtypes)['i']}, score double"
-
-    def compare(qs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(block):
-            return pd.DataFrame({"q": qs["q"][:0], "i": block["i"][:0], "score": np.zeros(0)})
-        block = block.sort_values("i", kind="stable", ignore_index=True)
-        x, y, out, step = _unit(qs["qv"]), _unit(block["iv"]), [], max(1, CELLS // len(block))
-        for s in range(0, len(x), step):
-            score = x[s:s + step] @ y.T
-            if least is not None:
-                score[score < least] = -np.inf
-            m = min(k, score.shape[1])  # all that tie with the m-th stay in the running
-            floor = np.partition(score, -m, axis=1)[:, -m]
-            row, col = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
-            v = score[row, col]
-            out.append(_best(row + s, col, v, v, k))
-        row, col, v = (np.concatenate(a) for a in zip(*out, strict=True))
-        return pd.DataFrame({"q": qs["q"].to_numpy()[row], "i": block["i"].to_numpy()[col], "score": v})
-
-    parts, blocks = max(1, -(-q.count() // query_rows)), max(1, -(-n_items * (dim or 1) // block_numbers))
-    found = _ranked(_dealt(q, it, parts, blocks, cls).applyInPandas(compare, schema), k, F.col("score").desc())
-    return found.select(F.col("q").alias(query_id), F.col("i").alias(item_id), "score")
-
-
-def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.stack(vectors.to_numpy()).astype(np.float64)
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(size > 0, size, 1)
-
-
 def merge_dense(name_hits: DataFrame, meaning_hits: DataFrame, k: int = 10, name_weight: float = 0.6) -> DataFrame:
     """query_id, std_id, score, rank: the k best by the weighted sum. A standard absent from one window adds nothing for it; of equal scores
     those found by name come first, then the smaller id."""
