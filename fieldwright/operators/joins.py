@@ -9,6 +9,8 @@ from ..sources.tables import kept
 
 #: A key with more than this part of a table's rows is dealt over several tasks; so there are fewer such keys than this.
 PIECES = 2048
+#: Rows that one task may well hold.
+FEW = 100_000
 #: Rows of a table that is sent to every executor, at most.
 SENT = 200_000
 
@@ -18,12 +20,21 @@ def small(df: DataFrame, rows: int = SENT) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def gathered(df: DataFrame, rows: int, least: int = 4) -> DataFrame:
+    """df of about so many rows in no more partitions than FEW / 2 rows each ask for: a small table's stages have few tasks then, and leave few
+    files. Nothing is moved."""
+    return df.coalesce(max(least, -(-2 * rows // FEW)))
+
+
 def join_one(rows: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int, spread: str, how: str = "inner") -> DataFrame:
     """rows joined with one, which has one row a key; no task gets a hot key whole.
 
     counts: key and n, its number of rows in rows; total: at least the rows of rows. A key with more than total / PIECES of them
     is dealt over several tasks by a hash of the column spread, and its row of one is copied to each. Such keys are fewer than
-    PIECES, whatever the input, so they are broadcast; copies of their rows are fewer than twice that."""
+    PIECES, whatever the input, so they are broadcast; copies of their rows are fewer than twice that. Of up to FEW rows no task can have
+    too many: these are joined as they are."""
+    if total <= FEW:
+        return rows.join(one, key, how)
     per = max(16.0, total / PIECES)
     hot = kept(counts.where(F.col("n") > per).select(key, F.ceil(F.col("n") / per).cast("int").alias("__m")))
     if hot.isEmpty():
