@@ -5,8 +5,8 @@ those longest grams are counted, and the shorter ones at which a piece ends: a s
 (the numbers of its continuations) and the pieces that end with it. Unary paths (through nodes that one edge enters and one
 leaves, all of equal number) are compacted, and all that lies inside a path is told from it at once.
 
-A phrase of at least ``least`` occurrences holds only words and pairs of words of as many. Pieces are therefore cut at rarer
-words, then at rarer pairs, which leaves the number of every such phrase as it is. Which words and pairs those are is told by
+A phrase of at least ``least`` occurrences holds only words, pairs and triples of words of as many. Pieces are therefore cut at
+rarer words, then at rarer pairs and triples, which leaves the number of every such phrase as it is. Which those are is told by
 bitmaps of a fixed size: they let some rarer ones through, which costs work and changes no number. Words travel as 64-bit
 hashes; that no two words share one that counts is checked on the corpus, and other hashes are taken if they do.
 """
@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bits of the maps of frequent words and pairs (16 MB each); bytes of text that are split at once; pairs held before they are added up.
-MAP_BITS, CHUNK, HELD = 27, 4_000_000, 4_000_000
+#: Bits of the maps of frequent words, pairs and triples (16 MB each); bytes of text that are split at once; keys held before they are sent on.
+MAP_BITS, CHUNK, HELD = 27, 4_000_000, 1_500_000
 #: Words that a worker remembers at most, and how long they may be.
 CACHED_WORDS, CACHED_LENGTH = 300_000, 64
 #: Edges of a compacted path at most: paths are cut at one edge in 16 or so, by hash, and after so many.
@@ -98,14 +99,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Bitmap:
-    """2^MAP_BITS bits by the leading bits of a 64-bit key."""
+    """2^MAP_BITS bits, by the leading bits of 64-bit keys: those of the keys that are frequent, and of some more."""
 
-    def __init__(self, keys: DataFrame, col: str):
-        at = F.shiftrightunsigned(col, 64 - MAP_BITS) + 1
-        rows = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    def __init__(self, parts: list[tuple[int, bytes]], bits: int):
+        """parts: of each value of the leading bits, if some key with it is frequent, the bits for what follows."""
         self.bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-        for k, bits in rows.collect():  # 2^(MAP_BITS - 15) rows of 4 KB at most
-            self.bits[(k - 1) << 12: k << 12] = np.frombuffer(bits, np.uint8)
+        size = 1 << (MAP_BITS - bits - 3)
+        for k, part in parts:
+            self.bits[k * size:(k + 1) * size] = np.frombuffer(part, np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = keys >> np.uint64(64 - MAP_BITS)
@@ -116,19 +117,78 @@ def _of_language(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42))
 
 
-def _words(batches: Iterator[pa.RecordBatch], salt: str, words: Bitmap) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, word hashes with stops between pieces, which of them are words that may be frequent)."""
-    known = _Hashes(salt)
-    for lang, line in _lines(batches):
-        tokens = line.replace(b".", b" . ").split()
-        h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-        yield lang, h, (h > 0) & words.has(h ^ _of_language(lang))
+def gram_keys(h: np.ndarray, m: int, lang: str) -> np.ndarray:
+    """Of each run of m words: a 64-bit key of them and the language."""
+    n = max(0, len(h) - m + 1)
+    key = np.full(n, _of_language(lang))
+    for j in range(m):
+        key = (key ^ h[j:j + n]) * _M1
+        key ^= key >> np.uint64(29)
+    return key * _M2
+
+
+class Frequent:
+    """What is known so far of the grams that may be frequent: a map for each length from 1 on."""
+
+    def __init__(self, salt: str, maps: list[Bitmap]):
+        self.salt, self.maps = salt, maps
+
+    def runs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[np.ndarray]]]:
+        """(language, word hashes with stops between pieces, and for each length that a map knows: where such grams begin)."""
+        known = _Hashes(self.salt)
+        for lang, line in _lines(batches):
+            tokens = line.replace(b".", b" . ").split()
+            h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+            ok = h > 0
+            begins = []
+            for m, found in enumerate(self.maps, 1):
+                ok = ok[:1] if m > len(h) else ok if m == 1 else ok[:-1] & ok[1:]
+                ok = ok[:max(0, len(h) - m + 1)].copy()
+                ok[ok] = found.has(gram_keys(h, m, lang)[ok])
+                begins.append(ok)
+            yield lang, h, begins
+
+    def next_map(self, docs: DataFrame, least: int, words: int) -> Bitmap:
+        """The map of the grams one word longer: where two known ones overlap, keys are counted. They travel in packs by their leading bits, sorted,
+        40 bits of each and its number up to least. A pack's group holds the keys of a million words or so, whatever the table's size."""
+        m, bits = len(self.maps) + 1, min(max((words >> 20).bit_length(), 5), MAP_BITS - 13)
+        small = np.uint8 if least < 256 else np.uint32
+        hold = docs.sparkSession.sparkContext.broadcast(self)
+
+        def packs(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            lead = (keys >> np.uint64(64 - bits)).astype(np.int64)
+            own, start = np.unique(lead, return_index=True)
+            ends = np.append(start[1:], len(keys))
+            rest = np.ascontiguousarray((keys >> np.uint64(24 - bits) & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5])
+            n = np.minimum(n, least).astype(small)
+            return pa.RecordBatch.from_pydict({
+                "k": own.astype(np.int32), "keys": pa.array([rest[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary()), "n": pa.array([n[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary()),
+            })
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, numbers, held = [], [], 0
+            for lang, h, begins in hold.value.runs(batches):
+                last = begins[-1]
+                k, n = np.unique(gram_keys(h, m, lang)[last[:-1] & last[1:]] if len(h) >= m else np.zeros(0, np.uint64), return_counts=True)
+                keys.append(k), numbers.append(n)
+                held += len(k)
+                if held > HELD:
+                    yield packs(*_added(keys, numbers))
+                    keys, numbers, held = [], [], 0
+            if held:
+                yield packs(*_added(keys, numbers))
 
+        def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+            packed = np.frombuffer(b"".join(pdf["keys"]), np.uint8).reshape(-1, 5)
+            keys = np.zeros((len(packed), 8), np.uint8)
+            keys[:, :5] = packed
+            keys, n = _added([keys.view("<u8").ravel()], [np.frombuffer(b"".join(pdf["n"]), small)])
+            on = np.zeros(1 << (MAP_BITS - bits), bool)
+            on[keys[n >= least] >> np.uint64(40 - MAP_BITS + bits)] = True
+            return pd.DataFrame({"k": pdf["k"].iloc[:1].to_numpy(), "bits": [np.packbits(on, bitorder="little").tobytes()] if on.any() else [None]})
 
-def _pair_keys(h: np.ndarray, lang: str) -> np.ndarray:
-    """Of each word and the next one: a key of both and the language."""
-    key = (h[:-1] * _M1 + (h[1:] ^ (h[1:] >> np.uint64(31))) * _M2) ^ _of_language(lang)
-    return (key ^ (key >> np.uint64(32))) * _M1
+        made = docs.mapInArrow(count, "k int, keys binary, n binary").groupBy("k").applyInPandas(add_up, "k int, bits binary")
+        return Bitmap([tuple(r) for r in made.where("bits is not null").collect()], bits)  # 2^MAP_BITS bits at most
 
 
 def _added(keys: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,22 +196,28 @@ def _added(keys: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarra
     return unique, np.bincount(at, np.concatenate(numbers), len(unique)).astype(np.int64)
 
 
-def grams(h: np.ndarray, joined: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of most hashes, numbers): the distinct longest grams. joined: which word stands in one run with the next. A row begins at
-    each word of a run of two or more; where the run ends sooner, zeros fill it up, and it is an end of a piece."""
-    inside = np.concatenate([joined, [False]])
-    at = np.flatnonzero(inside | np.concatenate([[False], joined]))
+def grams(h: np.ndarray, begins: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of most hashes, numbers): the distinct longest grams. One begins at each word that begins a known pair, and goes on as long as
+    all in it is known, most words at most; zeros fill up what is shorter, which is an end of a piece."""
+    known = len(begins)
+    at = np.flatnonzero(begins[1])
     rows = np.zeros((len(at), most), np.uint64)
-    rows[:, 0], on = h[at], np.ones(len(at), bool)
-    for k in range(1, most):
-        on = on & inside[np.minimum(at + k - 1, len(h) - 1)]
+    rows[:, 0], rows[:, 1], on = h[at], h[at + 1], np.ones(len(at), bool)
+    for k in range(2, most):
+        m = min(k + 1, known)  # the longest known gram that ends with word k
+        last = np.concatenate([begins[m - 1], np.zeros(most, bool)])
+        on = on & last[at + k + 1 - m]
         rows[on, k] = h[at[on] + k]
+    return distinct_rows(rows, np.ones(len(rows), np.int64))
+
+
+def distinct_rows(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(rows):
-        return rows, np.zeros(0, np.int64)
+        return rows, n
     order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
+    rows, n = rows[order], n[order]
     new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)]))
-    return rows[new], np.diff(np.append(new, len(rows)))
+    return rows[new], np.add.reduceat(n, new)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -168,48 +234,60 @@ def salt_without_clash(words: DataFrame, least: int) -> str:
     raise RuntimeError("no hash tells the words apart")
 
 
-def longest_grams(docs: DataFrame, frequent: DataFrame, salt: str, most: int, least: int) -> DataFrame:
-    """(lang, g, n): the edges of the graph (g of most word hashes) and the shorter grams that end a piece, with their numbers. Pieces
-    are cut at words and pairs that occur less than least times."""
-    spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(Bitmap(frequent.select(F.col("h").bitwiseXOR(F.xxhash64("lang")).alias("k")), "k"))
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, numbers, held = [], [], 0
-        for lang, h, ok in _words(batches, salt, words.value):
-            pair = _pair_keys(h, lang)[ok[:-1] & ok[1:]]
-            k, n = np.unique(pair, return_counts=True)
-            keys.append(k), numbers.append(n)
-            held += len(k)
-            if held > HELD:
-                k, n = _added(keys, numbers)
-                keys, numbers, held = [k], [n], len(k)
-                if held > HELD // 2:
-                    yield pa.RecordBatch.from_pydict({"k": k.view(np.int64), "n": n})
-                    keys, numbers, held = [], [], 0
-        if keys:
-            k, n = _added(keys, numbers)
-            yield pa.RecordBatch.from_pydict({"k": k.view(np.int64), "n": n})
+def longest_grams(docs: DataFrame, frequent: DataFrame, salt: str, most: int, least: int, words: int) -> DataFrame:
+    """(lang, g, n): the edges of the graph (g of most word hashes) and the shorter grams that end a piece, with their numbers. frequent: lang
+    and word of the frequent words; words: the number of all. Pieces are cut at words, pairs and triples that occur less than least times."""
+    known = Frequent(salt, [_word_map(frequent, salt)])
+    for _ in range(2, min(most, 3) + 1):
+        known = Frequent(salt, [*known.maps, known.next_map(docs, least, words)])
+    hold = docs.sparkSession.sparkContext.broadcast(known)
 
-    counted = docs.mapInArrow(count_pairs, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pairs = spark.sparkContext.broadcast(Bitmap(counted, "k"))
+    def packed(lang: str, rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(rows), 100_000):
+            part = rows[s:s + 100_000]
+            real = part != 0
+            g = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(real.sum(1))]).astype(np.int32)), pa.array(part[real].view(np.int64)))
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part), pa.string()), "g": g, "n": n[s:s + 100_000]})
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, h, ok in _words(batches, salt, words.value):
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for lang, h, begins in hold.value.runs(batches):
             if len(h) < 2:
                 continue
-            joined = ok[:-1] & ok[1:]
-            joined[joined] = pairs.value.has(_pair_keys(h, lang)[joined])
-            rows, n = grams(h, joined, most)
-            for s in range(0, len(rows), 100_000):
-                part = rows[s:s + 100_000]
-                real = part != 0
-                g = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(real.sum(1))]).astype(np.int32)), pa.array(part[real].view(np.int64)))
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part), pa.string()), "g": g, "n": n[s:s + 100_000]})
+            rows, n = grams(h, begins, most)
+            if lang in held:
+                rows, n = distinct_rows(np.concatenate([held[lang][0], rows]), np.concatenate([held[lang][1], n]))
+            held[lang] = rows, n
+            if sum(len(n) for _, n in held.values()) > HELD // 4:
+                for name, part in held.items():
+                    yield from packed(name, *part)
+                held.clear()
+        for name, part in held.items():
+            yield from packed(name, *part)
 
     return docs.mapInArrow(emit, "lang string, g array<bigint>, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
+def _word_map(frequent: DataFrame, salt: str) -> Bitmap:
+    """The map of the frequent words, put together by leading bits: a row for each part of the map comes to the driver."""
+    bits = 10
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make = word_hash(salt)
+        for pdf in batches:
+            h = np.array([make(w.encode()) for w in pdf["word"]], np.uint64)
+            keys = np.concatenate([gram_keys(h[i:i + 1], 1, lang) for i, lang in enumerate(pdf["lang"])] or [np.zeros(0, np.uint64)])
+            yield pd.DataFrame({"k": (keys >> np.uint64(64 - bits)).astype(np.int32), "at": (keys >> np.uint64(64 - MAP_BITS)).astype(np.int64) & (1 << (MAP_BITS - bits)) - 1})
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(1 << (MAP_BITS - bits), bool)
+        on[pdf["at"].to_numpy()] = True
+        return pd.DataFrame({"k": pdf["k"].iloc[:1].to_numpy(), "bits": [np.packbits(on, bitorder="little").tobytes()]})
+
+    made = frequent.select("lang", "word").mapInPandas(run, "k int, at bigint").distinct().groupBy("k").applyInPandas(add_up, "k int, bits binary")
+    return Bitmap([tuple(r) for r in made.collect()], bits)
+
+
 def flows(longest: DataFrame, most: int) -> dict[int, DataFrame]:
     """By length from most to 2: (lang, g, n) of all grams. The number of a shorter gram is the flow out of it, one word on, and
     the pieces that end with it."""
@@ -271,7 +349,8 @@ def phrase_candidates(docs: DataFrame, lang_col: str = "lang", text_col: str = "
     frequent = cut(counted.where(F.col("n") >= least).withColumn("h", F.xxhash64(F.concat(F.lit(salt), "word"))))
     totals = cut(counted.groupBy("lang").agg(F.sum("n").alias("n")))
 
-    longest = cut(longest_grams(docs, frequent, salt, most, least))
+    n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    longest = cut(longest_grams(docs, frequent, salt, most, least, n_words))
     counts = frequent.select("lang", F.array("h").alias("g"), "n")
     levels = flows(longest, most)
     for of in levels.values():
