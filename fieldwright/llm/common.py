@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import gathered, join_one
 from ..sources.tables import kept as cut
 from ..sources.tables import shared_dir
 
 #: Rows of a key that one task compares with each other; larger keys are cut into blocks of about this size.
 BLOCK = 1024
-#: A key with more than this part of a table's rows is dealt over several tasks; so there are fewer such keys than this.
-PIECES = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Tables written to the shared folder for a job's own use: packed, and gone when the job says so."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        path = new_dir(self.spark, what)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        """Removes the folders; nothing may read them any more."""
+        while self.paths:
+            remove_dir(self.spark, self.paths.pop())
+        tidy(self.spark)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared one, once nothing reads it any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,13 +65,17 @@ def bucket_of(id_col: str, modulus: int) -> Column:
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, modulus: int, max_docs: int) -> list:
-    """At most max_docs (text, y) rows to learn from: those of the lowest hash of the id, so the draw is the same
-    on every run. Learns from rows with a text and a 0/1 label whose crc32(id as text) mod modulus is not 0."""
-    known = labels.where(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
-    ids = docs.where(bucket_of("doc_id", modulus) != 0).select("doc_id").distinct()  # drawn without the texts
-    drawn = ids.join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_docs)
-    return docs.join(F.broadcast(drawn), "doc_id").where(F.col("text").isNotNull()).select("text", "y")  # max_docs rows
+def labelled(docs: DataFrame, labels: DataFrame, target: str, modulus: int, max_docs: int, max_chars: int | None = None) -> DataFrame:
+    """At most max_docs (text, y) rows to learn from: those of the lowest hash of the id, so the draw is the same on every run. Drawn are
+    ids with a 0/1 label whose crc32(id as text) mod modulus is not 0, and that have a text (of max_chars characters at most, if given). Of
+    rows that share an id the text of the lowest hash is taken, so that repeated ids give one row each. No other columns are used."""
+    known = labels.where(F.col(target).isin(0, 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.max(target).cast("int").alias("y"))
+    usable = docs.where((bucket_of("doc_id", modulus) != 0) & F.col("text").isNotNull()).select(F.col("doc_id").alias("__id"), "text")
+    if max_chars is not None:
+        usable = usable.where(F.length("text") <= max_chars)
+    drawn = usable.select("__id").distinct().join(known, "__id").orderBy(F.xxhash64("__id", F.lit(7)), "__id").limit(max_docs)  # without the texts
+    rows = usable.join(F.broadcast(drawn), "__id").select("__id", "y", F.struct(F.xxhash64("text").alias("h"), "text").alias("x"))  # max_docs ids
+    return rows.groupBy("__id", "y").agg(F.min("x").alias("x")).select("x.text", "y")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 20_000) -> Iterator[pd.DataFrame]:
@@ -144,52 +167,49 @@ def shared_keys(keyed: DataFrame, keys: list[str], id_col: str, block: int = BLO
     return rows.repartition(*at).sortWithinPartitions(*at)
 
 
-def join_one(rows: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int, spread: str, how: str = "inner") -> DataFrame:
-    """rows joined with one, which has one row a key; no task gets a hot key whole.
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle and checkpoint files of tables that nothing holds any more: it does so when the driver's JVM has
+    collected its garbage, which in a job of many rounds may come late."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-    counts: key and n, its number of rows in rows; total: at least the rows of rows. A key with more than total / PIECES of them
-    is dealt over several tasks by a hash of the column spread, and its row of one is copied to each. Such keys are fewer than
-    PIECES, whatever the input, so they are broadcast; copies of their rows are fewer than twice that."""
-    per = max(16.0, total / PIECES)
-    hot = cut(counts.where(F.col("n") > per).select(key, F.ceil(F.col("n") / per).cast("int").alias("__m")))
-    if hot.isEmpty():
-        return rows.join(one, key, how)
-    hot = F.broadcast(hot)
-    left = rows.join(hot, key, "left").withColumn("__s", F.when(F.col("__m").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread, F.lit(17)), F.col("__m"))).cast("int")).drop("__m")
-    right = one.join(hot, key, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("__m", F.lit(1)) - 1))).drop("__m")
-    return left.join(right, [key, "__s"], how).drop("__s")
+
+def settled(edges: DataFrame, n: int) -> bool:
+    """Whether the n links (a, b) are stars already: every a has one b, and no b is linked further."""
+    if not gathered(edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")), n).where("n > 1").isEmpty():
+        return False
+    return gathered(edges.join(gathered(edges.select(F.col("b").alias("a")).distinct(), n), "a", "left_semi"), n).isEmpty()
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node that links lead to.
 
     Large-star and small-star steps in turn: both are a minimum per node and a join. The minimum is pre-aggregated; the join of a node
-    with very many neighbours is an inner join of one row a key, which Spark splits where it is skewed. Every round is written to
-    the shared folder.
+    with very many neighbours is dealt over several tasks (join_one). Every round is written to the shared folder, and what the rounds
+    before have left there goes.
     """
-    def stars(e: DataFrame) -> DataFrame:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        return large.join(low, "a").select(
-            F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")
-        ).select("e.a", "e.b").where("a != b").distinct()
+    def nearest(e: DataFrame, m: Column, n: int) -> DataFrame:
+        return cut(gathered(e.groupBy("a").agg(m.alias("m"), F.count(F.lit(1)).alias("n")), n))
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame, n: int) -> DataFrame:
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = nearest(both, F.least(F.min("b"), F.col("a")), n)
+        large = join_one(both, low.select("a", "m"), "a", low.select("a", "n"), 2 * n, "b").where("b > a and b != m")
+        large = cut(gathered(gathered(large.select(F.col("b").alias("a"), F.col("m").alias("b")), n).distinct(), n))
+        low = nearest(large, F.min("b"), n)
+        pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))
+        joined = join_one(large, low.select("a", "m"), "a", low.select("a", "n"), n, "b").select(F.explode(pairs).alias("e"))
+        return gathered(gathered(joined.select("e.a", "e.b").where("a != b"), n).distinct(), n)
 
     edges = cut(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = mark(edges)
     for _ in range(rounds):
-        edges = cut(stars(edges))
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"links did not settle in {rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        n = edges.count()
+        edges = gathered(edges, n)
+        if settled(edges, n):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges = cut(stars(edges, n))
+        tidy(links.sparkSession)
+    raise RuntimeError(f"links did not settle in {rounds} rounds")
 
 
 def texts_in_chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:

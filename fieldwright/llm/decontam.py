@@ -122,8 +122,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of docs in which no window of an item occurs, as they are: repeated rows, rows without id and columns of any name too.
     Null and empty texts and those without words stay; texts are read whole. Without items all rows stay, an empty table stays empty."""
     hits, _ = find_windows(docs, items, id_col, text_col, size=size)
-    bad = hits.select(F.col("__id").alias("__bad_id"), F.col("__h").alias("__bad_h")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_col) == F.col("__bad_h")), "left_anti")
+    bad = hits.select("__id", "__h").distinct()
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(id_col).alias("__i"), F.xxhash64(text_col).alias("__j"))
+    return marked.join(bad, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__j") == F.col("__h")), "left_anti").select("r.*")
 
 
 #: The same rows in DuckDB's SQL.

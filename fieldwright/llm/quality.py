@@ -157,7 +157,7 @@ def score(model: dict, text: str) -> float:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 5000) -> dict:
-    """Fits on at most max_docs labelled rows, drawn by a hash of the id from all with crc32(id) mod 5 not 0."""
+    """Fits on at most max_docs labelled rows, one an id, drawn by a hash of the id from all with crc32(id) mod 5 not 0."""
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"x": [features(t).tobytes() for t in pdf["text"]], "y": pdf["y"]})

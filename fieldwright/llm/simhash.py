@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, group_starts, join_one, map_texts, pairs_of_groups, shared_keys, whole_groups, written
+from .common import Scratch, components, cut, forest, gathered, group_starts, join_one, map_texts, pairs_of_groups, shared_keys, whole_groups, written
 
 #: Texts whose shingles are counted to tell common ones, how many common ones are told apart, rows that are broadcast at most.
 SAMPLE, COMMON, SENT = 4_000, 100_000, 500_000
@@ -167,10 +167,10 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((low & np.uint64(1) > 0) & (low >> np.uint64(57) == bins)).view(np.int64)
 
 
-def apart(least: float) -> int:
-    """Bits that pairs of the similarity may differ in: the mean and six standard errors, so that in effect none is lost."""
+def apart(least: float, errors: float | None) -> int:
+    """Bits that pairs of the similarity may differ in: the mean and so many standard errors, or all without a number."""
     p = (1 - least) / 2
-    return int(128 * p + 6 * (128 * p * (1 - p)) ** 0.5)
+    return 128 if errors is None else int(128 * p + errors * (128 * p * (1 - p)) ** 0.5)
 
 
 def _common(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,9 +219,12 @@ def _beside(pairs: DataFrame, n: int, one: DataFrame, col: str) -> DataFrame:
 def _similar(pairs: DataFrame, named: DataFrame, slim: DataFrame, least: float, shingle: int) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets have the similarity, exactly. Texts travel, as they pack better than hashes."""
     pairs = cut(pairs)
+    n = pairs.count()
+    pairs = gathered(pairs, n)
     asked = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(named, "id").select("id", "low.k1", "low.k2"))
     send = F.broadcast if asked.count() <= SENT else (lambda x: x)
-    texts = written(slim.join(send(asked), ["k1", "k2"]).select("id", "__text").dropDuplicates(["id"]), "near-copies-texts")
+    scratch = Scratch(slim.sparkSession)
+    texts = scratch.written(slim.join(send(asked), ["k1", "k2"]).select("id", "__text").dropDuplicates(["id"]), "near-copies-texts")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict[int, np.ndarray] = {}  # of texts that are paired again: half a million hashes and one text's at most
@@ -248,13 +251,15 @@ def _similar(pairs: DataFrame, named: DataFrame, slim: DataFrame, least: float,
                 ok.append(both / (n - both) >= least)
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    return cut(_beside(pairs, pairs.count(), texts, "__text").mapInPandas(compare, "a bigint, b bigint"))
+    found = cut(_beside(pairs, n, texts, "__text").mapInPandas(compare, "a bigint, b bigint"))
+    scratch.drop()
+    return found
 
 
-def _meeting(shared: DataFrame, least: float) -> DataFrame:
+def _meeting(shared: DataFrame, least: float, most: int) -> DataFrame:
     """The distinct pairs (a, b) of different groups g that a key of both prefixes and the sketches leave possible: the first key that two
     texts share bounds what they have in common by what follows it."""
-    rows, most = shared_keys(shared, ["key"], "id", 512), apart(least)
+    rows = shared_keys(shared, ["key"], "id", 512)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = ["key", "bi", "bj"]
@@ -286,22 +291,24 @@ def row_key(df: DataFrame) -> list[F.Column]:
     return [F.xxhash64(F.lit(seed), *cells).alias(f"k{seed}") for seed in (1, 2)]
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, errors: float | None = 6.0) -> DataFrame:
     """The rows of docs less near copies: one stays of each group linked by similarity on five-word shingles.
 
-    Two texts are linked if their sets of shingles (64-bit hashes) have the Jaccard similarity, found without loss: such texts share
-    a shingle of their prefixes (see prefix). Each text is compared with the lowest and the highest of those it shares most with, then
+    Two texts are linked if their sets of shingles (64-bit hashes) have the Jaccard similarity. Candidates are found without loss, as such texts
+    share a shingle of their prefixes (see prefix). Each text is compared with the lowest and the highest of those it shares most with, then
     with some members of the largest group that shares a shingle with it; then every other pair that shares one and is not yet in one
-    group is, so that a large group takes no work by its square. Sketches spare most pairs the comparison.
+    group is, so that a large group takes no work by its square. 128-bit sketches spare most pairs the comparison: those further apart than the bound's mean
+    and errors standard errors. At 0.8 and 6 that is over 33 bits, which a pair at the bound itself passes with probability 8.5e-8 (binomial), a
+    closer one with less; errors=None compares all, and then nothing is lost.
 
     Texts with the same words are one class. The row with the smallest id of a group stays (of repeated ids the one of the lowest row_key,
     of rows equal in every column but maps one). Null and empty texts and those without a word are left alone, as are rows without id:
     neither has anything to compare or to be named by. Texts are read whole, an empty table stays empty, columns of any name stay as
     they are. docs is read several times, so it should be a table; rows go by their contents, so their order may differ each time.
     """
-    cols, keys = docs.columns, row_key(docs)
+    cols, keys, scratch, most = docs.columns, row_key(docs), Scratch(docs.sparkSession), apart(similarity, errors)
     slim = docs.select(*keys, F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where("__id is not null")
-    rows = written(profiles(slim, similarity, shingle).where("size > 0").withColumn("row", F.monotonically_increasing_id()), "near-copies-profiles")
+    rows = scratch.written(profiles(slim, similarity, shingle).where("size > 0").withColumn("row", F.monotonically_increasing_id()), "near-copies-profiles")
     low = F.min(F.struct("__id", "k1", "k2", "row"))
     named = cut(rows.groupBy("words_hash").agg(low.alias("low")).select("words_hash", F.col("low.row").alias("id"), "low"))
     again = cut(rows.select("words_hash", "row").join(named.select("words_hash", "id"), "words_hash").where("row != id").select("row"))
@@ -317,7 +324,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     two_fit = _possible(F.col("lo.size"), F.col("lo.rest"), F.col("hi.size"), F.col("hi.rest"), similarity)
     head = lambda x: F.when((F.col("id") != F.col(f"{x}.id")) & _possible(F.col("size"), F.col("rest"), F.col(f"{x}.size"), F.col(f"{x}.rest"), similarity), F.col(f"{x}.id")).alias(x)
-    shared = written(met.where((F.col("n") > 2) | two_fit).select("key", "id", "size", "rest", head("lo"), head("hi")), "near-copies-keys")
+    shared = scratch.written(met.where((F.col("n") > 2) | two_fit).select("key", "id", "size", "rest", head("lo"), head("hi")), "near-copies-keys")
 
     heads = [
         shared.where(f"{x} is not null").groupBy("id", x).count().groupBy("id").agg(F.max(F.struct("count", x)).alias("m"))
@@ -330,7 +337,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         """Links of the pairs (a, b) that their sketches leave possible."""
         pairs = cut(pairs)
         differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-        near = _beside(pairs, pairs.count(), signs, "s").where(differ <= apart(similarity)).select("a", "b")
+        n = pairs.count()
+        near = _beside(gathered(pairs, n), n, signs, "s").where(differ <= most).select("a", "b")
         return _similar(near, named, slim, similarity, shingle)
 
     def placed(links: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -340,7 +348,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         some = [F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"m{k}") for k, m in enumerate(MEMBERS)]
         keys = rows.groupBy("key").agg(F.min("g").alias("one"), F.max("g").alias("other"), F.count(F.lit(1)).alias("n"), *some).where("one != other")
         keys = cut(keys.select("key", "n", F.array(*[f"m{k}" for k in range(len(MEMBERS))]).alias("members")))
-        return written(join_one(rows, keys.select("key", "n"), "key", keys, n_shared, "id"), "near-copies-open"), keys
+        return scratch.written(join_one(rows, keys.select("key", "n"), "key", keys, n_shared, "id"), "near-copies-open"), keys
 
     n_shared = shared.count()
     links = tried(heads[0].union(heads[1]).distinct())
@@ -352,7 +360,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     more = tried(members.where("g != mg").select(F.greatest("id", "m").alias("a"), F.least("id", "m").alias("b")).distinct())
     links = cut(links.union(more))
     open_rows, _ = placed(links, open_rows.drop("g", "n"))
-    left = _meeting(open_rows.drop("n").join(signs.select("id", "s.s1", "s.s2"), "id"), similarity).join(links, ["a", "b"], "left_anti")
+    left = _meeting(open_rows.drop("n").join(signs.select("id", "s.s1", "s.s2"), "id"), similarity, most).join(links, ["a", "b"], "left_anti")
     more = _similar(left, named, slim, similarity, shingle)
 
     found = components(links.union(more))
@@ -361,6 +369,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a key that is not here stays; one that goes, and one of a row that stays once of several equal ones
     verdict = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).join(stays, ["k1", "k2"], "left")
     verdict = written(verdict.where("once is null or n > 1").select("k1", "k2", F.coalesce("once", F.lit(False)).alias("once")), "near-copies-verdict")
+    scratch.drop()
     send = F.broadcast if verdict.count() <= SENT else (lambda x: x)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), *keys)
     out = marked.join(send(verdict), ["k1", "k2"], "left_anti")

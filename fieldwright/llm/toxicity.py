@@ -297,12 +297,12 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, steps: int = 110, batc
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_chars: int = 25_000) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted (1 from 0.5 on).
 
-    Learns from at most max_docs labelled texts, drawn by a hash of the id from all with crc32(id) mod 5 not 0, less those of
-    over max_chars characters: what the driver learns from is at most the product of both. Every text is scored whole, whatever its
+    Learns from at most max_docs labelled texts, one an id, drawn by a hash of the id from all with crc32(id) mod 5 not 0 and
+    max_chars characters at most: what the driver learns from is at most the product of both. Every text is scored whole, whatever its
     length. A null text or one without a word has no window: score 0. Without usable labels, or with labels of one class only, every text
     with words gets the smoothed share of toxic ones. Conflicting labels of a document count as toxic. Repeated rows give a row each, an
     empty table an empty result. Other columns are not used."""
-    drawn = labelled(docs, labels, "toxic", 5, max_docs).where(F.length("text") <= max_chars).toPandas()  # at most max_docs x max_chars
+    drawn = labelled(docs, labels, "toxic", 5, max_docs, max_chars).toPandas()  # at most max_docs x max_chars
     hold = docs.sparkSession.sparkContext.broadcast(fit(drawn["text"].tolist(), drawn["y"].to_numpy()))
     own: list[Scorer] = []
 
