@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import name_variants
-from ..sources.tables import kept
 from .dense import topk_cosine
-
-#: Queries that one task compares with a block of documents; postings of a block.
-QUERY_ROWS, BLOCK_POSTINGS = 4096, 1 << 21
-
-
-def _dealt(queries: DataFrame, items: DataFrame, parts: int, blocks: int, by: list[str]):
-    """Queries and items as cogroups: queries in parts, items in blocks, every part with every block of its class. Neither side's groups
-    grow with the table."""
-    q = queries.withColumn("part", F.pmod(F.xxhash64("q", F.lit(3)), F.lit(parts)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    i = items.withColumn("blk", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    keys = [*by, "blk", "part"]
-    return q.groupBy(*keys).cogroup(i.groupBy(*keys))
-
-
-def _best(row: np.ndarray, col: np.ndarray, v: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k first of each row by falling order, then by col."""
-    rank = np.lexsort((col, -order, row))
-    row, col, v = row[rank], col[rank], v[rank]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[keep], col[keep], v[keep]
-
-
-def _ranked(found: DataFrame, k: int, order: F.Column) -> DataFrame:
-    """The k best of each query over all blocks, with rank."""
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(order, "i"))).where(F.col("rank") <= k)
-
+from .sparse import bm25, tokens  # noqa: F401  part of this module's interface
 
 def merge_dense(name_hits: DataFrame, meaning_hits: DataFrame, k: int = 10, name_weight: float = 0.6) -> DataFrame:
     """query_id, std_id, score, rank: the k best by the weighted sum. A standard absent from one window adds nothing for it; of equal scores
@@ -55,60 +27,6 @@ def dense_search(queries: DataFrame, standards: DataFrame, k: int = 10, name_wei
     return merge_dense(side("name_vector"), side("meaning_vector"), k, name_weight)
 
 
-def tokens(text: F.Column | str) -> F.Column:
-    """Lower-cased Latin words and numbers, and the character bigrams of CJK runs (a single character stands alone)."""
-    t = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    words = F.regexp_extract_all(t, F.lit("[a-z0-9à-öø-ÿœß]+"), F.lit(0))
-    runs = F.regexp_extract_all(t, F.lit("[一-鿿]+"), F.lit(0))
-    grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))))
-    return F.concat(words, grams)
-
-
-def bm25(
-    queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, query_text: str = "text", doc_text: str = "text", by: str | None = None, k1: float = 1.2, b: float = 0.75,
-    query_rows: int = QUERY_ROWS, block_postings: int = BLOCK_POSTINGS,
-) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents of each query by BM25 (ties: smaller id), within the class by if given. Each distinct
-    query token counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over the class. Only postings of tokens that some query has are
-    kept. Queries are dealt in parts and documents in blocks; a task adds up the postings of one of each and gives its own k best, so that a
-    token that all share makes no row for each query and document. Tokens go as 64-bit hashes."""
-    word = lambda t: F.transform(t, lambda x: F.xxhash64(x))
-    d = docs.select(F.col(doc_id).alias("i"), (F.col(by) if by else F.lit(0)).alias("c"), word(tokens(doc_text)).alias("t")).withColumn("len", F.size("t"))
-    q = queries.select(F.col(query_id).alias("q"), (F.col(by) if by else F.lit(0)).alias("c"), word(F.array_distinct(tokens(query_text))).alias("t"))
-    stats = d.groupBy("c").agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg"))
-    asked = q.select("c", F.explode("t").alias("w")).distinct()
-    postings = kept(d.select("i", "c", "len", F.explode("t").alias("w")).join(asked, ["w", "c"]).groupBy("w", "c", "i", "len").agg(F.count(F.lit(1)).alias("tf")))
-    df = postings.groupBy("w", "c").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log1p((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    weighted = postings.join(df, ["w", "c"]).join(F.broadcast(stats), "c").select("c", "i", "w", weight.alias("v"))  # stats: one row a class
-    schema = f"q {dict(q.dtypes)['q']}, i {dict(d.dtypes)['i']}, score double"
-
-    def add_up(qs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(block):
-            return pd.DataFrame({"q": qs["q"][:0], "i": block["i"][:0], "score": np.zeros(0)})
-        ids, doc = np.unique(block["i"].to_numpy(), return_inverse=True)
-        order = np.argsort(block["w"].to_numpy(), kind="stable")
-        doc, words, v = doc[order], block["w"].to_numpy()[order], block["v"].to_numpy()[order]
-        row, col, val = [], [], []
-        for n, t in enumerate(qs["t"]):
-            first, last = np.searchsorted(words, t, "left"), np.searchsorted(words, t, "right")
-            at = np.concatenate([np.arange(f, e) for f, e in zip(first, last, strict=True)] or [np.zeros(0, np.int64)])
-            score = np.bincount(doc[at], v[at], len(ids))
-            rounded = np.round(score, 9)
-            hit = np.unique(doc[at])
-            if len(hit) > k:  # all that tie with the k-th stay in the running
-                hit = hit[rounded[hit] >= np.partition(rounded[hit], -k)[-k]]
-            row.append(np.full(len(hit), n)), col.append(hit), val.append(score[hit])
-        row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
-        row, col, val = _best(row, col, val, np.round(val, 9), k)
-        return pd.DataFrame({"q": qs["q"].to_numpy()[row], "i": ids[col], "score": val})
-
-    parts, blocks = max(1, -(-q.count() // query_rows)), max(1, -(-postings.count() // block_postings))
-    found = _ranked(_dealt(q, weighted, parts, blocks, ["c"]).applyInPandas(add_up, schema), k, F.round("score", 9).desc())
-    return found.select(F.col("q").alias(query_id), F.col("i").alias(doc_id), "score", "rank")
-
-
 def hybrid_union(dense: DataFrame, name_sparse: DataFrame, meaning_sparse: DataFrame) -> DataFrame:
     """query_id, std_id, three scores (4 digits, absent 0), source and place: dense hits first, then those only sparse by name, then only by
     meaning, each by rank. Each input: query_id, std_id, score, rank."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldwright.operators import dense, retrieve
+from fieldwright.operators import dense, retrieve, sparse
 
 ROWS = "i long, vector array<double>, c string"
 
@@ -85,3 +85,51 @@ def test_queries_skip_blocks_out_of_reach(spark):
         dense.small = real
     assert sorted(map(tuple, blocks.select("q", "i").collect())) == sorted(map(tuple, plain.select("q", "i").collect()))
     assert plain.count() == 60 * 8 and plain.where("q = i and abs(score - 1) < 1e-6").count() == 60 and sum(met) > 0
+
+
+# --- BM25
+
+
+def test_postings_of_a_token_that_all_share_are_mostly_unread():
+    """Ranked postings against adding all up, and how many are read."""
+    rng = np.random.default_rng(9)
+    n, words = 20_000, [np.arange(20_000)] + [np.sort(rng.choice(20_000, size, replace=False)) for size in (40, 60, 90, 300, 2_000)]
+    doc = np.concatenate(words)
+    word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    v = rng.random(len(doc)) * np.repeat([0.02, 9.0, 8.0, 7.0, 3.0, 0.5], [len(w) for w in words])
+    held = sparse.Postings(doc, word, v)
+    for asked in ([0, 1], [0, 1, 2, 3], [0, 4, 5], [0], [5, 0, 3, 77], [99], []):
+        held.read = 0
+        total = np.bincount(doc, v * np.isin(word, asked), n)
+        hit, score = held.search(np.array(asked, np.int64), 10)
+        order = np.lexsort((hit, -score))[:10]
+        some = np.flatnonzero(total > 0)
+        want = some[np.lexsort((some, -total[some]))[:10]]
+        assert held.ids[hit[order]].tolist() == want.tolist() and np.allclose(score[order], total[want])
+        if len(asked) > 1 and 0 in asked:
+            assert held.read < 3_000
+    assert not held.score.any()
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_bm25_equals_plain_sums(spark, blocks):
+    rng = np.random.default_rng(10)
+    texts = [(i, " ".join(f"w{int(rng.zipf(1.5)) % 50}" for _ in range(rng.integers(0, 30))) + " all", ["a", "b"][i % 4 == 0]) for i in range(300)] + [(900, None, "a"), (901, "", "b"), (902, "all all", None)]
+    asked = [(i, f"all w{i % 7} w{i % 50} w{i % 7} nowhere", "abz"[i % 3]) for i in range(40)] + [(100, None, "a"), (101, "", "b")]
+    args = dict(query_rows=7, block_postings=400) if blocks else {}
+    got = retrieve.bm25(spark.createDataFrame(asked, "q long, text string, c string"), spark.createDataFrame(texts, "i long, text string, c string"), 6, "q", "i", by="c", **args).collect()
+    want = {}
+    for cls in "ab":
+        own = {i: (t or "").split() for i, t, c in texts if c == cls}
+        avg = sum(map(len, own.values())) / len(own)
+        for q, t, c in asked:
+            if c == cls and t:
+                score = {}
+                for w in set(t.split()):
+                    having = [i for i, x in own.items() if w in x]
+                    for i in having:
+                        tf = own[i].count(w)
+                        score[i] = score.get(i, 0) + np.log(1 + (len(own) - len(having) + 0.5) / (len(having) + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own[i]) / avg))
+                for r, i in enumerate(sorted(score, key=lambda i: (-round(score[i], 9), i))[:6]):
+                    want[q, i] = (r + 1, round(score[i], 6))
+    assert {(r.q, r.i): (r["rank"], round(r.score, 6)) for r in got} == want and len(want) > 100
