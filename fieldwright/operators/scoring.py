@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from ..sources.tables import number_rows
+from ..sources.tables import kept, number_rows
+from .joins import join_one
 
 OK, DUPLICATE, MISSING, FAILED = "ok", "duplicate", "missing", "failed"
 #: What the reports say of a row without one result.
@@ -125,6 +126,8 @@ def embed_texts(c: Column | str, embed: Callable[[list[str]], np.ndarray], batch
 
 
 def embed_distinct(df: DataFrame, text_col: str, embed: Callable[[list[str]], np.ndarray], out: str = "vector") -> DataFrame:
-    """df with the vector of a text column; each distinct text is embedded once."""
-    texts = df.select(text_col).where(F.coalesce(F.col(text_col), F.lit("")) != "").distinct()
-    return df.join(texts.withColumn(out, embed_texts(text_col, embed)), text_col, "left")
+    """df with the vector of a text column; each distinct text is embedded once. A text that very many rows share is no task's alone."""
+    texts = kept(df.groupBy(text_col).agg(F.count(F.lit(1)).alias("n")).where(F.coalesce(F.col(text_col), F.lit("")) != ""))
+    vectors = texts.select(text_col, embed_texts(text_col, embed).alias(out))
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_one(df, vectors, text_col, texts, total, F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]), "left")

@@ -78,6 +78,7 @@ def quality_check(
 def standard_mapping(
     sheet: DataFrame, dictionary: DataFrame, embed: Callable, select: Scorer | None = None, k: int = 10, checkpoint: Callable[[DataFrame], DataFrame] = kept,
     numeric: Scorer | None = None, datetime_rename: Scorer | None = None, flag_rename: Scorer | None = None, fetch_errors: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """The non-enum fields mapped onto the dictionary: mapping_result, selected_std_id, selected_std_name, llm_reason, candidates and
     domain_check_details.
@@ -85,7 +86,8 @@ def standard_mapping(
     Number fields that are statistics go first, then datetime and flag fields are renamed: by the scorers, or by the written rules where none
     is given (flags then keep their names). A failed call keeps rows and names; one of the selection lets the job fail. Each distinct name
     and definition of a class is searched once. Without a selection scorer rows with candidates are for review. fetch_errors:
-    row_index and fetch_error of rows whose candidates could not be had elsewhere."""
+    row_index and fetch_error of rows whose candidates could not be had elsewhere. index: a built index (plans.build), whose vectors are then taken
+    instead of embedding the dictionary again."""
     fields = mapping.non_enum_fields(sheet)
     if "business_caliber" not in fields.columns:
         fields = fields.withColumn("business_caliber", F.lit(""))
@@ -101,8 +103,11 @@ def standard_mapping(
         fields = mapping.apply_renames(fields, _ask(mapping.flag_rename_requests(fields), flag_rename, "rename", 5, checkpoint))
     fields = checkpoint(fields)
     standards = checkpoint(dic.dedupe(dictionary))
-    index = dic.index_records(standards)
-    vectors = checkpoint(embed_distinct(embed_distinct(index, "name_text", embed, "name_vector"), "meaning_text", embed, "meaning_vector"))
+    if index is None:
+        index = dic.index_records(standards)
+        vectors = checkpoint(embed_distinct(embed_distinct(index, "name_text", embed, "name_vector"), "meaning_text", embed, "meaning_vector"))
+    else:
+        vectors = index
     asked = ["field_type", "variant", "business_meaning"]
     named = retrieve.explode_names(fields)
     distinct = checkpoint(named.select(*asked).distinct().withColumn("query_id", F.monotonically_increasing_id()).withColumn("std_type", F.col("field_type")))
