@@ -44,6 +44,14 @@ def token_usage(calls: DataFrame) -> DataFrame:
     return per.groupingSets([("module", "label"), ()], "module", "label").agg(F.sum("n_calls").alias("n_calls"), F.sum("tokens").alias("tokens"))
 
 
+def call_usage(calls: DataFrame) -> DataFrame:
+    """Usage that jobs have noted (scoring.Calls.usage), by (module, label) and in total (both null): n_calls, cached_input, uncached_input,
+    output and tokens."""
+    sums = [F.sum(c).alias(c) for c in ("cached_input", "uncached_input", "output")]
+    out = calls.groupingSets([("module", "label"), ()], "module", "label").agg(F.count(F.lit(1)).alias("n_calls"), *sums)
+    return out.withColumn("tokens", F.col("cached_input") + F.col("uncached_input") + F.col("output"))
+
+
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 

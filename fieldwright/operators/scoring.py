@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -10,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from ..sources.answers import Log, read_log, request_hash
 from ..sources.tables import kept, number_rows
 from .joins import join_one
 
@@ -39,37 +45,154 @@ def batches(df: DataFrame, size: int, by: list[str] | None = None, order: str =
     return number_rows(df, order, "__b", by).withColumn("batch", F.floor((F.col("__b") - 1) / size).cast("long")).drop("__b")
 
 
+class NotWorthRetrying(Exception):
+    """Raised by a scorer where another try cannot help, as with a wrong key."""
+
+
+#: Errors of an answer's form: tried again soon. All others wait longer each time.
+MALFORMED = (ValueError, KeyError)
+
+
+@dataclass
+class Calls:
+    """How a scorer is called: threads calls at a time within a task (in partitions tasks, if given), attempts tries a call, waits of pause
+    seconds after a malformed answer and of pause * 2^n after other errors. log: a folder in which answers are kept by request, every so
+    many calls, so that no run asks what another has been told; a scorer's answers there are those of one kind. module names the calls in
+    the usage that has been noted (usage)."""
+
+    threads: int = 1
+    attempts: int = 1
+    pause: float = 1.0
+    partitions: int | None = None
+    log: str | None = None
+    every: int = 16
+    module: str = "general"
+    noted: list[DataFrame] = field(default_factory=list)
+
+    def of(self, module: str) -> Calls:
+        return replace(self, module=module)  # usage is noted in one list
+
+    def usage(self) -> DataFrame | None:
+        """The calls that the runs so far have made: module, label, cached_input, uncached_input, output (tokens), n_rows."""
+        out = None
+        for df in self.noted:
+            out = df if out is None else out.unionByName(df)
+        return out
+
+
+def tried(call: Callable[[], pd.DataFrame], attempts: int, pause: float) -> pd.DataFrame:
+    """What call returns; after an error that is worth it, it is called again."""
+    for n in range(attempts):
+        try:
+            out = call()
+            if out is None:
+                raise ValueError("no answer")
+            return out
+        except NotWorthRetrying:
+            raise
+        except Exception as e:  # noqa: BLE001  any failure of the user's function
+            if n == attempts - 1:
+                raise
+            time.sleep(pause if isinstance(e, MALFORMED) else pause * 2**n)
+    raise AssertionError
+
+
+def in_order(work: Iterator, f: Callable, threads: int) -> Iterator:
+    """f of each item of work, in their order, with so many at a time."""
+    if threads <= 1:
+        yield from map(f, work)
+        return
+    with ThreadPoolExecutor(threads) as pool:
+        running: deque = deque()
+        try:
+            for item in work:
+                running.append(pool.submit(f, item))
+                if len(running) >= 2 * threads:
+                    yield running.popleft().result()
+            while running:
+                yield running.popleft().result()
+        finally:
+            for rest in running:
+                rest.cancel()
+
+
+def _tokens_of(part: pd.DataFrame, out: pd.DataFrame) -> tuple[int, int, int]:
+    """(cached input, other input, output) of a call: what the scorer says in out.attrs["usage"], or estimates from the texts."""
+    said = tuple(int(x or 0) for x in out.attrs.get("usage") or (0, 0, 0))
+    size = lambda df: max(1, len(df.to_json(orient="records", force_ascii=False, default_handler=str)) // 2)
+    return said if any(said) else (0, size(part), size(out))
+
+
 def run_scorer(
     requests: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], result: str, size: int = 10, concurrency: int | None = None,
-    by: str | None = None, on_error: str = "raise",
+    by: str | None = None, on_error: str = "raise", calls: Calls | None = None, usage: bool = False,
 ) -> DataFrame:
     """row_index, the scorer's columns and call_failed (text, null if the call went well). scorer: request rows -> result rows, called with
-    at most size rows of one partition, of one class if by names its column. concurrency bounds the calls at a time.
+    at most size rows of one partition, of one class if by names its column. concurrency: the number of tasks; calls: how they call
+    (threads, tries, waits, log).
 
     on_error is the policy for a call that raises: "raise" lets the job fail; "mark" gives its rows with call_failed and no result;
-    "missing" gives none of its rows, so that they are reconciled as missing."""
+    "missing" gives none of its rows, so that they are reconciled as missing. Failed calls are not logged. With usage, a row for each call
+    without a row_index holds its usage (struct of cached_input, uncached_input, output, n_rows), which is null elsewhere."""
     if on_error not in ("raise", "mark", "missing"):
         raise ValueError(on_error)
-    names = [c.split()[0] for c in result.split(", ")]
+    how, names = calls or Calls(), [c.split()[0] for c in result.split(", ")]
+    attempts, pause, threads, kept_at, every = how.attempts, how.pause, how.threads, how.log, how.every  # tasks get these alone
+    if how.log:
+        requests = requests.withColumn("__request", request_hash(requests.columns))
+        told = read_log(requests.sparkSession, how.log, result)
+        if told is not None:
+            told = kept(told.join(requests.select(F.col("__request").alias("request")).distinct(), "request", "left_semi"))
+            requests = requests.join(told.select(F.col("request").alias("__request")).distinct(), "__request", "left_anti")
+    asked = [c for c in requests.columns if c != "__request"]
 
-    def call(part: pd.DataFrame) -> pd.DataFrame:
+    def call(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, tuple | None]:
+        rows = part[asked]
         try:
-            return scorer(part)[["row_index", *names]].assign(call_failed=None)
+            out = tried(lambda: scorer(rows), attempts, pause)
+            return part, out[["row_index", *names]].assign(call_failed=None), _tokens_of(rows, out)
         except Exception as e:  # noqa: BLE001  any failure of the user's function is the policy's to judge
             if on_error == "raise":
                 raise
             rows = part[["row_index"]] if on_error == "mark" else part[["row_index"]].iloc[:0]
-            return rows.assign(**dict.fromkeys(names), call_failed=f"{type(e).__name__}: {e}")
+            return part, rows.assign(**dict.fromkeys(names), call_failed=f"{type(e).__name__}: {e}"), None
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for group in [g for _, g in pdf.groupby(by, sort=False, dropna=False)] if by else [pdf]:
                 for i in range(0, len(group), size):
-                    yield call(group.iloc[i:i + size].reset_index(drop=True))
+                    yield group.iloc[i:i + size].reset_index(drop=True)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log = Log(kept_at, every) if kept_at else None
+        try:
+            for part, out, spent in in_order(batches(it), call, threads):
+                if log and spent is not None:
+                    key = dict(zip(part["row_index"], part["__request"], strict=True))
+                    name = uuid.uuid4().hex
+                    rows = out.drop(columns="call_failed").astype(object).where(out.drop(columns="call_failed").notna(), None)
+                    log.add([r | {"request": key[r["row_index"]], "call": name} for r in rows.to_dict("records") if r["row_index"] in key])
+                if usage:
+                    out = out.assign(usage=None)
+                    if spent is not None:
+                        line = dict(zip(("cached_input", "uncached_input", "output", "n_rows"), (*spent, len(part)), strict=True))
+                        out = pd.concat([out.astype(object), pd.DataFrame([{c: None for c in out.columns} | {"usage": line}], dtype=object)], ignore_index=True)
+                yield out
+        finally:
+            if log:
+                log.flush()
+
+    if concurrency or how.partitions:
+        requests = requests.repartition(concurrency or how.partitions)
+    schema = f"row_index bigint, {result}, call_failed string" + (f", usage {USAGE}" if usage else "")
+    made = requests.mapInPandas(run, schema)
+    if how.log and told is not None:
+        more = told.select("row_index", *names, F.lit(None).cast("string").alias("call_failed"), *([F.lit(None).cast(USAGE).alias("usage")] if usage else []))
+        made = more.unionByName(made)
+    return made
+
 
-    if concurrency:
-        requests = requests.repartition(concurrency)
-    return requests.mapInPandas(run, f"row_index bigint, {result}, call_failed string")
+USAGE = "struct<cached_input:bigint,uncached_input:bigint,output:bigint,n_rows:bigint>"
 
 
 def reconcile(sent: DataFrame, results: DataFrame, order: str = "arrival", key: str = "row_index") -> DataFrame:

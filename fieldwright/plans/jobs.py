@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,19 +13,26 @@ from ..functions import enums
 from ..functions.vocab import KEY_ITEMS
 from ..operators import dictionary as dic
 from ..operators import enummap, maintain, mapping, quality, retrieve
-from ..operators.scoring import FAILED, OK, RESULTS, embed_distinct, reconcile, run_scorer
+from ..operators.scoring import FAILED, OK, RESULTS, Calls, embed_distinct, reconcile, run_scorer
 from ..sources.tables import kept, overwrite_enum, write_back
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def _ask(requests: DataFrame, scorer: Scorer | None, kind: str, size: int, checkpoint: Callable[[DataFrame], DataFrame], on_error: str = "missing", by: str | None = None) -> DataFrame:
+def _ask(
+    requests: DataFrame, scorer: Scorer | None, kind: str, size: int, checkpoint: Callable[[DataFrame], DataFrame], on_error: str = "missing", by: str | None = None, calls: Calls | None = None,
+) -> DataFrame:
     """Request rows with results and status. Results are kept before they are joined, so a retry does not ask again. Without a scorer every
-    row is missing. on_error: what a call that raises means for its rows (see run_scorer)."""
+    row is missing. on_error: what a call that raises means for its rows (see run_scorer). calls: how to call; a log gets a folder for each
+    module and kind, and the usage is noted there."""
     if scorer is None:
         results = requests.sparkSession.createDataFrame([], f"row_index bigint, {RESULTS[kind]}, call_failed string, arrival bigint")
     else:
-        results = checkpoint(run_scorer(requests, scorer, RESULTS[kind], size, by=by, on_error=on_error).withColumn("arrival", F.monotonically_increasing_id()))
+        calls = calls or Calls()
+        own = replace(calls, log=f"{calls.log.rstrip('/')}/{calls.module}-{kind}") if calls.log else calls
+        got = checkpoint(run_scorer(requests, scorer, RESULTS[kind], size, by=by, on_error=on_error, calls=own, usage=True).withColumn("arrival", F.monotonically_increasing_id()))
+        calls.noted.append(got.where("usage is not null").select(F.lit(calls.module).alias("module"), F.lit(kind).alias("label"), "usage.*"))
+        results = got.where("usage is null").drop("usage")
     return reconcile(requests.select("row_index"), results)
 
 
@@ -37,19 +45,21 @@ def rule_enum_results(rows: DataFrame) -> DataFrame:
 def quality_check(
     sheet: DataFrame, meaning: Scorer | None = None, class_check: Scorer | None = None, antonym: Scorer | None = None, sample: Scorer | None = None,
     enum_normalise: Scorer | None = None, checkpoint: Callable[[DataFrame], DataFrame] = kept, ask_meaning: bool = True, key_items: list[tuple] = KEY_ITEMS,
+    calls: Calls | None = None,
 ) -> DataFrame:
     """sheet with check_result, fail_reason, soft_check_result, its enum column normalised. Without an enum scorer lists are normalised by the written
     rules; with ask_meaning off, the meaning check is left out altogether. A call that fails leaves its rows without a meaning or enum result
     (for review); of the soft checks it says that they were not executed. key_items: the rules of the key-item notes."""
+    calls = calls and calls.of("quality_check")
     rows = quality.check_rules(sheet)
     if enum_normalise is None:
         e = rule_enum_results(rows)
     else:
-        e = _ask(quality.enum_requests(rows), enum_normalise, "enum_normalise", 10, checkpoint).select("row_index", "status", "has_codes", "normalized")
+        e = _ask(quality.enum_requests(rows), enum_normalise, "enum_normalise", 10, checkpoint, calls=calls).select("row_index", "status", "has_codes", "normalized")
     rows = quality.add_consistency(rows.join(e.withColumnRenamed("status", "enum_status"), "row_index", "left"))
     m = None
     if ask_meaning:
-        m = _ask(quality.meaning_requests(rows), meaning, "meaning", 10, checkpoint).select(
+        m = _ask(quality.meaning_requests(rows), meaning, "meaning", 10, checkpoint, calls=calls).select(
             "row_index", F.col("status").alias("meaning_status"), F.col("is_meaningful").alias("scored_meaningful"), F.col("reasoning").alias("scored_reason")
         )
         m = m.withColumn("meaning_status", F.when(F.col("meaning_status") != "missing", F.col("meaning_status")))
@@ -67,7 +77,7 @@ def quality_check(
             blank = {"status": "string", "is_correct": "boolean", "correct_type": "string", "reasoning": "string", "is_antonym": "boolean", "is_valid": "boolean", "failed": "boolean"}
             done = done.select("*", *[F.lit(None).cast(blank[a]).alias(b) for a, b in names.items()])
         else:
-            r = _ask(asked[kind], scorer, kind, 10, checkpoint, "mark").withColumn("failed", F.col("status") == FAILED).select("row_index", *[F.col(a).alias(b) for a, b in names.items()])
+            r = _ask(asked[kind], scorer, kind, 10, checkpoint, "mark", calls=calls).withColumn("failed", F.col("status") == FAILED).select("row_index", *[F.col(a).alias(b) for a, b in names.items()])
             done = done.join(r, "row_index", "left")
     done = quality.soft_notes(done, key_items)
     results = done.select("row_index", "check_result", "fail_reason", "soft_check_result", overwrite_enum(F.col("enum_values"), F.col("normalized_enum")).alias("__enum"))
@@ -78,7 +88,7 @@ def quality_check(
 def standard_mapping(
     sheet: DataFrame, dictionary: DataFrame, embed: Callable, select: Scorer | None = None, k: int = 10, checkpoint: Callable[[DataFrame], DataFrame] = kept,
     numeric: Scorer | None = None, datetime_rename: Scorer | None = None, flag_rename: Scorer | None = None, fetch_errors: DataFrame | None = None,
-    index: DataFrame | None = None,
+    index: DataFrame | None = None, calls: Calls | None = None,
 ) -> DataFrame:
     """The non-enum fields mapped onto the dictionary: mapping_result, selected_std_id, selected_std_name, llm_reason, candidates and
     domain_check_details.
@@ -88,19 +98,20 @@ def standard_mapping(
     and definition of a class is searched once. Without a selection scorer rows with candidates are for review. fetch_errors:
     row_index and fetch_error of rows whose candidates could not be had elsewhere. index: a built index (plans.build), whose vectors are then taken
     instead of embedding the dictionary again."""
+    calls = calls and calls.of("standard_mapping")
     fields = mapping.non_enum_fields(sheet)
     if "business_caliber" not in fields.columns:
         fields = fields.withColumn("business_caliber", F.lit(""))
     if numeric is None:
         fields = mapping.drop_indicators_by_rule(fields)
     else:
-        fields = mapping.drop_indicators(fields, _ask(mapping.numeric_requests(fields), numeric, "numeric", 5, checkpoint))
+        fields = mapping.drop_indicators(fields, _ask(mapping.numeric_requests(fields), numeric, "numeric", 5, checkpoint, calls=calls))
     if datetime_rename is None:
         fields = mapping.rename_by_rule(fields)
     else:
-        fields = mapping.apply_renames(fields, _ask(mapping.datetime_rename_requests(fields), datetime_rename, "rename", 5, checkpoint))
+        fields = mapping.apply_renames(fields, _ask(mapping.datetime_rename_requests(fields), datetime_rename, "rename", 5, checkpoint, calls=calls))
     if flag_rename is not None:
-        fields = mapping.apply_renames(fields, _ask(mapping.flag_rename_requests(fields), flag_rename, "rename", 5, checkpoint))
+        fields = mapping.apply_renames(fields, _ask(mapping.flag_rename_requests(fields), flag_rename, "rename", 5, checkpoint, calls=calls))
     fields = checkpoint(fields)
     standards = checkpoint(dic.dedupe(dictionary))
     if index is None:
@@ -126,7 +137,7 @@ def standard_mapping(
     requests = checkpoint(mapping.selection_requests(fields, left))
     n = left.groupBy("row_index").agg(F.count(F.lit(1)).alias("n_candidates"))
     text = requests.select("row_index", mapping.candidate_text(F.col("candidates")).alias("candidates"))
-    answers = _ask(requests, select, "selection", 5, checkpoint, "raise", by="field_type")
+    answers = _ask(requests, select, "selection", 5, checkpoint, "raise", by="field_type", calls=calls)
     rows = fields.select("row_index")
     for part in (n, answers, text, info.select("row_index", "domain_check_details"), fetch_errors):
         rows = rows.join(part, "row_index", "left")
@@ -141,10 +152,11 @@ def standard_mapping(
 
 def enum_mapping(
     sheet: DataFrame, dictionary: DataFrame, embed: Callable, select: Scorer | None = None, least: float = 0.8, checkpoint: Callable[[DataFrame], DataFrame] = kept,
-    fetch_errors: DataFrame | None = None,
+    fetch_errors: DataFrame | None = None, calls: Calls | None = None,
 ) -> DataFrame:
     """The enum fields mapped: mapping_result, selected_std_id, selected_std_name, enum_code_suggestion, llm_reason, and candidates with their
     scores. A call of the selection that fails marks its rows; fetch_errors as in standard_mapping."""
+    calls = calls and calls.of("enum_mapping")
     fields = checkpoint(enummap.enum_fields(sheet))
     pairs = enummap.field_pairs(fields)
     records = dic.enum_value_records(dic.enum_items(dictionary)).withColumnRenamed("value", "value_text")
@@ -160,7 +172,7 @@ def enum_mapping(
     if fetch_errors is None:
         fetch_errors = sheet.sparkSession.createDataFrame([], "row_index bigint, fetch_error string")
     requests = fields.select("row_index", "field_name", "field_type", "business_meaning").join(enummap.selection_request(cand), "row_index").join(fetch_errors.select("row_index"), "row_index", "left_anti")
-    answers = _ask(checkpoint(requests), select, "selection", 5, checkpoint, "mark", by="field_type")
+    answers = _ask(checkpoint(requests), select, "selection", 5, checkpoint, "mark", by="field_type", calls=calls)
     listed = found.groupBy("row_index").agg(
         F.count(F.lit(1)).alias("n_candidates"),
         enummap.candidate_text(F.sort_array(F.collect_list(F.struct("rank", "item_id", "item_name", "score", "operation", "standards")))).alias("candidates"),
@@ -174,9 +186,10 @@ def enum_mapping(
     ))
 
 
-def standard_maintenance(entries: DataFrame, name: Scorer | None, definition: Scorer | None, merge: Scorer | None, checkpoint: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+def standard_maintenance(entries: DataFrame, name: Scorer | None, definition: Scorer | None, merge: Scorer | None, checkpoint: Callable[[DataFrame], DataFrame] = kept, calls: Calls | None = None) -> DataFrame:
     """Entries of new standards with normalised names and merged definitions. A failed call keeps names, and leaves definitions blank with
     the reason."""
-    rows = maintain.apply_names(entries, _ask(maintain.name_requests(entries), name, "name", 5, checkpoint))
-    rows = checkpoint(maintain.apply_definitions(rows, _ask(maintain.definition_requests(rows), definition, "definition", 5, checkpoint, "mark")))
-    return maintain.maintenance_table(maintain.apply_merges(rows, _ask(maintain.merge_requests(rows), merge, "merge", 5, checkpoint, "mark")))
+    calls = calls and calls.of("standard_maintenance")
+    rows = maintain.apply_names(entries, _ask(maintain.name_requests(entries), name, "name", 5, checkpoint, calls=calls))
+    rows = checkpoint(maintain.apply_definitions(rows, _ask(maintain.definition_requests(rows), definition, "definition", 5, checkpoint, "mark", calls=calls)))
+    return maintain.maintenance_table(maintain.apply_merges(rows, _ask(maintain.merge_requests(rows), merge, "merge", 5, checkpoint, "mark", calls=calls)))

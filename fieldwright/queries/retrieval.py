@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enummap, maintain, retrieve, scoring
-from ..plans import jobs
+from ..plans import build, jobs
+from ..sources.index import read_index
+from ..sources.tables import shared_dir
 from .derive import DICTIONARY_SQL, RESULTS_SQL, SHEET_SQL, dictionary, results, sheet, table
 
 Q: dict = {}
@@ -161,3 +165,27 @@ def w3_enum_mapping(spark: SparkSession, d: str) -> DataFrame:
 def w4_maintenance(spark: SparkSession, d: str) -> DataFrame:
     """The whole maintenance job without a model: names stay, definitions are blank."""
     return jobs.standard_maintenance(sheet(spark, d), None, None, None)
+
+
+def _before(cast: str) -> str:
+    """The dictionary as it was before: some ids, classes and definitions were others."""
+    return f"""SELECT pos, CASE WHEN pos % 7 = 0 THEN 'X' || std_id ELSE std_id END AS std_id, std_name, CASE WHEN pos % 11 = 3 AND std_type = '文本类' THEN '编码类' ELSE std_type END AS std_type,
+      CASE WHEN pos % 13 = 5 THEN definition || ' before' ELSE definition END AS definition FROM {cast}"""
+
+
+def _indexed(src: str) -> str:
+    return f"""SELECT trim(std_id) AS std_id, std_type, trim(std_name) AS name_text, trim(definition) AS meaning_text FROM (SELECT * FROM ({src}) QUALIFY row_number() OVER (PARTITION BY std_id ORDER BY pos DESC) = 1)
+      WHERE std_type <> '代码枚举类' AND trim(std_id) <> '' AND trim(std_name) <> '' AND trim(definition) <> ''"""
+
+
+@query(f"""WITH a AS ({_indexed(f"SELECT * FROM ({_before(f'({DICTIONARY_SQL})')})")}), b AS ({_indexed(DICTIONARY_SQL)})
+  SELECT b.*, CASE WHEN a.std_id IS NULL THEN 2 ELSE 1 END::BIGINT AS since FROM b LEFT JOIN a USING (std_id, std_type, name_text, meaning_text)""")
+def a12_index_build(spark: SparkSession, d: str) -> DataFrame:
+    """The index after two builds: of the dictionary as it was before, then as it is. since: the build that a record's content is of."""
+    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    now = dictionary(spark, d)
+    was = spark.sql(_before("{rows}"), rows=now)
+    embed = scoring.hashing_embedder(64)
+    for version in (was, now):
+        build.index_build(version, path, embed)
+    return read_index(spark, path).select("std_id", "std_type", "name_text", "meaning_text", "since")
