@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.domain import date_kind, domain_conflict
 from ..functions.names import datetime_name, is_indicator, needs_datetime_rename, needs_flag_rename
 from ..functions.vocab import FLAG, NEW_STANDARD, NON_ENUM, NUMBER
+from ..sources.tables import kept
+from .joins import join_one
 from .scoring import DUPLICATE, DUPLICATE_REASON, MISSING, MISSING_REASON, OK
 
 
@@ -100,3 +102,30 @@ def outcome_reason(fetch_error: Column, n_candidates: Column, status: Column, re
 def candidate_text(candidates: Column) -> Column:
     """Candidates as one cell: id name, one a line."""
     return F.array_join(F.transform(candidates, lambda c: F.concat(c["std_id"], F.lit(" "), F.coalesce(c["std_name"], F.lit("")))), "\n")
+
+
+def name_variants_by(fields: DataFrame, groups: DataFrame, name_col: str = "field_name", key: str = "row_index") -> DataFrame:
+    """fields with variant and variant_pos: each name (0), then one variant for each other member of the group of its longest listed suffix, in the
+    group's order. groups: group_id, pos, suffix, of any size; blank members and groups of one do not count, and of groups that share a
+    suffix the one of the largest id has it. Names are looked up by their endings, not by the table's suffixes in turn; an ending, a group or a
+    name that very many rows have is dealt over several tasks. Null and blank names have themselves only."""
+    members = groups.select("group_id", "pos", F.trim("suffix").alias("suffix")).where("suffix != ''")
+    sizes = members.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("pos", "suffix"))).alias("members")).where("size(members) > 1")
+    sizes = kept(sizes)
+    owner = kept(sizes.select("group_id", F.explode("members").alias("m")).groupBy(F.col("m.suffix").alias("suffix")).agg(F.max("group_id").alias("group_id")))
+    longest = owner.agg(F.coalesce(F.max(F.length("suffix")), F.lit(0))).first()[0]
+    names = kept(fields.groupBy(F.col(name_col).alias("__name")).agg(F.count(F.lit(1)).alias("n")).where("__name != ''"))
+    ends = names.select("__name", F.explode(F.sequence(F.lit(1), F.least(F.length("__name"), F.lit(max(longest, 1))))).alias("len")).select("__name", "len", F.expr("right(__name, len)").alias("suffix"))
+    n_ends = names.agg(F.coalesce(F.sum(F.least(F.length("__name"), F.lit(max(longest, 1)))), F.lit(0))).first()[0]
+    counts = ends.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+    met = join_one(ends, owner, "suffix", counts, n_ends, "__name").groupBy("__name").agg(F.max_by(F.struct("suffix", "group_id"), "len").alias("m"))
+    met = kept(met.select("__name", "m.suffix", "m.group_id"))
+    counts = met.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    grouped = join_one(met, sizes, "group_id", counts, met.count(), "__name")
+    stem = F.expr("left(__name, length(__name) - length(suffix))")
+    others = F.filter("members", lambda m: m["suffix"] != F.col("suffix"))
+    listed = grouped.select("__name", F.transform(others, lambda m: F.concat(stem, m["suffix"])).alias("__others"))
+    total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = join_one(fields.withColumn("__name", F.col(name_col)), listed, "__name", names.select("__name", "n"), total, key, "left")
+    variants = F.concat(F.array(F.col(name_col)), F.coalesce("__others", F.array().cast("array<string>")))
+    return joined.select(*[F.col(f"`{c}`") for c in fields.columns], F.posexplode(variants).alias("variant_pos", "variant"))

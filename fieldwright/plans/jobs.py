@@ -88,7 +88,7 @@ def quality_check(
 def standard_mapping(
     sheet: DataFrame, dictionary: DataFrame, embed: Callable, select: Scorer | None = None, k: int = 10, checkpoint: Callable[[DataFrame], DataFrame] = kept,
     numeric: Scorer | None = None, datetime_rename: Scorer | None = None, flag_rename: Scorer | None = None, fetch_errors: DataFrame | None = None,
-    index: DataFrame | None = None, calls: Calls | None = None,
+    index: DataFrame | None = None, calls: Calls | None = None, synonyms: DataFrame | None = None,
 ) -> DataFrame:
     """The non-enum fields mapped onto the dictionary: mapping_result, selected_std_id, selected_std_name, llm_reason, candidates and
     domain_check_details.
@@ -97,7 +97,7 @@ def standard_mapping(
     is given (flags then keep their names). A failed call keeps rows and names; one of the selection lets the job fail. Each distinct name
     and definition of a class is searched once. Without a selection scorer rows with candidates are for review. fetch_errors:
     row_index and fetch_error of rows whose candidates could not be had elsewhere. index: a built index (plans.build), whose vectors are then taken
-    instead of embedding the dictionary again."""
+    instead of embedding the dictionary again. synonyms: groups of suffixes (mapping.name_variants_by) in place of the listed ones."""
     calls = calls and calls.of("standard_mapping")
     fields = mapping.non_enum_fields(sheet)
     if "business_caliber" not in fields.columns:
@@ -120,7 +120,7 @@ def standard_mapping(
     else:
         vectors = index
     asked = ["field_type", "variant", "business_meaning"]
-    named = retrieve.explode_names(fields)
+    named = retrieve.explode_names(fields) if synonyms is None else mapping.name_variants_by(fields, synonyms)
     distinct = checkpoint(named.select(*asked).distinct().withColumn("query_id", F.monotonically_increasing_id()).withColumn("std_type", F.col("field_type")))
     queries = checkpoint(embed_distinct(embed_distinct(distinct, "variant", embed, "name_vector"), "business_meaning", embed, "meaning_vector"))
     dense = retrieve.dense_search(queries, vectors, k)

@@ -324,6 +324,25 @@ def c20_synonyms(spark: SparkSession, d: str) -> DataFrame:
     return sheet(spark, d).select("row_index", F.array_join(names.name_variants("field_name"), "/").alias("variants"))
 
 
+_GROUPS = "SELECT p_partkey AS group_id, unnest([1, 2, 3]) AS pos, unnest([lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0'), 'x' || p_partkey, '客户' || p_partkey]) AS suffix FROM part"
+_NAMES = "SELECT c_custkey AS row_index, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_name || 'x' || (c_custkey % 700) WHEN 2 THEN '客户' || (c_custkey % 900) ELSE 'none' END AS field_name FROM customer"
+
+
+@query(f"""WITH g AS ({_GROUPS}), m AS (SELECT suffix, max(group_id) AS group_id FROM g GROUP BY suffix), n AS ({_NAMES}),
+  h AS (SELECT n.row_index, field_name, m.suffix, m.group_id FROM n JOIN m ON suffix(n.field_name, m.suffix) QUALIFY row_number() OVER (PARTITION BY n.row_index ORDER BY length(m.suffix) DESC) = 1)
+  SELECT row_index, 0::BIGINT AS variant_pos, field_name AS variant FROM n
+  UNION ALL SELECT h.row_index, row_number() OVER (PARTITION BY h.row_index ORDER BY g.pos), left(h.field_name, length(h.field_name) - length(h.suffix)) || g.suffix FROM h JOIN g ON g.group_id = h.group_id AND g.suffix <> h.suffix""")
+def c20_synonym_table(spark: SparkSession, d: str) -> DataFrame:
+    """Variants by a table of synonym groups, one for each part."""
+    k = F.col("p_partkey").cast("string")
+    members = F.array(F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.concat(F.lit("x"), k), F.concat(F.lit("客户"), k))
+    groups = table(spark, d, "part").select(F.col("p_partkey").alias("group_id"), F.posexplode(members).alias("pos", "suffix"))
+    c = F.col("c_custkey")
+    name = F.when(c % 4 == 0, F.col("c_name")).when(c % 4 == 1, F.concat("c_name", F.lit("x"), (c % 700).cast("string"))).when(c % 4 == 2, F.concat(F.lit("客户"), (c % 900).cast("string"))).otherwise("none")
+    fields = table(spark, d, "customer").select(c.alias("row_index"), name.alias("field_name"))
+    return mapping.name_variants_by(fields, groups).select("row_index", F.col("variant_pos").cast("bigint").alias("variant_pos"), "variant")
+
+
 @query(f"SELECT row_index, ({sql.sample_fault('domain_type', 'data_example')}) IS NOT NULL AS conflict FROM ({SHEET_SQL})")
 def c21_conflict(spark: SparkSession, d: str) -> DataFrame:
     return sheet(spark, d).select("row_index", F.coalesce(domain_conflict("domain_type", "data_example"), F.lit(False)).alias("conflict"))
@@ -463,3 +482,18 @@ def j1_intake(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").select("row_index", "rule_passed", F.array_join("rule_issues", " / ").alias("issues"))
 
 
+@query("SELECT p_brand AS table_name, p_name AS field_name, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
+def j1_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Names that stand more than once, counted as files arrive, one a batch."""
+    import uuid
+
+    from ..streaming import intake
+
+    at = f"{tables.shared_dir(spark)}/intake-{uuid.uuid4().hex}"
+    s = sheet(spark, d).drop("table_name", "field_name")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("row_index"), F.col("p_brand").alias("table_name"), F.col("p_name").alias("field_name"))
+    s = s.join(p, "row_index")
+    s.repartition(4).write.parquet(f"{at}/in")
+    rows = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    intake.start_intake(rows, f"{at}/out", f"{at}/state", counts=f"{at}/counts").awaitTermination()
+    return intake.duplicate_names(spark, f"{at}/counts")
