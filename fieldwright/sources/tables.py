@@ -40,7 +40,8 @@ class MissingColumns(ValueError):
 
 def read_cells(spark: SparkSession, path: str, kind: str = "csv", columns: list[str] | None = None, **options) -> DataFrame:
     """A table whose cells are all text, from CSV, JSON lines or Parquet. columns: the names in the file, so that nothing is inferred from
-    its data. For CSV the first line is the header and cells may span lines."""
+    its data. For CSV the first line is the header and cells may span lines, so that each file is one task's; sources.quoted reads large files by
+    many."""
     reader = spark.read.format(kind).options(**options)
     if kind == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
