@@ -4,7 +4,7 @@ The pieces, scores and normaliser of a SentencePiece model are read; a text's se
 library's unigram model defines it, bytes standing for characters without a piece. (A BPE model's scores are ranks of its merges; its own
 segmentation merges by rank instead, so the ids differ from the library's for such a model, and decode to the same text.) Words of equal length advance together: at
 each end position the hashes of all their substrings probe the sorted hashes of the pieces, and the best of each word
-is kept with its start.
+is kept with its start. Long runs without spaces are probed at all places at once, and cut where no piece spans a place.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ CACHED_WORDS, CACHED_LENGTH = 250_000, 64
 #: Cells (words x positions) that advance together.
 BATCH_CELLS = 400_000
 _BASE = np.uint64(0x100000001B3)
+_UNBASE = np.uint64(pow(0x100000001B3, -1, 2**64))
+#: Characters of a long run that are looked at together, at least.
+RUN = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LEAD = np.uint64(44)
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -140,6 +143,79 @@ class PieceModel:
             result.append(ids)
         return result
 
+    def matches(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, position in the sorted keys) of every piece within a run of code points, all places at once."""
+        n = len(u)
+        power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
+        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _UNBASE)]))
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum((u.astype(np.uint64) + np.uint64(1)) * back[1:])]) * power  # modulo 2^64
+        starts, lengths, found = [], [], []
+        for s in range(1, min(self.longest, n) + 1):
+            key = ((prefix[s:] - prefix[:-s] * self.power[s]) ^ np.uint64(s)) * _MIX
+            row = np.flatnonzero(self.leading[key >> _LEAD])
+            at = np.minimum(np.searchsorted(self.keys, key[row]), len(self.keys) - 1)
+            ok = self.keys[at] == key[row]
+            starts.append(row[ok]), lengths.append(np.full(int(ok.sum()), s)), found.append(at[ok])
+        return np.concatenate(starts), np.concatenate(lengths), np.concatenate(found)
+
+    def segment_long(self, word: str) -> np.ndarray:
+        """The ids of a long run without spaces: cut wherever no piece spans the place, which loses nothing; parts of up to CACHED_LENGTH
+        characters go with the short words, in longer ones each place looks at the pieces that end there."""
+        u = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out, begin, size = [], 0, RUN
+        while begin < len(word):
+            block = u[begin:begin + size]
+            start, length, at = self.matches(block)
+            inside = np.zeros(len(block) + 2, np.int64)
+            np.add.at(inside, start + 1, 1), np.add.at(inside, start + length, -1)
+            free = np.flatnonzero(np.cumsum(inside[:len(block) + 1]) == 0)
+            if begin + len(block) < len(word):  # what the block's end cuts off may hold pieces that span its last places
+                free = free[free <= len(block) - self.longest]
+                if free[-1] == 0:
+                    size *= 2
+                    continue
+            ends = free[1:].tolist()
+            parts = [word[begin + a:begin + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            short = {p for p in parts if len(p) <= CACHED_LENGTH}
+            made = self.learn(short)
+            order = np.lexsort((-length, start + length))
+            start, length, at, stop = start[order], length[order], at[order], (start + length)[order]
+            a = 0
+            for p, b in zip(parts, ends, strict=True):
+                if len(p) <= CACHED_LENGTH:
+                    out.append(self.known.get(p) or made[p])
+                else:
+                    lo, hi = np.searchsorted(stop, [a + 1, b + 1])
+                    out.append(self._best_path(p, (start[lo:hi] - a).tolist(), (stop[lo:hi] - a).tolist(), at[lo:hi]))
+                a = b
+            begin, size = begin + ends[-1], RUN
+        return np.frombuffer(b"".join(out), "<u4")
+
+    def _best_path(self, word: str, start: list[int], stop: list[int], at: np.ndarray) -> bytes:
+        """Viterbi over the pieces found in a part, by end and falling length."""
+        score, ids = self.scores[at].tolist(), self.ids[at].tolist()
+        best, back, piece = [0.0] + [0.0] * len(word), [0] * (len(word) + 1), [self.unknown] * (len(word) + 1)
+        k = 0
+        for end in range(1, len(word) + 1):
+            top, frm, own, single = -np.inf, end - 1, self.unknown, False
+            while k < len(stop) and stop[k] == end:
+                single = start[k] == end - 1
+                v = best[start[k]] + score[k]
+                if v > top:
+                    top, frm, own = v, start[k], ids[k]
+                k += 1
+            if not single and best[end - 1] + self.unknown_score > top:
+                top, frm, own = best[end - 1] + self.unknown_score, end - 1, self.unknown
+            best[end], back[end], piece[end] = top, frm, own
+        out, end = [], len(word)
+        while end:
+            if piece[end] == self.unknown and self.bytes:
+                out += [self.bytes[b] for b in reversed(word[end - 1].encode("utf-8", "surrogatepass"))]
+            else:
+                out.append(piece[end])
+            end = back[end]
+        return np.array(out[::-1], "<u4").tobytes()
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The ids of each word; short ones are remembered."""
         if len(self.known) + len(words) > CACHED_WORDS:
@@ -147,7 +223,9 @@ class PieceModel:
         made: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
         for w in words:
-            if w not in self.known:
+            if len(w) > CACHED_LENGTH:
+                made[w] = self.segment_long(w).tobytes()
+            elif w not in self.known:
                 by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
             step = max(1, BATCH_CELLS // (length * self.longest))
@@ -198,7 +276,8 @@ def default_model() -> str:
 
 
 def encode_texts(docs: DataFrame, model: str | None = None, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """id_cols, ids (array of int) of every whole text. A null or empty text has none."""
+    """id_cols, ids (array of int) of every whole text, whatever its length. A null or empty text has none, repeated rows give a row each, an
+    empty table gives an empty result. Other columns are not used."""
     path, held = model or default_model(), []
     kinds = dict(docs.dtypes)
 
@@ -211,7 +290,8 @@ def encode_texts(docs: DataFrame, model: str | None = None, id_cols: tuple[str,
 
 
 def decode_ids(encoded: DataFrame, model: str | None = None, id_cols: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
-    """id_cols, text of every row's ids. Null ids give an empty text."""
+    """id_cols, text of every row's ids, whatever their number. Null or no ids give an empty text, repeated rows a row each, an empty table an
+    empty result. Other columns are not used."""
     path, held = model or default_model(), []
     kinds = dict(encoded.dtypes)
 
