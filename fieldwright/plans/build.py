@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import enums
+from ..functions.names import enum_names
+from ..functions.vocab import ENUM
 from ..operators import dictionary as dic
 from ..operators import retrieve
 from ..operators.joins import join_one
 from ..operators.scoring import embed_texts
-from ..sources.index import current, read_index, write_version
-from ..sources.tables import kept
+from ..sources.index import Folder, current, read_index, write_version
+from ..sources.tables import export_dictionary, kept
 
 TEXTS = {"name_text": "name_vector", "meaning_text": "meaning_vector"}
 INDEX = ["std_id", *TEXTS, *TEXTS.values(), "content", "since", "std_type"]
@@ -73,3 +76,58 @@ def self_check(index: DataFrame) -> DataFrame:
     named = hits.join(index.select(F.col("std_id").alias("found_id"), F.col("name_text").alias("found_text")), "found_id")
     out = first.join(named, "query_id", "left")
     return out.select("std_type", F.col("query_id").alias("std_id"), "found_id", F.coalesce(F.col("found_text") == F.col("name_text"), F.lit(False)).alias("ok"))
+
+
+def dictionary_build(
+    dictionary: DataFrame, domains: DataFrame, proposed: DataFrame | None = None, rules: DataFrame | None = None, corrections: list[DataFrame] = (),
+    path: str | None = None, state: str | None = None, resume: bool = False,
+) -> dict[str, DataFrame]:
+    """standards, domains and details (enum_id, code, value) of a dictionary built in phases; with path, also written there as the four tables of an
+    export.
+
+    nonenum: domains of the other classes by name, then those of proposed ids (std_id, domain_id) that fit the class. codeenum: names of enum
+    standards put right, rules tidied or replaced (rules: std_id, rule), a new domain and enum id for each. pruned: rows without use go.
+    corrected: each of corrections (std_id, new_rule, new_caliber) is laid over in turn; n_edits adds up.
+
+    With state, a folder, each phase is kept there; with resume, phases that are there are read, so that a run goes on where the last one
+    ended. Otherwise what is there is replaced. Without it phases are kept in the shared folder."""
+    spark = dictionary.sparkSession
+    cols = [c for c in dictionary.columns if c != "domain_hint"]
+
+    def phase(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if not state:
+            return kept(make())
+        at = f"{state.rstrip('/')}/{name}"
+        if not (resume and "_SUCCESS" in Folder(spark, at).names()):
+            make().write.mode("overwrite").parquet(at)
+        return spark.read.parquet(at)
+
+    def nonenum() -> DataFrame:
+        rows = dic.match_domains(dictionary.where(F.col("std_type") != ENUM), domains).select(cols)
+        return rows if proposed is None else dic.apply_domain_ids(rows, proposed, domains)
+
+    def codeenum() -> DataFrame:
+        n = enum_names(F.col("std_name"), F.col("std_name_en"), F.col("phys_name"))
+        rows = dictionary.where(F.col("std_type") == ENUM).select(cols)
+        rows = rows.withColumns({"std_name": n["name"], "std_name_en": n["english"], "phys_name": n["physical"]})
+        told = spark.createDataFrame([], "std_id string, __rule string") if rules is None else rules.select("std_id", F.col("rule").alias("__rule"))
+        rule = F.coalesce(F.when(F.col("__rule") != "", F.col("__rule")), enums.tidy_rule("rule"), F.col("rule"))
+        rows = rows.join(told, "std_id", "left").withColumn("rule", rule).drop("__rule")
+        return dic.new_enum_domains(rows).select(cols)
+
+    def corrected() -> DataFrame:
+        rows = pruned.withColumn("n_edits", F.lit(0))
+        for c in corrections:
+            rows = dic.overlay(rows.withColumnRenamed("n_edits", "__edits"), c).withColumn("n_edits", F.col("n_edits") + F.col("__edits")).drop("__edits")
+        return rows
+
+    other, coded = phase("nonenum", nonenum), phase("codeenum", codeenum)
+    pruned = phase("pruned", lambda: dic.prune(other.unionByName(coded)))
+    standards = phase("corrected", corrected)
+    out = {
+        "standards": standards, "domains": dic.all_domains(domains, coded),
+        "details": standards.where((F.col("std_type") == ENUM) & (F.coalesce("enum_id", F.lit("")) != "")).select("enum_id", F.explode(enums.strict_detail("rule")).alias("p")).select("enum_id", "p.code", "p.value"),
+    }
+    if path:
+        export_dictionary(standards.drop("n_edits"), out["domains"], out["details"], path)
+    return out
