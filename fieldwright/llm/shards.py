@@ -103,7 +103,8 @@ def uniform_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", seed
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """Shards as Parquet folders shard=N, rows in slot order. Each shard's slots are dealt to files by range."""
+    """Shards as Parquet folders shard=N, rows in slot order. Each shard's slots are dealt to files by range. Null, empty and very long texts and
+    repeated rows are written as they are; an empty table gives a folder without shards."""
     df.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -72,8 +72,12 @@ def _read_varint(b: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
+def _bloom_hashes(key: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
+
+
 def _bloom_bits(key: bytes, bits: int) -> list[int]:
-    a, b = xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
+    a, b = _bloom_hashes(key)
     return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
 
 
@@ -83,7 +87,7 @@ class TableWriter:
     def __init__(self, out, id_bytes: int = 2):
         self.out, self.id_bytes, self.zstd = out, id_bytes, zstandard.ZstdCompressor(level=1)
         self.block, self.first, self.before = bytearray(), b"", b""
-        self.index, self.keys, self.at, self.ids = [], [], 0, 0
+        self.index, self.hashes, self.entries, self.at, self.ids = [], array("Q"), 0, 0, 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if not self.block:
@@ -96,7 +100,8 @@ class TableWriter:
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(ids)) + key[shared:]
         self.block += ids.astype(f"<u{self.id_bytes}").tobytes()
         self.before = key
-        self.keys.append(key)
+        self.hashes.extend(_bloom_hashes(key))  # 16 bytes an entry: the keys themselves stay in the file
+        self.entries += 1
         self.ids += len(ids)
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
@@ -112,12 +117,13 @@ class TableWriter:
     def close(self) -> None:
         self._flush()
         index = b"".join(struct.pack("<H", len(k)) + k + struct.pack("<QI", at, n) for k, at, n in self.index)
-        bits = max(64, len(self.keys) * BLOOM_BITS)
-        bloom = np.zeros(bits, np.uint8)
-        for k in self.keys:
-            bloom[_bloom_bits(k, bits)] = 1
+        bits = max(64, self.entries * BLOOM_BITS)
+        bloom = np.zeros(bits, bool)
+        a, b = np.frombuffer(self.hashes, np.uint64).reshape(-1, 2).T % np.uint64(bits)
+        for i in range(BLOOM_HASHES):
+            bloom[(a + np.uint64(i) * b) % np.uint64(bits)] = True
         self.out.write(index + np.packbits(bloom, bitorder="little").tobytes())
-        self.out.write(_FOOTER.pack(self.at, self.at + len(index), len(self.index), bits, self.id_bytes, len(self.keys), self.ids, MARK))
+        self.out.write(_FOOTER.pack(self.at, self.at + len(index), len(self.index), bits, self.id_bytes, self.entries, self.ids, MARK))
 
 
 class TableReader:
@@ -261,16 +267,17 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 
-def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, rows_per_shard: int = 1_000_000) -> DataFrame:
     """Writes the shards under path, a folder that all executors share, and returns the manifest, one row per file: file, shard,
     entries, n_ids, first_id, last_id, and start, the number of ids in the shards before it.
 
     Documents are in ascending order of their id over all shards (null first; of repeated ids, by the text); end_id follows each
     text. A null or empty text has that id only; texts of any length are written whole. An empty table gives no file. A task writes to a name of its own and renames it, so a task that runs
-    again replaces the file by the same one. Without shards, the session's number of shuffle partitions."""
+    again replaces the file by the same one. Repeated rows have an entry each. Without shards, the session's number of shuffle partitions, or
+    as many as rows_per_shard rows each ask for: what a task holds of a shard is its index and some 30 bytes an entry."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_per_shard))
     rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "t")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,14 +293,14 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
                 for i, t in zip(pdf["id"].astype("Int64"), pdf["t"], strict=True):
                     i = None if pd.isna(i) else int(i)
                     table.add(key_of(i), np.concatenate([encode(t if isinstance(t, str) else ""), end]))
-                    first, last = (i if not len(table.keys) > 1 else first), i
+                    first, last = (i if table.entries == 1 else first), i
             table.close()
-        if not table.keys:
+        if not table.entries:
             fs.delete_file(own)
             return
         name = f"{root}/part-{shard:06d}.sst"
         fs.move(own, name)
-        yield pd.DataFrame({"file": [f"part-{shard:06d}.sst"], "shard": [shard], "entries": [len(table.keys)], "n_ids": [table.ids], "first_id": pd.array([first], "Int64"), "last_id": pd.array([last], "Int64")})
+        yield pd.DataFrame({"file": [f"part-{shard:06d}.sst"], "shard": [shard], "entries": [table.entries], "n_ids": [table.ids], "first_id": pd.array([first], "Int64"), "last_id": pd.array([last], "Int64")})
 
     made = cut(rows.mapInPandas(write, "file string, shard int, entries bigint, n_ids bigint, first_id bigint, last_id bigint"))
     # one row a file: small, however large the input
@@ -323,7 +330,8 @@ def read_tables(manifest: DataFrame, path: str) -> DataFrame:
 
 
 def look_up(manifest: DataFrame, path: str, doc_id: int | None) -> list[np.ndarray]:
-    """The ids of a document: its files by the manifest, then a binary search in each."""
+    """The ids of a document, one array for each of its rows, none if it is not there or the table is empty: its files by the manifest, then a
+    binary search in each. A null id is looked up like any other."""
     at = F.col("first_id").eqNullSafe(doc_id) if doc_id is None else (F.coalesce(F.col("first_id") <= doc_id, F.lit(True)) & (F.col("last_id") >= doc_id))
     fs, root = open_fs(path)
     out = []
