@@ -1,6 +1,7 @@
 """Vocabularies, rules and messages.
 
-Fixed values: every name below must be as it stands for results to agree with the sheets and dictionaries in use.
+Fixed values: every name below must be as it stands for results to agree with the sheets and dictionaries in use, but for KEY_ITEMS,
+SUFFIX_SYNONYMS and the pairs of antonyms, which are a house's own tables and stand here as examples: give yours as arguments.
 """
 
 from __future__ import annotations
