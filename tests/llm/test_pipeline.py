@@ -125,6 +125,15 @@ def test_low_quality_rows_go_and_odd_ones_stay_by_score(spark, tmp_path):
 
 
 def test_the_whole_run(spark, sf):
+    """What is left after all stages: rows of a score of 0.3 or more, one of each group of near copies among them, less those with a window of an item."""
+    from fieldwright.llm import quality
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    scores = quality.quality_scores(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    good = sorted((r.doc_id, docs[r.doc_id]) for r in scores if r.score >= 0.3)
+    single = near_copy_survivors(good)
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = sorted(i for i, t in single if not leaks(t, items))
+    assert len(docs) > len(good) > len(single) > len(want) > 0
     out = corpus_pipeline.run(spark, sf)
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
-    assert 0 < out.count() < docs.count() and out.where("not round_trip").count() == 0 and out.select("doc_id").exceptAll(docs).count() == 0
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == want and out.where("not round_trip").count() == 0
