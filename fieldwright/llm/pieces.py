@@ -177,7 +177,7 @@ class PieceModel:
             ends = free[1:].tolist()
             parts = [word[begin + a:begin + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             short = {p for p in parts if len(p) <= CACHED_LENGTH}
-            made = self.learn(short)
+            made = self.learn(short, remember=False)
             order = np.lexsort((-length, start + length))
             start, length, at, stop = start[order], length[order], at[order], (start + length)[order]
             a = 0
@@ -216,9 +216,9 @@ class PieceModel:
             end = back[end]
         return np.array(out[::-1], "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of each word; short ones are remembered."""
-        if len(self.known) + len(words) > CACHED_WORDS:
+    def learn(self, words: set[str], remember: bool = True) -> dict[str, bytes]:
+        """The ids of each word that is not known yet; short ones are remembered, but for parts of longer ones."""
+        if remember and len(self.known) + len(words) > CACHED_WORDS:
             self.known = {}
         made: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
@@ -232,7 +232,7 @@ class PieceModel:
             for i in range(0, len(group), step):
                 for w, ids in zip(group[i:i + step], self.segment(group[i:i + step]), strict=True):
                     made[w] = ids.tobytes()
-        if len(made) <= CACHED_WORDS:
+        if remember and len(made) <= CACHED_WORDS:
             self.known.update((w, ids) for w, ids in made.items() if len(w) <= CACHED_LENGTH)
         return made
 
