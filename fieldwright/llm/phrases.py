@@ -150,8 +150,8 @@ class Frequent:
 
     def next_map(self, docs: DataFrame, least: int, words: int) -> Bitmap:
         """The map of the grams one word longer: where two known ones overlap, keys are counted. They travel in packs by their leading bits, sorted,
-        40 bits of each and its number up to least. A pack's group holds the keys of a million words or so, whatever the table's size."""
-        m, bits = len(self.maps) + 1, min(max((words >> 20).bit_length(), 5), MAP_BITS - 13)
+        40 bits of each and its number up to least."""
+        m, bits = len(self.maps) + 1, _pack_bits(words)
         small = np.uint8 if least < 256 else np.uint32
         hold = docs.sparkSession.sparkContext.broadcast(self)
 
@@ -242,12 +242,22 @@ def longest_grams(docs: DataFrame, frequent: DataFrame, salt: str, most: int, le
         known = Frequent(salt, [*known.maps, known.next_map(docs, least, words)])
     hold = docs.sparkSession.sparkContext.broadcast(known)
 
-    def packed(lang: str, rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s in range(0, len(rows), 100_000):
-            part = rows[s:s + 100_000]
-            real = part != 0
-            g = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(real.sum(1))]).astype(np.int32)), pa.array(part[real].view(np.int64)))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part), pa.string()), "g": g, "n": n[s:s + 100_000]})
+    bits = _pack_bits(words)
+
+    def packed(lang: str, rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        lead = np.zeros(len(rows), np.uint64)
+        for c in rows.T:
+            lead = (lead ^ c) * _M1
+            lead ^= lead >> np.uint64(29)
+        lead = (lead * _M2 >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(lead, kind="stable")
+        own, start = np.unique(lead[order], return_index=True)
+        parts = list(zip(start, [*start[1:], len(rows)], strict=True))
+        rows, n = np.ascontiguousarray(rows[order]), n[order].astype("<i8")
+        return pa.RecordBatch.from_pydict({
+            "lang": pa.array([lang] * len(own), pa.string()), "k": own,
+            "rows": pa.array([rows[a:b].tobytes() for a, b in parts], pa.binary()), "n": pa.array([n[a:b].tobytes() for a, b in parts], pa.binary()),
+        })
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -255,17 +265,30 @@ def longest_grams(docs: DataFrame, frequent: DataFrame, salt: str, most: int, le
             if len(h) < 2:
                 continue
             rows, n = grams(h, begins, most)
+            if not len(rows):
+                continue
             if lang in held:
                 rows, n = distinct_rows(np.concatenate([held[lang][0], rows]), np.concatenate([held[lang][1], n]))
             held[lang] = rows, n
             if sum(len(n) for _, n in held.values()) > HELD // 4:
                 for name, part in held.items():
-                    yield from packed(name, *part)
+                    yield packed(name, *part)
                 held.clear()
         for name, part in held.items():
-            yield from packed(name, *part)
+            yield packed(name, *part)
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, n = np.frombuffer(b"".join(pdf["rows"]), np.uint64).reshape(-1, most), np.frombuffer(b"".join(pdf["n"]), "<i8")
+        rows, n = distinct_rows(rows, n)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(rows), "g": [r[r != 0].view(np.int64) for r in rows], "n": n})
+
+    made = docs.mapInArrow(emit, "lang string, k int, rows binary, n binary")
+    return made.groupBy("lang", "k").applyInPandas(add_up, "lang string, g array<bigint>, n bigint")
+
 
-    return docs.mapInArrow(emit, "lang string, g array<bigint>, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+def _pack_bits(words: int) -> int:
+    """Leading bits by which keys are packed, so that a pack's group holds those of a million words or so, whatever the table's size."""
+    return min(max((words >> 20).bit_length(), 5), MAP_BITS - 13)
 
 
 def _word_map(frequent: DataFrame, salt: str) -> Bitmap:
