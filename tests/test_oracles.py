@@ -37,7 +37,7 @@ def test_query_matches_sql(spark, sf, duck, name):
     pd.testing.assert_frame_equal(got, want)
 
 
-@pytest.mark.parametrize("name", ["g4_ids"])
+@pytest.mark.parametrize("name", ["g4_ids", "i3_domains"])
 def test_ids_of_six_digits(spark, sf, tmp_path, name):
     """More than 99,999 enum standards: the queries cut numbers as their SQL does, the operator's ids stay unique."""
     from fieldwright.operators import dictionary as dic
