@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from ..sources.tables import kept
 from .joins import SENT, small
 
-#: Numbers of a block of items, and of the queries that meet it in one task; cosines held at once.
-BLOCK_NUMBERS, QUERY_NUMBERS, CELLS = 1 << 22, 1 << 24, 1 << 22
+#: Numbers of a block of items, and of the queries that meet it in one task; cosines held at once, and numbers of a table beside them.
+BLOCK_NUMBERS, QUERY_NUMBERS, CELLS, HELD = 1 << 22, 1 << 22, 1 << 20, 1 << 20
+#: Items from which on queries are dealt over all tasks; tasks for each core, queries of one at least, and partitions at most.
+SPREAD, TASKS, LEAST_QUERIES, MOST_TASKS = 1 << 12, 4, 1 << 10, 2000
 #: Centroids at most, numbers of them at most, and items of the sample that they are chosen from.
 CENTROIDS, CENTROID_NUMBERS, SAMPLE = 256, 1 << 20, 4096
 #: Scores are compared to so many digits; bounds give way by a little more than their rounding.
@@ -67,10 +69,19 @@ def reach(cosine: np.ndarray, low: np.ndarray) -> np.ndarray:
 class Block:
     """Items of some cells, held by cell: ids (ascending within a cell's ties), unit vectors, and each cell's begin, end and radius."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, cell: np.ndarray, centroids: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, cell: np.ndarray, centroids: np.ndarray, most: int | None = None):
+        """most: how many items of one vector are held, those of the smallest ids; no more can be among the best of a query for so many."""
         order = np.lexsort((ids, cell))
+        if most is not None and len(ids) > most:
+            _, same, n = np.unique(np.ascontiguousarray(x[order]).view(np.dtype((np.void, x.shape[1] * x.itemsize)))[:, 0], return_inverse=True, return_counts=True)
+            if n.max() > most:
+                by = np.lexsort((ids[order], same))
+                order = order[np.sort(by[np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n) < most])]
         self.ids, self.x, cell = ids[order], unit(x[order]), cell[order]
-        self.place = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")  # for ties
+        self.rough = self.x.astype(np.float32)
+        self.at = np.argsort(self.ids, kind="stable")
+        self.place = np.empty(len(self.at), np.int64)  # for ties
+        self.place[self.at] = np.arange(len(self.at))
         self.cells, self.start = np.unique(cell, return_index=True)
         self.end = np.append(self.start[1:], len(cell))
         self.centre = centroids[self.cells]
@@ -78,46 +89,72 @@ class Block:
         self.low = np.minimum.reduceat(cosine, self.start) - SLACK if len(cell) else cosine
 
     def search(self, x: np.ndarray, k: int, least: float | None, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(query, item, score, cosines computed): for each row of x its k best items, least and floor (of each row) at least."""
-        n, m = len(x), len(self.cells)
-        kth = np.full(n, -np.inf) if floor is None else floor.astype(np.float64)
+        """(query, item, score, cosines computed): for each row of x its k best items, least and floor (of each row) at least. Rows are taken so many
+        at a time that nothing is held of all rows but their k items."""
+        kth = np.full(len(x), -np.inf) if floor is None else floor.astype(np.float64)
         if least is not None:
             kth = np.maximum(kth, least)
-        top = np.full((n, k), -np.inf)
+        step = max(1, HELD // max(len(self.cells), k, x.shape[1]))
+        parts = [self._some(x[i:i + step], k, kth[i:i + step], i) for i in range(0, len(x), step)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        row, at, v, done = zip(*parts, strict=True)
+        return np.concatenate(row), np.concatenate(at), np.concatenate(v), sum(done)
+
+    def _some(self, x: np.ndarray, k: int, kth: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """search for some rows. Cosines in single precision tell which may be among the k best; these are then computed in double."""
+        n, m = len(x), len(self.cells)
+        rough, off = x.astype(np.float32), (x.shape[1] + 8) * 2.0**-23  # how far a cosine in single precision can be off
         bound = reach(x @ self.centre.T, self.low)
         order = np.argsort(-bound, axis=1, kind="stable")
         before = np.cumsum((self.end - self.start)[order], axis=1) - (self.end - self.start)[order]
         first = np.zeros((n, m), bool)
         np.put_along_axis(first, order, before < k, axis=1)  # the best cells, until they hold k items
-        rows, cols, values, done = [], [], [], 0
+        del order, before
+        none = np.zeros(0, np.int64)
+        row, place, v = none, none, np.zeros(0)  # the best so far
+        new, waiting, done = [], 0, 0
+
+        def settle() -> None:
+            """The k best of those so far and the new ones, in double precision."""
+            nonlocal row, place, v, waiting, new
+            if not new:
+                return
+            r, c = np.concatenate([a for a, _ in new]), np.concatenate([b for _, b in new])
+            new, waiting, step = [], 0, max(1, HELD // x.shape[1])
+            score = np.concatenate([np.einsum("ij,ij->i", x[r[i:i + step]], self.x[c[i:i + step]]) for i in range(0, len(r), step)])
+            score = np.round(score, DIGITS)
+            ok = score >= kth[r]
+            row, place, v = best(np.concatenate([row, r[ok]]), np.concatenate([place, self.place[c[ok]]]), np.concatenate([v, score[ok]]), k)
+            last = np.flatnonzero(np.append(row[1:] != row[:-1], True)) if len(row) else none
+            full = last[np.bincount(row, minlength=n)[row[last]] == k]
+            kth[row[full]] = np.maximum(kth[row[full]], v[full])
 
         def look(cell: int, who: np.ndarray) -> None:
-            nonlocal done
+            nonlocal done, waiting
             s, e = int(self.start[cell]), int(self.end[cell])
             step = max(1, CELLS // (e - s))
             for i in range(0, len(who), step):
                 at = who[i:i + step]
-                score = np.round(x[at] @ self.x[s:e].T, DIGITS)
+                score = rough[at] @ self.rough[s:e].T
                 done += score.size
-                some = min(k, e - s)
-                part = np.partition(score, e - s - some, axis=1)[:, e - s - some:]
-                top[at] = np.partition(np.hstack([top[at], part]), some, axis=1)[:, some:]
-                kth[at] = np.maximum(kth[at], top[at].min(1))
-                row, col = np.nonzero(score >= kth[at][:, None])
-                rows.append(at[row]), cols.append(col + s), values.append(score[row, col])
+                need = kth[at] - off
+                if e - s > k and not np.isfinite(need).all():
+                    need = np.maximum(need, np.partition(score, e - s - k, axis=1)[:, e - s - k] - 2 * off)
+                r, c = np.divmod(np.flatnonzero(score >= need.astype(np.float32)[:, None] - np.float32(1e-7)), e - s)
+                if len(r):
+                    new.append((at[r], c + s))
+                    waiting += len(r)
+                if waiting > max(2 * n * k, 1 << 16):
+                    settle()
 
         for cell in range(m):
             look(cell, np.flatnonzero(first[:, cell] & (bound[:, cell] >= kth)))
+        settle()
         for cell in np.argsort(-bound.max(0, initial=-1), kind="stable") if n else []:
             look(int(cell), np.flatnonzero(~first[:, cell] & (bound[:, cell] >= kth)))
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), done
-        row, col, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-        ok = (v >= kth[row]) & np.isfinite(v)
-        row, place, v = best(row[ok], self.place[col[ok]], v[ok], k)
-        at = np.empty(len(self.place), np.int64)
-        at[self.place] = np.arange(len(self.place))
-        return row, at[place], v, done
+        settle()
+        return row + offset, self.at[place], v, done
 
 
 def packed(df: DataFrame, id_col: str, name: str, vec: str, by: str | None, centroids: np.ndarray | None = None) -> DataFrame:
@@ -186,8 +223,10 @@ def _with_all(q: DataFrame, it: DataFrame, centroids: np.ndarray, k: int, least:
     """Every query with the items of its class; these are BLOCK_NUMBERS numbers at most, all told, and go to every task."""
     dim = centroids.shape[1]
     held = it.toPandas()
-    blocks = {c: Block(part["i"].to_numpy(), _rows(part["v"], dim), part["cell"].to_numpy(), centroids) for c, part in held.groupby("c")}
+    blocks = {c: Block(part["i"].to_numpy(), _rows(part["v"], dim), part["cell"].to_numpy(), centroids, k) for c, part in held.groupby("c")}
     hold = q.sparkSession.sparkContext.broadcast(blocks)
+    if len(held) > SPREAD:  # queries may come as one file
+        q = q.repartition(q.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -249,18 +288,23 @@ def _by_blocks(q: DataFrame, it: DataFrame, centroids: np.ndarray, k: int, least
     def compare(qs: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(items):
             return pd.DataFrame({"q": qs["q"][:0], "i": items["i"][:0], "score": np.zeros(0)})
-        block = Block(items["i"].to_numpy(), _rows(items["v"], dim), items["cell"].to_numpy(), hold.value)
+        block = Block(items["i"].to_numpy(), _rows(items["v"], dim), items["cell"].to_numpy(), hold.value, k)
         return _hits(qs["q"], block, block.search(unit(_rows(qs["v"], dim)), k, least, qs["floor"].to_numpy()))
 
     def looked(asked: DataFrame, later: bool) -> DataFrame:
         asked = asked.join(F.broadcast(plans) if small(plans, SENT // CENTROIDS) else plans, "c")
         gone = kept(asked.mapInPandas(routed(later), f"q {kind_q}, c {kind_c}, v binary, floor double, go array<struct<g:bigint,s:int>>"))
-        sizes = kept(gone.select("c", F.explode("go").alias("b")).select("c", "b.g", "b.s").groupBy("c", "g", "s").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("parts")))
+        counts = kept(gone.select("c", F.explode("go").alias("b")).select("c", "b.g", "b.s").groupBy("c", "g", "s").agg(F.count(F.lit(1)).alias("n")))
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = min(query_rows, max(LEAST_QUERIES, -(-total // (TASKS * spark.sparkContext.defaultParallelism))))  # few blocks keep all cores busy too
+        sizes = counts.select("c", "g", "s", F.ceil(F.col("n") / rows).cast("int").alias("parts"))
+        tasks = sizes.agg(F.coalesce(F.sum("parts"), F.lit(1))).first()[0]
         give = F.broadcast(sizes) if small(sizes) else sizes
         left = gone.select("q", "c", "v", "floor", F.explode("go").alias("b")).select("q", "c", "v", "floor", "b.g", "b.s").join(give, ["c", "g", "s"])
         left = left.withColumn("part", F.pmod(F.xxhash64("q", F.lit(3)), F.col("parts")).cast("int")).drop("parts")
         right = blocks.join(give, ["c", "g", "s"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         keys = ["c", "g", "s", "part"]
+        left, right = (x.repartition(min(2 * tasks, MOST_TASKS), *keys) for x in (left, right))
         return kept(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema))
 
     asked = q.withColumn("floor", F.lit(float("-inf")))

@@ -46,6 +46,29 @@ def test_cells_out_of_reach_are_skipped():
     assert sorted(zip(row.tolist(), block.ids[at].tolist())) == sorted(zip(*(a.tolist() for a in np.nonzero(score >= 0.9)))) and done < 0.25 * score.size
 
 
+def test_search_holds_little_beside_the_block():
+    """What a search holds does not grow with its queries times cells, and copies of one vector are compared as often as they can be hits."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, q = clustered(rng, 20_000, 8, 200), dense.unit(clustered(np.random.default_rng(3), 30_000, 8, 200))
+    x[::2] = x[0]
+    centroids = dense.choose_centroids(dense.unit(x[:1500]), 141)
+    cell = (dense.unit(x) @ centroids.T).argmax(1)
+    ids = np.random.default_rng(5).permutation(20_000)
+    block = dense.Block(ids, x, cell, centroids, 5)
+    assert len(block.ids) == 10_005
+    tracemalloc.start()
+    row, at, v, _ = block.search(q, 5, None)
+    assert tracemalloc.get_traced_memory()[1] < 90e6  # 30,000 x 141 numbers alone are 34 MB, of which five tables were held
+    tracemalloc.stop()
+    assert len(row) == 150_000
+    for n in range(0, 30_000, 997):
+        score = np.round(dense.unit(x) @ q[n], 12)
+        want = np.lexsort((ids, -score))[:5]
+        assert block.ids[at[row == n]].tolist() == ids[want].tolist() and np.allclose(v[row == n], score[want])
+
+
 @pytest.mark.parametrize("least", [None, 0.7])
 @pytest.mark.parametrize("blocks", [False, True])
 def test_topk_equals_brute_force(spark, least, blocks):
