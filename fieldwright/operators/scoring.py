@@ -49,6 +49,9 @@ class NotWorthRetrying(Exception):
     """Raised by a scorer where another try cannot help, as with a wrong key."""
 
 
+#: Requests of a group that are given one copy of what they share.
+SHARED_ROWS = 2000
+
 #: Errors of an answer's form: tried again soon. All others wait longer each time.
 MALFORMED = (ValueError, KeyError)
 
@@ -116,16 +119,26 @@ def in_order(work: Iterator, f: Callable, threads: int) -> Iterator:
                 rest.cancel()
 
 
-def _tokens_of(part: pd.DataFrame, out: pd.DataFrame) -> tuple[int, int, int]:
-    """(cached input, other input, output) of a call: what the scorer says in out.attrs["usage"], or estimates from the texts."""
+def _tokens_of(part: pd.DataFrame, out: pd.DataFrame, large: str | None = None, known: dict | None = None) -> tuple[int, int, int]:
+    """(cached input, other input, output) of a call: what the scorer says in out.attrs["usage"], or estimates from the texts. large: a column
+    of objects that many calls share, whose lengths are kept in known."""
     said = tuple(int(x or 0) for x in out.attrs.get("usage") or (0, 0, 0))
-    size = lambda df: max(1, len(df.to_json(orient="records", force_ascii=False, default_handler=str)) // 2)
-    return said if any(said) else (0, size(part), size(out))
+    if any(said):
+        return said
+    length = lambda df: len(df.to_json(orient="records", force_ascii=False, default_handler=str))
+    more = 0
+    if large is not None:
+        for v in part[large]:
+            if id(v) not in known:
+                known[id(v)] = length(pd.DataFrame({large: [v]})) - 3  # a comma in place of brackets and braces
+            more += known[id(v)]
+        part = part.drop(columns=large)
+    return 0, max(1, (length(part) + more) // 2), max(1, length(out) // 2)
 
 
 def run_scorer(
     requests: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], result: str, size: int = 10, concurrency: int | None = None,
-    by: str | None = None, on_error: str = "raise", calls: Calls | None = None, usage: bool = False,
+    by: str | None = None, on_error: str = "raise", calls: Calls | None = None, usage: bool = False, shared: DataFrame | None = None,
 ) -> DataFrame:
     """row_index, the scorer's columns and call_failed (text, null if the call went well). scorer: request rows -> result rows, called with
     at most size rows of one partition, of one class if by names its column. concurrency: the number of tasks; calls: how they call
@@ -133,24 +146,33 @@ def run_scorer(
 
     on_error is the policy for a call that raises: "raise" lets the job fail; "mark" gives its rows with call_failed and no result;
     "missing" gives none of its rows, so that they are reconciled as missing. Failed calls are not logged. With usage, a row for each call
-    without a row_index holds its usage (struct of cached_input, uncached_input, output, n_rows), which is null elsewhere."""
+    without a row_index holds its usage (struct of cached_input, uncached_input, output, n_rows), which is null elsewhere.
+
+    shared: a key that requests have too, and one column that the scorer gets in its place: large values that many requests have in common. A task
+    gets each once, and its requests hold the same object; SHARED_ROWS requests at most are a group of their own."""
     if on_error not in ("raise", "mark", "missing"):
         raise ValueError(on_error)
     how, names = calls or Calls(), [c.split()[0] for c in result.split(", ")]
     attempts, pause, threads, kept_at, every = how.attempts, how.pause, how.threads, how.log, how.every  # tasks get these alone
+    key, large = shared.columns if shared is not None else (None, None)
+    lengths: dict = {}
     if how.log:
-        requests = requests.withColumn("__request", request_hash(requests.columns))
+        if shared is None:
+            requests = requests.withColumn("__request", request_hash(requests.columns))
+        else:  # the key is a name of this run only
+            hashed = requests.join(shared.select(key, request_hash([large]).alias("__large")), key)
+            requests = hashed.select(*requests.columns, request_hash([*[c for c in requests.columns if c != key], "__large"]).alias("__request"))
         told = read_log(requests.sparkSession, how.log, result)
         if told is not None:
             told = kept(told.join(requests.select(F.col("__request").alias("request")).distinct(), "request", "left_semi"))
             requests = requests.join(told.select(F.col("request").alias("__request")).distinct(), "__request", "left_anti")
-    asked = [c for c in requests.columns if c != "__request"]
+    asked = [large if shared is not None and c == key else c for c in requests.columns if c != "__request"]
 
     def call(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, tuple | None]:
         rows = part[asked]
         try:
             out = tried(lambda: scorer(rows), attempts, pause)
-            return part, out[["row_index", *names]].assign(call_failed=None), _tokens_of(rows, out)
+            return part, out[["row_index", *names]].assign(call_failed=None), _tokens_of(rows, out, large, lengths)
         except Exception as e:  # noqa: BLE001  any failure of the user's function is the policy's to judge
             if on_error == "raise":
                 raise
@@ -182,10 +204,29 @@ def run_scorer(
             if log:
                 log.flush()
 
-    if concurrency or how.partitions:
+    if shared is None and (concurrency or how.partitions):
         requests = requests.repartition(concurrency or how.partitions)
     schema = f"row_index bigint, {result}, call_failed string" + (f", usage {USAGE}" if usage else "")
-    made = requests.mapInPandas(run, schema)
+    if shared is None:
+        made = requests.mapInPandas(run, schema)
+    else:
+        def with_shared(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+            held = dict(zip(values[key], values[large], strict=True))
+            lengths.clear()
+            rows = rows[rows[key].isin(held.keys())].drop(columns=["__b", "__p"])
+            rows = rows.assign(**{key: rows[key].map(held)}).rename(columns={key: large})
+            got = [out for out in run(iter([rows])) if len(out)] if len(rows) else []
+            empty = pd.DataFrame({c: pd.Series(dtype=object) for c in ["row_index", *names, "call_failed", *(["usage"] if usage else [])]})
+            return pd.concat([out.astype(object) for out in got], ignore_index=True) if got else empty
+
+        n = requests.count()
+        bucket = F.pmod(F.xxhash64(key, F.lit(19)), F.lit(max(1, -(-n // SHARED_ROWS)))).alias("__b")
+        sizes = kept(requests.select(bucket).groupBy("__b").agg(F.ceil(F.count(F.lit(1)) / SHARED_ROWS).cast("int").alias("__m")))
+        left = requests.withColumn("__b", bucket).join(F.broadcast(sizes), "__b").withColumn("__p", F.pmod(F.xxhash64("row_index", F.lit(23)), F.col("__m")).cast("int")).drop("__m")
+        right = shared.withColumn("__b", bucket).join(F.broadcast(sizes), "__b").withColumn("__p", F.explode(F.sequence(F.lit(0), F.col("__m") - 1))).drop("__m")
+        tasks = concurrency or how.partitions or max(1, min(2 * sizes.agg(F.coalesce(F.sum("__m"), F.lit(1))).first()[0], 2000))
+        left, right = left.repartition(tasks, "__b", "__p"), right.repartition(tasks, "__b", "__p")
+        made = left.groupBy("__b", "__p").cogroup(right.groupBy("__b", "__p")).applyInPandas(with_shared, schema)
     if how.log and told is not None:
         more = told.select("row_index", *names, F.lit(None).cast("string").alias("call_failed"), *([F.lit(None).cast(USAGE).alias("usage")] if usage else []))
         made = more.unionByName(made)

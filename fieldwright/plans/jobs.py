@@ -13,6 +13,7 @@ from ..functions import enums
 from ..functions.vocab import KEY_ITEMS
 from ..operators import dictionary as dic
 from ..operators import enummap, maintain, mapping, quality, retrieve
+from ..operators.joins import join_one
 from ..operators.scoring import FAILED, OK, RESULTS, Calls, embed_distinct, reconcile, run_scorer
 from ..sources.tables import kept, overwrite_enum, write_back
 
@@ -21,16 +22,17 @@ Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 def _ask(
     requests: DataFrame, scorer: Scorer | None, kind: str, size: int, checkpoint: Callable[[DataFrame], DataFrame], on_error: str = "missing", by: str | None = None, calls: Calls | None = None,
+    shared: DataFrame | None = None,
 ) -> DataFrame:
     """Request rows with results and status. Results are kept before they are joined, so a retry does not ask again. Without a scorer every
     row is missing. on_error: what a call that raises means for its rows (see run_scorer). calls: how to call; a log gets a folder for each
-    module and kind, and the usage is noted there."""
+    module and kind, and the usage is noted there. shared: see run_scorer."""
     if scorer is None:
         results = requests.sparkSession.createDataFrame([], f"row_index bigint, {RESULTS[kind]}, call_failed string, arrival bigint")
     else:
         calls = calls or Calls()
         own = replace(calls, log=f"{calls.log.rstrip('/')}/{calls.module}-{kind}") if calls.log else calls
-        got = checkpoint(run_scorer(requests, scorer, RESULTS[kind], size, by=by, on_error=on_error, calls=own, usage=True).withColumn("arrival", F.monotonically_increasing_id()))
+        got = checkpoint(run_scorer(requests, scorer, RESULTS[kind], size, by=by, on_error=on_error, calls=own, usage=True, shared=shared).withColumn("arrival", F.monotonically_increasing_id()))
         calls.noted.append(got.where("usage is not null").select(F.lit(calls.module).alias("module"), F.lit(kind).alias("label"), "usage.*"))
         results = got.where("usage is null").drop("usage")
     return reconcile(requests.select("row_index"), results)
@@ -157,33 +159,49 @@ def enum_mapping(
     """The enum fields mapped: mapping_result, selected_std_id, selected_std_name, enum_code_suggestion, llm_reason, and candidates with their
     scores. A call of the selection that fails marks its rows; fetch_errors as in standard_mapping."""
     calls = calls and calls.of("enum_mapping")
-    fields = checkpoint(enummap.enum_fields(sheet))
-    pairs = enummap.field_pairs(fields)
+    fields = enummap.enum_fields(sheet)
+    # what is found depends on the list of pairs alone: each distinct list is searched once and named by its first row
+    lists = checkpoint(fields.groupBy("pairs").agg(F.min("row_index").alias("list"), F.count(F.lit(1)).alias("n")))
+    n_fields = lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    fields = fields.select("row_index", "field_name", "field_type", "business_meaning", "pairs")
+    fields = checkpoint(join_one(fields, lists.select("pairs", "list"), "pairs", lists.select("pairs", "n"), n_fields, "row_index").drop("pairs"))
+    each = lists.select(F.col("list").alias("row_index"), "pairs")
+    pairs = enummap.field_pairs(each)
     records = dic.enum_value_records(dic.enum_items(dictionary)).withColumnRenamed("value", "value_text")
     texts = checkpoint(embed_distinct(dic.distinct_values(pairs), "value", embed))
     known = checkpoint(embed_distinct(records.select("value_text").distinct(), "value_text", embed))
     hits = checkpoint(enummap.similar_values(texts, known, records, least=least))
-    best = checkpoint(enummap.recall(enummap.greedy_scores(pairs, hits), fields.select("row_index", F.size("pairs").alias("n"))))
+    best = checkpoint(enummap.recall(enummap.greedy_scores(pairs, hits), each.select("row_index", F.size("pairs").alias("n"))))
     back = dic.backfill(best.select("item_id"), dictionary)
     d = enummap.details(F.col("pairs"), F.col("matched"))
-    both = best.join(back.select("item_id", "item_name", "standards"), "item_id").join(fields.select("row_index", "pairs"), "row_index")
+    both = best.join(back.select("item_id", "item_name", "standards"), "item_id").join(each, "row_index")
     found = checkpoint(both.withColumn("missing_values", d["missing_values"]).select("row_index", "rank", "item_id", "item_name", "score", "operation", "missing_values", "standards"))
     cand = found.select("row_index", "rank", "item_id", "operation", "missing_values", F.posexplode("standards").alias("std_pos", "s")).select("*", "s.std_id", "s.std_name", "s.definition").drop("s")
     if fetch_errors is None:
         fetch_errors = sheet.sparkSession.createDataFrame([], "row_index bigint, fetch_error string")
-    requests = fields.select("row_index", "field_name", "field_type", "business_meaning").join(enummap.selection_request(cand), "row_index").join(fetch_errors.select("row_index"), "row_index", "left_anti")
-    answers = _ask(checkpoint(requests), select, "selection", 5, checkpoint, "mark", by="field_type", calls=calls)
-    listed = found.groupBy("row_index").agg(
+    offered = checkpoint(enummap.selection_request(cand).withColumnRenamed("row_index", "list"))
+    requests = fields.join(offered.select("list"), "list", "left_semi").join(fetch_errors.select("row_index"), "row_index", "left_anti")
+    requests = requests.select("row_index", "field_name", "field_type", "business_meaning", "list")
+    answers = _ask(checkpoint(requests), select, "selection", 5, checkpoint, "mark", by="field_type", calls=calls, shared=offered)
+    listed = checkpoint(found.groupBy(F.col("row_index").alias("list")).agg(
         F.count(F.lit(1)).alias("n_candidates"),
         enummap.candidate_text(F.sort_array(F.collect_list(F.struct("rank", "item_id", "item_name", "score", "operation", "standards")))).alias("candidates"),
-    )
-    rows = fields.select("row_index").join(listed, "row_index", "left").join(answers, "row_index", "left").join(fetch_errors, "row_index", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
-    done = enummap.outcome(enummap.locate(rows, cand))
+    ))
+    rows = fields.select("row_index", "list").join(answers, "row_index", "left").join(fetch_errors, "row_index", "left")
+    rows = rows.join(listed.select("list", "n_candidates"), "list", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    named = rows.withColumnsRenamed({"row_index": "field", "list": "row_index"})
+    done = enummap.outcome(enummap.locate(named, cand)).withColumnsRenamed({"row_index": "__list", "field": "row_index"})
     ok = F.col("item_id").isNotNull() & (F.col("status") == OK)
-    return write_back(sheet, done.select(
+    out = write_back(sheet.drop("candidates"), done.select(
         "row_index", "mapping_result", F.when(ok, F.col("selected_std_id")).alias("selected_std_id"), F.when(ok, F.col("selected_std_name")).alias("selected_std_name"),
-        "enum_code_suggestion", "llm_reason", "candidates",
+        "enum_code_suggestion", "llm_reason", "__list",
     ))
+    # a list's text names all standards of its codes, so it comes last and no shuffle carries it for every row; rows without a list are spread
+    named = out.withColumn("__list", F.struct(F.col("__list").alias("l"), F.when(F.col("__list").isNull(), F.col("row_index")).alias("r")))
+    text = listed.select(F.struct(F.col("list").alias("l"), F.lit(None).cast("bigint").alias("r")).alias("__list"), "candidates")
+    sizes = lists.select(F.struct(F.col("list").alias("l"), F.lit(None).cast("bigint").alias("r")).alias("__list"), "n")
+    out = join_one(named, text, "__list", sizes, max(n_fields, 1), "row_index", "left")
+    return out.select(*[c for c in out.columns if c not in ("__list", "candidates")], F.coalesce("candidates", F.lit("")).alias("candidates"))
 
 
 def standard_maintenance(entries: DataFrame, name: Scorer | None, definition: Scorer | None, merge: Scorer | None, checkpoint: Callable[[DataFrame], DataFrame] = kept, calls: Calls | None = None) -> DataFrame:

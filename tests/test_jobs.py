@@ -332,6 +332,36 @@ def test_enum_mapping(spark):
     assert tuple(report.enum_summary(spark.createDataFrame(list(calm.values()))).first()) == (4, 1, 1, 1, 1)
 
 
+def test_enum_candidates_are_kept_once_a_list(spark, tmp_path):
+    """A code that 150 standards cite, and 400 fields with its list: their product is asked for and told, but never kept."""
+    std = spark.createDataFrame(
+        [(n, f"T{n:03d}", f"性别代码{n}", "代码枚举类", "性别", "E1", "1-男;2-女") for n in range(150)],
+        "pos long, std_id string, std_name string, std_type string, definition string, enum_id string, rule string",
+    )
+    sheet = spark.createDataFrame([(i, "表", f"字段{i}", "", "", "代码枚举类", "是", "1-男;2-女" if i % 2 else "1-女;2-男", "", "") for i in range(400)], SHEET)
+    held, kept = [], tables.kept
+
+    def measured(df):
+        out = kept(df)
+        held.append(out.select(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns]))))).first()[0] or 0)
+        return out
+
+    def last(pdf):
+        assert len(pdf) <= 5 and list(pdf.columns) == ["row_index", "field_name", "field_type", "business_meaning", "candidates"]
+        assert all([x["std_id"] for x in c] == [f"T{n:03d}" for n in range(150)] for c in pdf["candidates"])
+        return pdf[["row_index"]].assign(selection="复用已有标准", selected_std_id=[c[-1]["std_id"] for c in pdf["candidates"]], selected_std_name="n", reasoning=pdf["field_name"])
+
+    calls = scoring.Calls(log=f"file://{tmp_path}/log")
+    got = jobs.enum_mapping(sheet, std, scoring.hashing_embedder(64), last, checkpoint=measured, calls=calls)
+    rows = got.collect()
+    assert len(rows) == 400 and all(r.selected_std_id == "T149" and r.llm_reason == r.field_name and r.candidates.count("+T") == 149 for r in rows)
+    assert sum(held) < 1_000_000  # 400 x 150 standards are over 4 million characters
+    used = calls.usage().agg(F.sum("n_rows")).first()[0]
+    again = scoring.Calls(log=f"file://{tmp_path}/log")
+    assert used == 400 and jobs.enum_mapping(sheet, std, scoring.hashing_embedder(64), last, calls=again).exceptAll(got).count() == 0
+    assert again.usage().count() == 0
+
+
 # --- maintenance
 
 
