@@ -43,6 +43,7 @@ class Postings:
         self.most = np.maximum.reduceat(self.v, self.start) if len(doc) else self.v
         self.score = np.zeros(len(self.ids))
         self.read = 0
+        self.told: dict = {}
 
     def search(self, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores): those that may be among the k best, all of these and those that tie with the last included."""
@@ -78,6 +79,16 @@ class Postings:
         self.score[held] = 0
         return docs, score
 
+    def best(self, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores): the k best, by document where scores tie to DIGITS. Very many documents may tie, so nothing else is kept; queries that
+        ask the block for the same words are searched once."""
+        key = asked[np.isin(asked, self.words)].tobytes()
+        if key not in self.told:
+            docs, score = self.search(asked, k)
+            rank = np.lexsort((docs, -np.round(score, DIGITS)))[:k]
+            self.told[key] = docs[rank], score[rank]
+        return self.told[key]
+
 
 def bm25(
     queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, query_text: str = "text", doc_text: str = "text", by: str | None = None, k1: float = 1.2, b: float = 0.75,
@@ -114,16 +125,10 @@ def bm25(
         if not len(qs) or not len(block):
             return pd.DataFrame({"q": qs["q"][:0], "i": block["i"][:0], "score": np.zeros(0)})
         held = Postings(block["i"].to_numpy(), block["w"].to_numpy(), block["v"].to_numpy())
-        row, col, val = [], [], []
-        for n, t in enumerate(qs["t"]):
-            hit, score = held.search(np.asarray(t, np.int64), k)
-            row.append(np.full(len(hit), n)), col.append(hit), val.append(score)
-        row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
-        rounded = np.round(val, DIGITS)
-        rank = np.lexsort((col, -rounded, row))
-        row, col, val = row[rank], col[rank], val[rank]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        return pd.DataFrame({"q": qs["q"].to_numpy()[row[keep]], "i": held.ids[col[keep]], "score": val[keep]})
+        got = [held.best(np.asarray(t, np.int64), k) for t in qs["t"]]
+        row = np.repeat(np.arange(len(got)), [len(hit) for hit, _ in got])
+        col, val = np.concatenate([hit for hit, _ in got]), np.concatenate([score for _, score in got])
+        return pd.DataFrame({"q": qs["q"].to_numpy()[row], "i": held.ids[col], "score": val})
 
     parts, blocks = max(1, -(-q.count() // query_rows)), max(1, -(-n_postings // block_postings))
     left = q.withColumn("part", F.pmod(F.xxhash64("q", F.lit(3)), F.lit(parts)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

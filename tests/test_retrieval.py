@@ -133,6 +133,15 @@ def test_postings_of_a_token_that_all_share_are_mostly_unread():
     assert not held.score.any()
 
 
+def test_documents_that_tie_are_not_all_held():
+    """Every document ties for every query: what is kept of a query are its k, not all of them."""
+    held = sparse.Postings(np.arange(50_000), np.zeros(50_000, np.int64), np.full(50_000, 0.5))
+    asked = [np.array([0, n], np.int64) for n in range(1, 400)]
+    got = [held.best(a, 3) for a in asked]
+    assert all(docs.tolist() == [0, 1, 2] and score.tolist() == [0.5] * 3 for docs, score in got)
+    assert held.read == 50_000  # all ask the block for the same word
+
+
 @pytest.mark.parametrize("blocks", [False, True])
 def test_bm25_equals_plain_sums(spark, blocks):
     rng = np.random.default_rng(10)
