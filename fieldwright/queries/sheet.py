@@ -476,7 +476,7 @@ def j1_intake(spark: SparkSession, d: str) -> DataFrame:
     root = tables.shared_dir(spark)
     at = f"{root}/intake-{uuid.uuid4().hex}"
     s = sheet(spark, d)
-    s.repartition(4).write.parquet(f"{at}/in")
+    s.repartition(max(4, spark.sparkContext.defaultParallelism)).write.parquet(f"{at}/in")
     q = intake.start_intake(intake.read_sheets(spark, f"{at}/in", s.schema), f"{at}/out", f"{at}/state")
     q.awaitTermination()
     return spark.read.parquet(f"{at}/out").select("row_index", "rule_passed", F.array_join("rule_issues", " / ").alias("issues"))
@@ -484,7 +484,7 @@ def j1_intake(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_brand AS table_name, p_name AS field_name, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
 def j1_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Names that stand more than once, counted as files arrive, one a batch."""
+    """Names that stand more than once, counted as files arrive, in four batches of a file for each core."""
     import uuid
 
     from ..streaming import intake
@@ -493,7 +493,8 @@ def j1_duplicates(spark: SparkSession, d: str) -> DataFrame:
     s = sheet(spark, d).drop("table_name", "field_name")
     p = table(spark, d, "part").select(F.col("p_partkey").alias("row_index"), F.col("p_brand").alias("table_name"), F.col("p_name").alias("field_name"))
     s = s.join(p, "row_index")
-    s.repartition(4).write.parquet(f"{at}/in")
-    rows = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    cores = spark.sparkContext.defaultParallelism
+    s.repartition(4 * cores).write.parquet(f"{at}/in")
+    rows = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", cores).parquet(f"{at}/in")
     intake.start_intake(rows, f"{at}/out", f"{at}/state", counts=f"{at}/counts").awaitTermination()
     return intake.duplicate_names(spark, f"{at}/counts")

@@ -39,3 +39,14 @@ def test_variants_by_ten_thousand_groups(spark):
     plain = {i: [v[k] for k in sorted(v)] for i, v in got.items()}
     want = {0: ["客户编号", "客户号"], 1: ["客户号", "客户编号"], 2: ["name1234b", "name1234a", "name1234c"], 3: ["name7a", "nameseven"], 4: ["alone"], 5: ["x"], 6: [""], 7: [None], 8: ["号", "编号"], 9: ["no suffix"]}
     assert {i: plain[i] for i in range(10)} == want and all(plain[i] == ["hot号", "hot编号"] for i in range(10, 400))
+
+
+def test_a_batch_is_many_tasks(spark, sf, tmp_path, monkeypatch):
+    """The intake queries land each batch by several tasks, so that more cores shorten it."""
+    from fieldwright.queries import QUERIES
+    from fieldwright.sources import tables
+
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: str(tmp_path))
+    QUERIES["j1_duplicates"](spark, sf).count()
+    landed = [list(b.glob("*.parquet")) for b in tmp_path.glob("intake-*/out/batch_id=*")]
+    assert len(landed) == 4 and all(len(files) > 1 for files in landed)
