@@ -14,6 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .common import Scratch, components, cut, forest, gathered, group_starts, jo
 
 #: Texts whose shingles are counted to tell common ones, how many common ones are told apart, rows that are broadcast at most.
 SAMPLE, COMMON, SENT = 4_000, 100_000, 500_000
+#: Columns of what rules pairs out before their texts travel: the sketch and the parities.
+SIGNS = ["s1", "s2", "p1", "p2", "p3", "p4"]
 #: Members of a large key's group that each text of it is compared with before all that is left.
 MEMBERS = [0] + [int(x) for x in np.random.default_rng(6).integers(0, 2**62, 7)]
 
@@ -88,14 +91,18 @@ def _grow(fp: np.ndarray, radius: int) -> tuple[list, list]:
     return a, b
 
 
-def linked(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all that differ in at most radius bits. No group's pairs
-    are all emitted: a task returns a spanning forest of what it has compared."""
+def _balls(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
+    """The variants of distinct fingerprints (column fp) that several of them have, those of one variant side by side."""
     v = F.explode(F.lit([list(x) for x in _variants(radius, parts)])).alias("v")
     keyed = nodes.select("fp", v).select(
         "fp", F.col("v")[0].cast("int").alias("part"), F.col("fp").bitwiseAND(F.col("v")[1]).bitwiseXOR(F.col("v")[2]).alias("key")
     )
-    rows = shared_keys(keyed, ["part", "key"], "fp")
+    return shared_keys(keyed, ["part", "key"], "fp")
+
+
+def linked(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that connect all that differ in at most radius bits. No group's pairs
+    are all emitted: a task returns a spanning forest of what it has compared."""
     small = 48
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +122,35 @@ def linked(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
             x, y = forest(ids, i, j)
             yield pd.DataFrame({"a": x, "b": y})
 
-    return rows.mapInPandas(compare, "a bigint, b bigint")
+    return _balls(nodes, radius, parts).mapInPandas(compare, "a bigint, b bigint")
+
+
+def nearest(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
+    """(a, b): of each distinct fingerprint a (column fp) with lower ones that differ in at most radius bits, the one of fewest such bits, of
+    several the lowest. All that share a variant are compared; a task returns one row a fingerprint."""
+    small = 48
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = ["part", "key", "bi", "bj"]
+        for pdf in whole_groups(batches, at):
+            starts, ids = group_starts(pdf, at), pdf["fp"].to_numpy()
+
+            def best(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+                bits = np.bitwise_count((ids[i] ^ ids[j]).view(np.uint64)).astype(np.int32)  # noqa: B023
+                ok = bits <= radius
+                x, y = ids[i[ok]], ids[j[ok]]  # noqa: B023
+                out = pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y), "bits": bits[ok]})
+                return out.sort_values(["a", "bits", "b"]).drop_duplicates("a")
+
+            found = [best(*pairs_of_groups(starts, small))]
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                for k in range(s, e if e - s > small else s, 256):
+                    i, j = np.meshgrid(np.arange(k, min(k + 256, e)), np.arange(k, e), indexing="ij")
+                    found.append(best(i[i < j], j[i < j]))
+            yield pd.concat(found).sort_values(["a", "bits", "b"]).drop_duplicates("a")
+
+    found = _balls(nodes, radius, parts).mapInPandas(compare, "a bigint, b bigint, bits int")
+    return found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", "m.b")
 
 
 def simhash_components(
@@ -167,6 +202,18 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((low & np.uint64(1) > 0) & (low >> np.uint64(57) == bins)).view(np.int64)
 
 
+def lone(least: float) -> float:
+    """Of the sizes of two sets of the similarity together, the share that only one of them may have."""
+    return (1 - least) / (1 + least)
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """256 bits as four numbers: of each bin, whether an odd number of the distinct hashes falls into it. Two sets' bits differ in no more
+    places than the sets have hashes that only one of them has."""
+    bins = (hashes * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)
+    return np.packbits((np.bincount(bins.astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
 def apart(least: float, errors: float | None) -> int:
     """Bits that pairs of the similarity may differ in: the mean and so many standard errors, or all without a number."""
     p = (1 - least) / 2
@@ -186,20 +233,21 @@ def _common(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(slim: DataFrame, least: float, shingle: int) -> DataFrame:
-    """__id, k1, k2, words_hash (equal for texts of the same words), number of distinct shingles, their prefix, how many of it are no
-    common ones, and the sketch as s1 and s2."""
+    """__id, k1, k2, words_hash (equal for texts of the same words), SimHash fingerprint, number of distinct shingles, their prefix, how many
+    of it are no common ones, the sketch as s1 and s2, and the parities as p1 to p4."""
     sent = slim.sparkSession.sparkContext.broadcast(_common(slim, shingle))
 
     def run(texts: list[str]) -> dict:
-        sets = [shingle_set(t, shingle) for t in texts]
-        firsts, signs = [prefix(s, least, *sent.value) for s in sets], [sketch(s) for s in sets]
+        hashes = [shingle_hashes(t, shingle) for t in texts]
+        sets = [np.unique(h) for h in hashes]
+        firsts, signs = [prefix(s, least, *sent.value) for s in sets], [np.concatenate([sketch(s), parities(s)]) for s in sets]
         return {
             "words_hash": [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts],
-            "size": [len(s) for s in sets], "prefix": [p.view(np.int64) for p, _ in firsts], "rare": [n for _, n in firsts],
-            "s1": [int(x[0]) for x in signs], "s2": [int(x[1]) for x in signs],
+            "fp": [fingerprint(h) for h in hashes], "size": [len(s) for s in sets], "prefix": [p.view(np.int64) for p, _ in firsts], "rare": [n for _, n in firsts],
+            **{c: [int(x[k]) for x in signs] for k, c in enumerate(SIGNS)},
         }
 
-    schema = f"__id {dict(slim.dtypes)['__id']}, k1 bigint, k2 bigint, words_hash binary, size bigint, prefix array<bigint>, rare bigint, s1 bigint, s2 bigint"
+    schema = f"__id {dict(slim.dtypes)['__id']}, k1 bigint, k2 bigint, words_hash binary, fp bigint, size bigint, prefix array<bigint>, rare bigint, " + ", ".join(f"{c} bigint" for c in SIGNS)
     return map_texts(slim, ["__id", "k1", "k2"], run, schema, "__text")
 
 
@@ -226,32 +274,32 @@ def _similar(pairs: DataFrame, named: DataFrame, slim: DataFrame, least: float,
     scratch = Scratch(slim.sparkSession)
     texts = scratch.written(slim.join(send(asked), ["k1", "k2"]).select("id", "__text").dropDuplicates(["id"]), "near-copies-texts")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}  # of texts that are paired again: half a million hashes and one text's at most
         held = 0
 
-        def of(i: int, text: str) -> np.ndarray:
+        def of(i: int, text: pa.Scalar) -> np.ndarray:
             nonlocal held
             if i not in sets:
                 if held > 500_000:
                     sets.clear()
                     held = 0
-                sets[i] = shingle_set(text, shingle)
+                sets[i] = shingle_set(text.as_py(), shingle)
                 held += len(sets[i])
             return sets[i]
 
-        for pdf in batches:
+        for batch in batches:
             ok = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"], strict=True):
+            for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in "ab"], *[batch.column(c) for c in "xy"], strict=True):
                 x, y = of(a, x), of(b, y)
                 n = len(x) + len(y)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")  # two sorted runs
                 both = int((both[1:] == both[:-1]).sum())
                 ok.append(both / (n - both) >= least)
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    found = cut(_beside(pairs, n, texts, "__text").mapInPandas(compare, "a bigint, b bigint"))
+    found = cut(_beside(pairs, n, texts, "__text").mapInArrow(compare, "a bigint, b bigint"))
     scratch.drop()
     return found
 
@@ -265,12 +313,16 @@ def _meeting(shared: DataFrame, least: float, most: int) -> DataFrame:
         at = ["key", "bi", "bj"]
         for pdf in whole_groups(batches, at):
             starts = group_starts(pdf, at)
-            ids, g, size, rest, s1, s2 = (pdf[c].to_numpy() for c in ("id", "g", "size", "rest", "s1", "s2"))
+            ids, g, size, rest = (pdf[c].to_numpy() for c in ("id", "g", "size", "rest"))
+            signs = [pdf[c].to_numpy().view(np.uint64) for c in SIGNS]  # of a negative number, bitwise_count counts the absolute value's bits
+            differ = lambda i, j, some: sum(np.bitwise_count(s[i] ^ s[j]).astype(int) for s in some)
 
             def possible(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
                 ok = (g[i] != g[j]) & (np.minimum(rest[i], rest[j]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6)  # noqa: B023
                 i, j = i[ok], j[ok]
-                ok = np.bitwise_count(s1[i] ^ s1[j]).astype(int) + np.bitwise_count(s2[i] ^ s2[j]) <= most  # noqa: B023
+                ok = differ(i, j, signs[2:]) <= lone(least) * (size[i] + size[j]) + 1e-6  # noqa: B023
+                i, j = i[ok], j[ok]
+                ok = differ(i, j, signs[:2]) <= most  # noqa: B023
                 x, y = ids[i[ok]], ids[j[ok]]  # noqa: B023
                 return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
 
@@ -284,6 +336,17 @@ def _meeting(shared: DataFrame, least: float, most: int) -> DataFrame:
     return rows.mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
+def _in_balls(classes: DataFrame, radius: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of classes (id, fp) that the SimHash method finds: each with the lowest of its fingerprint, and that one with the lowest of
+    the nearest lower fingerprint in its ball. One or two pairs a class at most."""
+    heads = cut(classes.groupBy("fp").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
+    n = classes.count()
+    same = join_one(classes, heads.select("fp", "head"), "fp", heads.select("fp", "n"), n, "id").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    near = cut(nearest(heads.select("fp"), radius, parts))
+    found = _beside(near, n, heads.select(F.col("fp").alias("id"), "head"), "head").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    return same.union(found)
+
+
 def row_key(df: DataFrame) -> list[F.Column]:
     """128 bits that tell rows of different contents apart, wherever and in whatever order they are read."""
     kinds = dict(df.dtypes)
@@ -291,15 +354,17 @@ def row_key(df: DataFrame) -> list[F.Column]:
     return [F.xxhash64(F.lit(seed), *cells).alias(f"k{seed}") for seed in (1, 2)]
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, errors: float | None = 6.0) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, errors: float | None = 6.0, radius: int = 4, parts: int = 2) -> DataFrame:
     """The rows of docs less near copies: one stays of each group linked by similarity on five-word shingles.
 
-    Two texts are linked if their sets of shingles (64-bit hashes) have the Jaccard similarity. Candidates are found without loss, as such texts
+    Two texts are linked if their sets of shingles (64-bit hashes) have the Jaccard similarity. First comes the SimHash method: the fingerprint of a
+    text's shingles, met in the middle with those within radius bits (see the module), and the exact similarity of what is nearest there. A pair
+    of the similarity may be further apart than any radius that tells it from others, so the links are completed without loss: such texts
     share a shingle of their prefixes (see prefix). Each text is compared with the lowest and the highest of those it shares most with, then
     with some members of the largest group that shares a shingle with it; then every other pair that shares one and is not yet in one
-    group is, so that a large group takes no work by its square. 128-bit sketches spare most pairs the comparison: those further apart than the bound's mean
-    and errors standard errors. At 0.8 and 6 that is over 33 bits, which a pair at the bound itself passes with probability 8.5e-8 (binomial), a
-    closer one with less; errors=None compares all, and then nothing is lost.
+    group is, so that a large group takes no work by its square. Parities spare pairs the comparison without loss (see parities), and 128-bit
+    sketches those further apart than the bound's mean and errors standard errors. At 0.8 and 6 that is over 33 bits, which a pair at the bound
+    itself passes with probability 8.5e-8 (binomial), a closer one with less; errors=None compares all, and then nothing is lost.
 
     Texts with the same words are one class. The row with the smallest id of a group stays (of repeated ids the one of the lowest row_key,
     of rows equal in every column but maps one). Null and empty texts and those without a word are left alone, as are rows without id:
@@ -331,14 +396,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select(F.greatest("id", f"m.{x}").alias("a"), F.least("id", f"m.{x}").alias("b"))
         for x in ("lo", "hi")
     ]
-    signs = cut(classes.select("id", F.struct("s1", "s2").alias("s")))
+    signs = cut(classes.select("id", F.struct("size", *SIGNS).alias("s")))
 
     def tried(pairs: DataFrame) -> DataFrame:
         """Links of the pairs (a, b) that their sketches leave possible."""
         pairs = cut(pairs)
-        differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+        differ = lambda some: sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in some), F.lit(0))
+        may = (differ(SIGNS[:2]) <= most) & (differ(SIGNS[2:]) <= lone(similarity) * (F.col("x.size") + F.col("y.size")) + 1e-6)
         n = pairs.count()
-        near = _beside(gathered(pairs, n), n, signs, "s").where(differ <= most).select("a", "b")
+        near = _beside(gathered(pairs, n), n, signs, "s").where(may).select("a", "b")
         return _similar(near, named, slim, similarity, shingle)
 
     def placed(links: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -350,8 +416,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         keys = cut(keys.select("key", "n", F.array(*[f"m{k}" for k in range(len(MEMBERS))]).alias("members")))
         return scratch.written(join_one(rows, keys.select("key", "n"), "key", keys, n_shared, "id"), "near-copies-open"), keys
 
+    ball = cut(_in_balls(classes.select("id", "fp"), radius, parts))
+    links = tried(ball)
     n_shared = shared.count()
-    links = tried(heads[0].union(heads[1]).distinct())
+    links = cut(links.union(tried(heads[0].union(heads[1]).distinct().join(ball, ["a", "b"], "left_anti"))))
     open_rows, open_keys = placed(links, shared)
     widest = cut(open_rows.groupBy("id").agg(F.max(F.struct("n", "key")).alias("m"), F.first("g").alias("g")).select("id", "g", "m.key"))
     sizes = widest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -360,7 +428,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     more = tried(members.where("g != mg").select(F.greatest("id", "m").alias("a"), F.least("id", "m").alias("b")).distinct())
     links = cut(links.union(more))
     open_rows, _ = placed(links, open_rows.drop("g", "n"))
-    left = _meeting(open_rows.drop("n").join(signs.select("id", "s.s1", "s.s2"), "id"), similarity, most).join(links, ["a", "b"], "left_anti")
+    left = _meeting(open_rows.drop("n").join(signs.select("id", *[f"s.{c}" for c in SIGNS]), "id"), similarity, most).join(links, ["a", "b"], "left_anti")
     more = _similar(left, named, slim, similarity, shingle)
 
     found = components(links.union(more))

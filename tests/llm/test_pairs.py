@@ -289,6 +289,36 @@ def test_common_passages_and_orders_lose_no_pair(spark, monkeypatch):
     assert kept_of(spark, texts) == want
 
 
+def test_the_nearest_of_a_ball_is_found_and_compared(spark):
+    """Random words and such with bits flipped, 60 of them with one half in common; then texts of which one word in 300 differs."""
+    rng = np.random.default_rng(31)
+    flip = lambda x, bits: x ^ sum(1 << int(b) for b in set(bits))
+    base = [int(x) for x in rng.integers(0, 2**63, 250)]
+    words = base + [flip(x, rng.integers(0, 64, rng.integers(1, 6))) for x in base[:150]] + [flip(base[0], rng.integers(0, 32, 2)) for _ in range(60)]
+    words = sorted({x - (1 << 64) if x >> 63 else x for x in words})
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    want = {a: min(near)[1] for a in words if (near := [(apart(a, b), b) for b in words if b < a and apart(a, b) <= 4])}
+    assert len(want) > 100
+    assert {r.a: r.b for r in simhash.nearest(spark.createDataFrame([(x,) for x in words], "fp long"), 4, 2).collect()} == want
+    texts = [[f"w{k}x{x}" for x in rng.integers(0, 4000, 300)] for k in range(6)]
+    texts = [" ".join(w) for w in texts] + [" ".join(w[:150] + ["other"] + w[151:]) for w in texts]
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t, 5)) for t in texts]
+    near = {(k + 6, k) for k in range(6) if apart(fps[k], fps[k + 6]) <= 4}
+    assert near and {(r.a, r.b) for r in simhash._in_balls(spark.createDataFrame(list(enumerate(fps)), "id long, fp long"), 4, 2).collect()} == near
+
+
+def test_signs_rule_out_no_pair_of_the_similarity(spark):
+    """Numbers with the highest bit set count as their bits; parities never differ more than the sets do."""
+    rows = [(1, k, k, 20, 20, *[(1 - 2**63) * (k == c) for c in range(1, 7)]) for k in range(7)]
+    pairs = simhash._meeting(spark.createDataFrame(rows, "key long, id long, g long, size long, rest long, " + ", ".join(f"{c} long" for c in simhash.SIGNS)), 0.8, 33)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in range(7) for b in range(a)}
+    rng = np.random.default_rng(32)
+    for n in (0, 1, 7, 60, 400, 5000):
+        a, b = (np.unique(np.concatenate([rng.integers(0, 2**64, n // 9, np.uint64), np.arange(n, dtype=np.uint64)])) for _ in range(2))
+        bits = np.bitwise_count((simhash.parities(a) ^ simhash.parities(b)).view(np.uint64)).sum()
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_rows_go_by_a_key_that_is_read_once(spark):
     """A source that gives its rows in another order each time it is read, as after a lost executor."""
     def reordered(batches):
