@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,16 +213,21 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"links did not settle in {rounds} rounds")
 
 
-def texts_in_chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about most characters, one row at least: bounds what a numpy step holds at once."""
+def chunks(lengths: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lengths add up to about most, one row at least."""
     start, n = 0, 0
-    for i, t in enumerate(texts):
-        if n and n + len(t) > most:
+    for i, m in enumerate(lengths):
+        if n and n + m > most:
             yield start, i
             start, n = i, 0
-        n += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        n += m
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def texts_in_chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about most characters, one row at least: bounds what a numpy step holds at once."""
+    yield from chunks([len(t) for t in texts], most)
 
 
 def map_texts(docs: DataFrame, id_cols: list[str], f: Callable[[list[str]], dict], schema: str, text_col: str = "text") -> DataFrame:
@@ -229,9 +235,9 @@ def map_texts(docs: DataFrame, id_cols: list[str], f: Callable[[list[str]], dict
     a call gets about two million characters, or one longer text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            for i, j in texts_in_chunks(texts):
-                made = {k: pa.array(v) for k, v in f(texts[i:j]).items()}
+            column = batch.column(text_col)
+            for i, j in chunks([n or 0 for n in pc.utf8_length(column).to_pylist()]):
+                made = {k: pa.array(v) for k, v in f([t or "" for t in column.slice(i, j - i).to_pylist()]).items()}
                 ids = {c: batch.column(c).slice(i, j - i) for c in id_cols}  # as they are: null ids stay null
                 yield pa.RecordBatch.from_pydict({**ids, **made})
 
