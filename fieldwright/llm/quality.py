@@ -188,7 +188,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [score(hold.value, t or "") >= threshold for t in map(pa.Scalar.as_py, batch.column("text"))]
+            ok = [score(hold.value, t or "") >= threshold for t in (x.as_py() for x in batch.column("text"))]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
