@@ -149,6 +149,20 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return used[own], used[root[own]]
 
 
+def lightest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Positions of as few links a-b as keep what all of them connect connected, the lightest first."""
+    used, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, n = flat[: len(a)], flat[len(a):], len(used)
+    root, taken, left = np.arange(n), np.zeros(0, np.int64), np.argsort(weight, kind="stable")
+    while len(left := left[root[a[left]] != root[b[left]]]):
+        first = np.full(n, len(left))  # of each part, its lightest link to another one
+        for x in (a, b):
+            np.minimum.at(first, root[x[left]], np.arange(len(left)))
+        taken = np.concatenate([taken, left[np.unique(first[first < len(left)])]])
+        root = roots(n, a[taken], b[taken])
+    return taken
+
+
 def shared_keys(keyed: DataFrame, keys: list[str], id_col: str, block: int = BLOCK) -> DataFrame:
     """The rows of keyed whose key more than one row has, laid out for comparison: rows of one (keys, bi, bj) stand
     together in a partition. A key of more than ``block`` rows is cut by a hash of the id into blocks, and each pair

@@ -10,7 +10,7 @@ exactly the same links. Both are exact; the second shuffles 1/31 as much and is
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, cut, forest, gathered, group_starts, join_one, map_texts, pairs_of_groups, shared_keys, whole_groups, written
+from .common import Scratch, components, cut, forest, gathered, group_starts, join_one, lightest, map_texts, pairs_of_groups, shared_keys, whole_groups, written
 
 #: Texts whose shingles are counted to tell common ones, how many common ones are told apart, rows that are broadcast at most.
 SAMPLE, COMMON, SENT = 4_000, 100_000, 500_000
@@ -304,9 +304,11 @@ def _similar(pairs: DataFrame, named: DataFrame, slim: DataFrame, least: float,
     return found
 
 
-def _meeting(shared: DataFrame, least: float, most: int) -> DataFrame:
+def _meeting(shared: DataFrame, least: float, most: int, turn: int | None = None) -> DataFrame:
     """The distinct pairs (a, b) of different groups g that a key of both prefixes and the sketches leave possible: the first key that two
-    texts share bounds what they have in common by what follows it."""
+    texts share bounds what they have in common by what follows it. With a turn, of all the pairs of a task only as many as connect the
+    groups that all of them connect, so fewer than it has rows: the most alike on turn 0, some others on each later one. n adds up to how many
+    were possible (a pair counts once a key)."""
     rows = shared_keys(shared, ["key"], "id", 512)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,20 +322,34 @@ def _meeting(shared: DataFrame, least: float, most: int) -> DataFrame:
             def possible(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
                 ok = (g[i] != g[j]) & (np.minimum(rest[i], rest[j]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6)  # noqa: B023
                 i, j = i[ok], j[ok]
-                ok = differ(i, j, signs[2:]) <= lone(least) * (size[i] + size[j]) + 1e-6  # noqa: B023
-                i, j = i[ok], j[ok]
-                ok = differ(i, j, signs[:2]) <= most  # noqa: B023
-                x, y = ids[i[ok]], ids[j[ok]]  # noqa: B023
-                return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
+                odd, room = differ(i, j, signs[2:]), lone(least) * (size[i] + size[j]) + 1e-6  # noqa: B023
+                ok = odd <= room
+                i, j, far = i[ok], j[ok], (odd / room)[ok]
+                bits = differ(i, j, signs[:2])  # noqa: B023
+                ok = bits <= most
+                i, j, far = i[ok], j[ok], (far + bits / 32)[ok]
+                x, y = ids[i], ids[j]  # noqa: B023
+                found = pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y), "n": 1})
+                return found.drop_duplicates().assign(n=0) if turn is None else found.assign(ga=g[i], gb=g[j], far=far + turn * noise(x ^ y))  # noqa: B023
 
-            yield possible(*pairs_of_groups(starts, 48))
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                if e - s > 48:
-                    for k in range(s, e, 256):
-                        i, j = np.meshgrid(np.arange(k, min(k + 256, e)), np.arange(k, e), indexing="ij")
-                        yield possible(i[i < j], j[i < j])
+            def noise(x: np.ndarray) -> np.ndarray:
+                return (((x.view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) / 2**27  # up to 1/8
+
+            def few(pairs: pd.DataFrame) -> pd.DataFrame:
+                stay = pairs.iloc[lightest(*(pairs[c].to_numpy() for c in ("ga", "gb", "far")))]
+                return stay.assign(n=np.where(np.arange(len(stay)) == 0, pairs["n"].sum(), 0))
 
-    return rows.mapInPandas(compare, "a bigint, b bigint").distinct()
+            def found() -> Iterator[pd.DataFrame]:
+                yield possible(*pairs_of_groups(starts, 48))  # noqa: B023
+                for s, e in zip(starts[:-1], starts[1:], strict=True):  # noqa: B023
+                    if e - s > 48:
+                        for k in range(s, e, 256):
+                            i, j = np.meshgrid(np.arange(k, min(k + 256, e)), np.arange(k, e), indexing="ij")
+                            yield possible(i[i < j], j[i < j])
+
+            yield from found() if turn is None else [few(pd.concat(map(few, found())))[["a", "b", "n"]]]
+
+    return rows.mapInPandas(compare, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _in_balls(classes: DataFrame, radius: int, parts: int) -> DataFrame:
@@ -361,8 +377,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text's shingles, met in the middle with those within radius bits (see the module), and the exact similarity of what is nearest there. A pair
     of the similarity may be further apart than any radius that tells it from others, so the links are completed without loss: such texts
     share a shingle of their prefixes (see prefix). Each text is compared with the lowest and the highest of those it shares most with, then
-    with some members of the largest group that shares a shingle with it; then every other pair that shares one and is not yet in one
-    group is, so that a large group takes no work by its square. Parities spare pairs the comparison without loss (see parities), and 128-bit
+    with some members of the largest group that shares a shingle with it. While more pairs than texts are then possible, and half as many
+    each time, only so many are compared as would join the groups in question, the most alike first; in the end every other pair that
+    shares a shingle and is not yet in one group is. The number of pairs goes by a large group's square only where its texts are no links
+    and what follows cannot tell that. Parities spare pairs the comparison without loss (see parities), and 128-bit
     sketches those further apart than the bound's mean and errors standard errors. At 0.8 and 6 that is over 33 bits, which a pair at the bound
     itself passes with probability 8.5e-8 (binomial), a closer one with less; errors=None compares all, and then nothing is lost.
 
@@ -427,8 +445,25 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = join_one(asked, widest.select(F.col("id").alias("m"), F.col("g").alias("mg")), "m", asked.groupBy("m").agg(F.count(F.lit(1)).alias("n")), n_shared, "id")
     more = tried(members.where("g != mg").select(F.greatest("id", "m").alias("a"), F.least("id", "m").alias("b")).distinct())
     links = cut(links.union(more))
+
+    def meeting(turn: int | None) -> DataFrame:
+        return _meeting(open_rows.drop("n").join(signs.select("id", *[f"s.{c}" for c in SIGNS]), "id"), similarity, most, turn)
+
     open_rows, _ = placed(links, open_rows.drop("g", "n"))
-    left = _meeting(open_rows.drop("n").join(signs.select("id", *[f"s.{c}" for c in SIGNS]), "id"), similarity, most).join(links, ["a", "b"], "left_anti")
+    seen, n_texts, before = links, classes.count(), float("inf")
+    for turn in count():  # as long as each leaves half as many possible pairs
+        pairs = cut(meeting(turn))
+        possible = pairs.agg(F.sum("n")).first()[0] or 0
+        if possible <= n_texts or 2 * possible > before:
+            break
+        before = possible
+        pairs = cut(pairs.select("a", "b").join(seen, ["a", "b"], "left_anti"))
+        more = _similar(pairs, named, slim, similarity, shingle)
+        if more.isEmpty():
+            break
+        seen, links = cut(seen.union(pairs)), cut(links.union(more))
+        open_rows, _ = placed(links, open_rows.drop("g", "n"))
+    left = meeting(None).select("a", "b").join(seen, ["a", "b"], "left_anti")
     more = _similar(left, named, slim, similarity, shingle)
 
     found = components(links.union(more))

@@ -319,6 +319,45 @@ def test_signs_rule_out_no_pair_of_the_similarity(spark):
         assert bits <= len(np.setxor1d(a, b))
 
 
+def test_few_pairs_connect_what_all_connect():
+    rng = np.random.default_rng(33)
+    for n, m in ((2, 1), (30, 20), (40, 400), (300, 3000)):
+        a, b, weight = rng.integers(0, n, m) * 7, rng.integers(0, n, m) * 7, rng.random(m)
+        taken = common.lightest(a, b, weight)
+        nodes = set(a) | set(b)
+        want, got = (roots(nodes, list(zip(a[k], b[k], strict=True))) for k in (slice(None), taken))
+        assert got == want and len(taken) == len(nodes) - len(set(want.values()))
+        held, least = {x: x for x in nodes}, 0.0  # Kruskal
+        for k in np.argsort(weight):
+            if held[a[k]] != held[b[k]]:
+                old, least = held[a[k]], least + weight[k]
+                held = {x: held[b[k]] if r == old else r for x, r in held.items()}
+        assert weight[taken].sum() == pytest.approx(least)
+    assert not len(common.lightest(*[np.zeros(0, np.int64)] * 2, np.zeros(0)))
+
+
+def test_pairs_of_a_large_group_do_not_go_by_its_square(spark, monkeypatch):
+    """300 near copies of one text, of which a part of the pairs has the similarity: no more are told at first than texts, and no link is lost."""
+    rng = np.random.default_rng(34)
+    base = [f"base{x}" for x in range(150)]
+    texts = []
+    for k in range(300):
+        w = list(base)
+        for x in rng.choice(30, rng.choice((2, 3)), replace=False):
+            w[5 * x + rng.integers(5)] = f"own{k}x{x}"
+        texts.append(" ".join(w))
+    told, meeting = [], simhash._meeting
+
+    def met(*args):
+        told.append(common.cut(meeting(*args)))
+        return told[-1]
+
+    monkeypatch.setattr(simhash, "_meeting", met)
+    want, _ = similarity_roots(texts)
+    assert kept_of(spark, texts) == set(want.values())
+    assert len(told) > 1 and 0 < told[0].count() < 300
+
+
 def test_rows_go_by_a_key_that_is_read_once(spark):
     """A source that gives its rows in another order each time it is read, as after a lost executor."""
     def reordered(batches):
